@@ -70,11 +70,13 @@ def build_postings(docs: DataFrame) -> DataFrame:
     ordered = _field_tokens(docs).select(
         *DOC, "field", F.sort_array(at).alias("s"), F.size("terms").cast("long").alias("dl")
     )
-    index = F.sequence(F.lit(0), F.size("s") - 1)
+    index = F.when(F.size("s") > 0, F.sequence(F.lit(0), F.size("s") - 1)).otherwise(
+        F.array().cast("array<int>")
+    )
     heads = F.filter(
         index, lambda i: (i == 0) | (F.col("s")[i]["term"] != F.col("s")[F.greatest(i - 1, F.lit(0))]["term"])
     )
-    bounded = ordered.filter(F.col("dl") > 0).withColumn("heads", heads)
+    bounded = ordered.withColumn("heads", heads)
 
     def posting(head: Column, k: Column) -> Column:
         end = F.coalesce(F.get(F.col("heads"), k + 1), F.size("s"))

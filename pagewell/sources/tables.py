@@ -11,6 +11,20 @@ FETCH_SCHEMA = (
 )
 
 
+SPREAD_BELOW_BYTES = 1 << 30
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Deal the rows of a small table to all cores; a table of a gigabyte or more is left as it is.
+
+    A small parquet file is often one row group, hence one task, while the text work on its
+    rows is heavy. Large tables have row groups enough and are never shuffled for this.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if size < SPREAD_BELOW_BYTES else df
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """Parquet table ``name`` below ``folder``."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
