@@ -281,11 +281,12 @@ def _flatten_newlines(spark: SparkSession, folder: str) -> DataFrame:
       SELECT doc_id, text, list_extract(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), 1) AS w FROM documents),
     cut AS (
       SELECT doc_id, w, regexp_split_to_array(text, '[\p{L}\p{N}_]+') AS g,
-             regexp_extract_all(text, '[\p{L}\p{N}_]+') AS t FROM firsts)
-    SELECT doc_id, array_to_string(list_transform(range(1, len(g) + 1), lambda i:
-      g[i] || CASE WHEN i > len(t) THEN '' WHEN lower(t[i]) = w
-        THEN '<font color=''red''>' || t[i] || '</font>' ELSE t[i] END), '') AS marked
-    FROM cut""",
+             list_append(regexp_extract_all(text, '[\p{L}\p{N}_]+'), '') AS t FROM firsts),
+    piece AS (
+      SELECT doc_id, w, unnest(g) AS g, unnest(t) AS t, generate_subscripts(g, 1) AS i FROM cut)
+    SELECT doc_id, string_agg(g || CASE WHEN lower(t) = w AND t <> ''
+        THEN '<font color=''red''>' || t || '</font>' ELSE t END, '' ORDER BY i) AS marked
+    FROM piece GROUP BY doc_id""",
 )
 def _highlight_terms(spark: SparkSession, folder: str) -> DataFrame:
     docs = I.documents(spark, folder).withColumn("w", F.slice(text.tokens(F.col("text")), 1, 1))

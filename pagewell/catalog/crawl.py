@@ -1 +1,403 @@
-"""."""
+"""Links, frontier, visit state, change detection and job operations."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pagewell.catalog import inputs as I
+from pagewell.catalog.registry import query
+from pagewell.operators import change, frontier, visits
+from pagewell.plans.closure import crawl_closure
+from pagewell.sources.tables import read_table
+
+# --- links and the frontier ------------------------------------------------------------
+
+
+@query("links_valid", f"WITH {I.SQL_VALID_LINKS} SELECT src_url, pos, dst_url FROM valid_links")
+def _links_valid(spark: SparkSession, folder: str) -> DataFrame:
+    return frontier.links_valid(I.links(spark, folder), I.CONFIG)
+
+
+def found_urls(spark: SparkSession, folder: str) -> DataFrame:
+    """Distinct valid link targets; links of pages with a query string are of job ``paged``."""
+    valid = frontier.links_valid(I.links(spark, folder), I.CONFIG)
+    job = F.when(F.col("src_url").contains("?"), "paged").otherwise("plain")
+    return frontier.as_urls(valid, "dst_url", job)
+
+
+SQL_FOUND = I.SQL_VALID_LINKS + f""",
+found AS (
+  SELECT job_id, md5(url) AS url_md5, url FROM (
+    SELECT DISTINCT CASE WHEN contains(src_url, '?') THEN 'paged' ELSE 'plain' END AS job_id,
+           {I.sql_canonical('dst_url')} AS url
+    FROM valid_links)),
+{I.SQL_PAGE_URLS},
+visited_set AS (SELECT job_id, url_md5 FROM found WHERE length(url) % 2 = 0),
+queued AS (SELECT job_id, url_md5 FROM found WHERE length(url) % 3 = 0
+           UNION SELECT job_id, url_md5 FROM page_urls)
+"""
+
+
+def visited_set(spark: SparkSession, folder: str) -> DataFrame:
+    """Targets with a URL of even length count as visited."""
+    return found_urls(spark, folder).filter(F.length("url") % 2 == 0).select(*frontier.KEY)
+
+
+def queued(spark: SparkSession, folder: str) -> DataFrame:
+    """Frontier of all pages and a part of the targets."""
+    part = found_urls(spark, folder).filter(F.length("url") % 3 == 0)
+    return frontier.frontier_push(part, I.page_urls(spark, folder))
+
+
+@query(
+    "urls_seen_union",
+    f"WITH {SQL_FOUND} SELECT job_id, url_md5, url FROM found UNION SELECT job_id, url_md5, url FROM page_urls",
+)
+def _urls_seen_union(spark: SparkSession, folder: str) -> DataFrame:
+    return frontier.urls_seen_union(I.page_urls(spark, folder), found_urls(spark, folder))
+
+
+@query(
+    "links_unvisited",
+    f"WITH {SQL_FOUND} SELECT f.job_id, f.url_md5, f.url FROM found f WHERE NOT EXISTS "
+    "(SELECT 1 FROM visited_set v WHERE v.job_id = f.job_id AND v.url_md5 = f.url_md5)",
+)
+def _links_unvisited(spark: SparkSession, folder: str) -> DataFrame:
+    return frontier.links_unvisited(found_urls(spark, folder), visited_set(spark, folder))
+
+
+@query("frontier_push", f"WITH {SQL_FOUND} SELECT * FROM queued")
+def _frontier_push(spark: SparkSession, folder: str) -> DataFrame:
+    return queued(spark, folder)
+
+
+@query(
+    "visited_add",
+    f"WITH {SQL_FOUND} SELECT job_id, url_md5 FROM visited_set UNION SELECT job_id, url_md5 FROM page_urls",
+)
+def _visited_add(spark: SparkSession, folder: str) -> DataFrame:
+    return frontier.visited_add(visited_set(spark, folder), I.page_urls(spark, folder))
+
+
+_BUDGET = 100
+
+
+@query(
+    "frontier_take",
+    f"""WITH {SQL_FOUND},
+    all_urls AS (SELECT job_id, url_md5, url FROM found UNION SELECT job_id, url_md5, url FROM page_urls),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY url_md5) AS rn FROM queued)
+    SELECT r.job_id, r.url_md5, u.url FROM ranked r
+    JOIN all_urls u ON u.job_id = r.job_id AND u.url_md5 = r.url_md5 WHERE rn <= {_BUDGET}""",
+)
+def _frontier_take(spark: SparkSession, folder: str) -> DataFrame:
+    known = frontier.urls_seen_union(I.page_urls(spark, folder), found_urls(spark, folder))
+    return frontier.frontier_take(queued(spark, folder), known, _BUDGET)
+
+
+def first_state(spark: SparkSession, folder: str) -> DataFrame:
+    """Visit state of every user URL after its latest visit, with an interval of 1 to 48 hours."""
+    log = I.visit_log(spark, folder)
+    hours = F.length("props") % 7 * 8 + 1
+    last = log.groupBy("url", "url_md5").agg(F.max(F.struct("ts", "id", "props")).alias("m"))
+    return last.select(
+        F.lit("plain").alias("job_id"),
+        "url_md5",
+        "url",
+        F.col("m.ts").alias("last_time"),
+        F.col("m.props").alias("props"),
+    ).select(
+        "job_id",
+        "url_md5",
+        "url",
+        "last_time",
+        (F.col("last_time") + hours * 3600).alias("next_time"),
+        (hours * 3600).cast("double").alias("interval_s"),
+    )
+
+
+SQL_STATE = I.SQL_VISITS + """,
+last_visit AS (
+  SELECT url, url_md5, ts AS last_time, props FROM (
+    SELECT *, row_number() OVER (PARTITION BY url ORDER BY ts DESC, id DESC) AS rn FROM visit_log)
+  WHERE rn = 1),
+first_state AS (
+  SELECT 'plain' AS job_id, url_md5, url, last_time,
+         last_time + (length(props) % 7 * 8 + 1) * 3600 AS next_time,
+         CAST((length(props) % 7 * 8 + 1) * 3600 AS DOUBLE) AS interval_s
+  FROM last_visit)
+"""
+
+
+@query(
+    "frontier_due",
+    f"""WITH {SQL_STATE}, {I.SQL_PAGE_URLS},
+    popped AS (SELECT job_id, url_md5, url FROM first_state UNION ALL SELECT job_id, url_md5, url FROM page_urls),
+    clock AS (SELECT max(ts) AS now FROM visit_log)
+    SELECT p.job_id, p.url_md5, p.url FROM popped p
+    LEFT JOIN first_state s ON s.job_id = p.job_id AND s.url_md5 = p.url_md5
+    CROSS JOIN clock WHERE s.next_time IS NULL OR now >= s.next_time""",
+)
+def _frontier_due(spark: SparkSession, folder: str) -> DataFrame:
+    state = first_state(spark, folder)
+    popped = state.select(*frontier.KEY, "url").unionByName(
+        I.page_urls(spark, folder).select(*frontier.KEY, "url")
+    )
+    now = I.visit_log(spark, folder).agg(F.max("ts")).first()[0]
+    return frontier.frontier_due(popped, state, now)
+
+
+@query(
+    "queue_sizes",
+    f"""WITH {SQL_FOUND},
+    f AS (SELECT job_id, count(*) AS n FROM queued GROUP BY job_id),
+    v AS (SELECT job_id, count(*) AS n FROM visited_set GROUP BY job_id)
+    SELECT coalesce(f.job_id, v.job_id) AS job_id, coalesce(f.n, 0) AS n_frontier, coalesce(v.n, 0) AS n_visited
+    FROM f FULL JOIN v ON f.job_id = v.job_id""",
+)
+def _queue_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    return frontier.queue_sizes(queued(spark, folder), visited_set(spark, folder))
+
+
+# --- jobs ----------------------------------------------------------------------------------
+
+
+def job_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """URL map and frontier in which the job of the start URL owns the paged pages."""
+    job = F.when(F.col("job_id") == "paged", frontier.job_id_of(I.CONFIG.start_url)).otherwise(F.col("job_id"))
+    known = I.page_urls(spark, folder).withColumn("job_id", job)
+    return known, known.filter(F.length("url") % 2 == 0).select(*frontier.KEY)
+
+
+SQL_JOB = I.SQL_PAGE_URLS + f""",
+known AS (
+  SELECT CASE WHEN job_id = 'paged' THEN {I.START_MD5} ELSE job_id END AS job_id, url_md5, url FROM page_urls),
+own AS (SELECT * FROM known WHERE job_id = {I.START_MD5})
+"""
+_START_ROW = f"SELECT {I.START_MD5} AS job_id, {I.START_MD5} AS url_md5, 'http://start.example.com' AS url"
+
+
+@query("job_seed_new_job", f"WITH {I.SQL_PAGE_URLS} {_START_ROW} WHERE EXISTS (SELECT 1 FROM page_urls)")
+def _job_seed_new_job(spark: SparkSession, folder: str) -> DataFrame:
+    return frontier.job_seed("new_job", *job_tables(spark, folder), I.CONFIG)
+
+
+@query("job_seed_resume", f"WITH {SQL_JOB} SELECT * FROM own WHERE length(url) % 2 = 0")
+def _job_seed_resume(spark: SparkSession, folder: str) -> DataFrame:
+    return frontier.job_seed("resume", *job_tables(spark, folder), I.CONFIG)
+
+
+@query("job_seed_new_batch", f"WITH {SQL_JOB} SELECT * FROM own")
+def _job_seed_new_batch(spark: SparkSession, folder: str) -> DataFrame:
+    return frontier.job_seed("new_batch", *job_tables(spark, folder), I.CONFIG)
+
+
+@query("job_seed_auto", f"WITH {SQL_JOB} SELECT * FROM own")
+def _job_seed_auto(spark: SparkSession, folder: str) -> DataFrame:
+    known, waiting = job_tables(spark, folder)
+    # The other job's frontier does not count: this job's is empty, so a new batch starts.
+    others = waiting.filter(F.col("job_id") != frontier.job_id_of(I.CONFIG.start_url))
+    return frontier.job_seed("auto", known, others, I.CONFIG)
+
+
+@query(
+    "job_flush",
+    f"""WITH {SQL_FOUND}
+    SELECT 'urls' AS name, job_id, count(*) AS n FROM page_urls WHERE job_id <> 'paged' GROUP BY job_id
+    UNION ALL SELECT 'frontier', job_id, count(*) FROM queued WHERE job_id <> 'paged' GROUP BY job_id
+    UNION ALL SELECT 'visited', job_id, count(*) FROM visited_set WHERE job_id <> 'paged' GROUP BY job_id
+    UNION ALL SELECT 'need_index', job_id, count(*) FROM page_urls GROUP BY job_id""",
+)
+def _job_flush(spark: SparkSession, folder: str) -> DataFrame:
+    known = I.page_urls(spark, folder)
+    tables = {
+        "urls": known,
+        "frontier": queued(spark, folder),
+        "visited": visited_set(spark, folder),
+        "need_index": known.select(*frontier.KEY),
+    }
+    left = frontier.job_flush(tables, "paged")
+    rows = None
+    for name, df in left.items():
+        part = df.groupBy("job_id").agg(F.count(F.lit(1)).alias("n")).withColumn("name", F.lit(name))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
+def page_edges(spark: SparkSession, folder: str) -> DataFrame:
+    """Two links per page, ``7p + 1`` and ``13p + 5`` modulo the number of pages."""
+    pages = read_table(spark, folder, "pages").select("page_id", "url")
+    total = F.broadcast(pages.agg(F.count(F.lit(1)).alias("n")))
+    pairs = pages.join(total).select(
+        F.col("url").alias("src_url"),
+        F.explode(
+            F.array((F.col("page_id") * 7 + 1) % F.col("n"), (F.col("page_id") * 13 + 5) % F.col("n"))
+        ).alias("to"),
+    )
+    targets = pages.select(F.col("page_id").alias("to"), F.col("url").alias("dst_url"))
+    return pairs.join(targets, "to").select("src_url", "dst_url")
+
+
+@query(
+    "crawl_closure",
+    f"""WITH RECURSIVE total AS (SELECT count(*) AS n FROM pages),
+    edges AS (
+      SELECT page_id AS a, (page_id * 7 + 1) % n AS b FROM pages, total
+      UNION SELECT page_id, (page_id * 13 + 5) % n FROM pages, total),
+    reach(p, r) AS (
+      SELECT CAST(0 AS BIGINT), 0 UNION
+      SELECT e.b, r.r + 1 FROM reach r JOIN edges e ON e.a = r.p
+      WHERE r.r < 40 AND NOT EXISTS (SELECT 1 FROM reach x WHERE x.p = e.b AND x.r <= r.r)),
+    {I.SQL_PAGE_URLS}
+    SELECT u.url_md5, u.url, CAST(min(r) AS INTEGER) AS "round" FROM reach
+    JOIN page_urls u ON u.page_id = reach.p GROUP BY u.url_md5, u.url""",
+)
+def _crawl_closure(spark: SparkSession, folder: str) -> DataFrame:
+    seeds = read_table(spark, folder, "pages").filter("page_id = 0").select("url")
+    config = I.CrawlConfig(start_url="http://start.example.com", allow="^http", deny=r"\s")
+    return crawl_closure(page_edges(spark, folder), seeds, config)
+
+
+# --- changes -------------------------------------------------------------------------------
+
+
+@query(
+    "change_bounds",
+    f"""WITH {I.SQL_SNAPSHOTS},
+    bare AS (
+      SELECT url_md5, regexp_replace(old_text, '[0-9]', '', 'g') AS a,
+             regexp_replace(new_text, '[0-9]', '', 'g') AS b
+      FROM snapshots WHERE old_text IS NOT NULL AND new_text IS NOT NULL),
+    ca AS (SELECT url_md5, c, count(*) AS n FROM (SELECT url_md5, unnest(string_split(a, '')) AS c FROM bare) GROUP BY ALL),
+    cb AS (SELECT url_md5, c, count(*) AS n FROM (SELECT url_md5, unnest(string_split(b, '')) AS c FROM bare) GROUP BY ALL),
+    shared AS (
+      SELECT ca.url_md5, sum(least(ca.n, cb.n)) AS s FROM ca JOIN cb ON ca.url_md5 = cb.url_md5 AND ca.c = cb.c
+      WHERE ca.c <> '' GROUP BY ca.url_md5)
+    SELECT b.url_md5, md5(a) = md5(b) AS same_text,
+           CASE WHEN length(a) + length(b) = 0 THEN 1.0
+                ELSE CAST(2 * least(length(a), length(b)) AS DOUBLE) / (length(a) + length(b)) END AS length_bound,
+           CASE WHEN length(a) + length(b) = 0 THEN 1.0
+                ELSE CAST(2 * coalesce(s, 0) AS DOUBLE) / (length(a) + length(b)) END AS character_bound
+    FROM bare b LEFT JOIN shared USING (url_md5)""",
+)
+def _change_bounds(spark: SparkSession, folder: str) -> DataFrame:
+    old, new, _ = I.snapshots(spark, folder)
+    return change.change_bounds(old, new.filter("status = 'ok'"))
+
+
+@query("change_detect")
+def _change_detect(spark: SparkSession, folder: str) -> DataFrame:
+    return change.change_detect(*I.snapshots(spark, folder))
+
+
+# --- visits --------------------------------------------------------------------------------
+
+
+def error_visits(spark: SparkSession, folder: str) -> DataFrame:
+    """Failed visits; a low value is a network failure, a high one something else."""
+    failed = I.visit_log(spark, folder).filter("event_type = 'error'")
+    kind = F.when(F.col("value") < 20, "HTTPError").otherwise("KeyError")
+    return failed.select(
+        F.lit("plain").alias("job_id"), "url_md5", "ts", "id", kind.alias("error_type"), F.col("props").alias("message")
+    )
+
+
+@query(
+    "visit_exception",
+    f"""WITH {I.SQL_VISITS},
+    seen AS (SELECT DISTINCT url_md5 FROM visit_log WHERE event_type = 'purchase' AND value > 40)
+    SELECT 'plain' AS job_id, v.url_md5, v.id,
+           CASE WHEN s.url_md5 IS NULL THEN 'first' ELSE 'unchanged' END AS outcome
+    FROM visit_log v LEFT JOIN seen s ON s.url_md5 = v.url_md5 WHERE v.event_type = 'error'""",
+)
+def _visit_exception(spark: SparkSession, folder: str) -> DataFrame:
+    log = I.visit_log(spark, folder)
+    state = (
+        log.filter("event_type = 'purchase' AND value > 40")
+        .select(F.lit("plain").alias("job_id"), "url_md5")
+        .distinct()
+    )
+    return visits.visit_exception(error_visits(spark, folder), state, ["id"])
+
+
+@query(
+    "error_log_latest",
+    f"""WITH {I.SQL_VISITS}
+    SELECT 'plain' AS job_id, url_md5, kind, message FROM (
+      SELECT url_md5, CASE WHEN value < 20 THEN 'known' ELSE 'unknown' END AS kind, props AS message,
+             row_number() OVER (PARTITION BY url_md5, value < 20 ORDER BY ts DESC, id DESC) AS rn
+      FROM visit_log WHERE event_type = 'error') WHERE rn = 1""",
+)
+def _error_log_latest(spark: SparkSession, folder: str) -> DataFrame:
+    errors = error_visits(spark, folder).withColumn("kind", visits.error_kind(F.col("error_type")))
+    return visits.error_log_latest(errors, ["ts", "id"])
+
+
+SQL_FOLD = I.SQL_VISITS + """,
+ordered AS (
+  SELECT url_md5, ts, id, outcome, row_number() OVER (PARTITION BY url_md5 ORDER BY ts, id) AS k FROM visit_log),
+fold(url_md5, k, last_time, next_time, interval_s, n_visits) AS (
+  SELECT url_md5, k, ts, ts + 86400.0, CAST(86400.0 AS DOUBLE), CAST(1 AS BIGINT) FROM ordered WHERE k = 1
+  UNION ALL
+  SELECT f.url_md5, o.k,
+         CASE WHEN o.ts >= f.next_time THEN o.ts ELSE f.last_time END,
+         CASE WHEN o.ts < f.next_time THEN f.next_time
+              WHEN o.outcome = 'changed' THEN o.ts + greatest(3600.0, f.interval_s / 2)
+              ELSE o.ts + least(8640000.0, f.interval_s * 2) END,
+         CASE WHEN o.ts < f.next_time THEN f.interval_s
+              WHEN o.outcome = 'changed' THEN greatest(3600.0, f.interval_s / 2)
+              ELSE least(8640000.0, f.interval_s * 2) END,
+         f.n_visits + CASE WHEN o.ts >= f.next_time THEN 1 ELSE 0 END
+  FROM fold f JOIN ordered o ON o.url_md5 = f.url_md5 AND o.k = f.k + 1),
+folded AS (
+  SELECT url_md5, last_time, next_time, interval_s, n_visits FROM (
+    SELECT *, row_number() OVER (PARTITION BY url_md5 ORDER BY k DESC) AS rn FROM fold) WHERE rn = 1)
+"""
+
+
+@query("revisit_interval", f"WITH RECURSIVE {SQL_FOLD} SELECT * FROM folded")
+def _revisit_interval(spark: SparkSession, folder: str) -> DataFrame:
+    return visits.revisit_interval(I.visit_log(spark, folder), I.CONFIG)
+
+
+@query(
+    "visit_state_upsert",
+    f"""WITH {SQL_STATE},
+    early AS (SELECT * FROM first_state WHERE last_time < (SELECT max(ts) - 86400 FROM visit_log)),
+    newest AS (
+      SELECT url_md5, ts, value FROM (
+        SELECT *, row_number() OVER (PARTITION BY url_md5 ORDER BY id DESC) AS rn
+        FROM visit_log WHERE event_type <> 'view') WHERE rn = 1)
+    SELECT 'plain' AS job_id, coalesce(n.url_md5, e.url_md5) AS url_md5,
+           CASE WHEN n.url_md5 IS NULL THEN e.last_time ELSE n.ts END AS last_time,
+           CASE WHEN n.url_md5 IS NULL THEN e.next_time ELSE n.ts + n.value END AS next_time,
+           CASE WHEN n.url_md5 IS NULL THEN e.interval_s ELSE n.value END AS interval_s
+    FROM newest n FULL JOIN early e ON e.url_md5 = n.url_md5""",
+)
+def _visit_state_upsert(spark: SparkSession, folder: str) -> DataFrame:
+    log = I.visit_log(spark, folder)
+    now = log.agg(F.max("ts")).first()[0]
+    state = first_state(spark, folder).filter(F.col("last_time") < now - 86400)
+    updates = log.filter("event_type <> 'view'").select(
+        F.lit("plain").alias("job_id"),
+        "url_md5",
+        F.col("ts").alias("last_time"),
+        (F.col("ts") + F.col("value")).alias("next_time"),
+        F.col("value").alias("interval_s"),
+        F.col("id").alias("seq"),
+    )
+    return visits.visit_state_upsert(state, updates)
+
+
+@query(
+    "need_index_mark",
+    f"WITH {I.SQL_VISITS} SELECT DISTINCT 'plain' AS job_id, url_md5 FROM visit_log "
+    "WHERE outcome = 'changed' AND value > 30",
+)
+def _need_index_mark(spark: SparkSession, folder: str) -> DataFrame:
+    log = I.visit_log(spark, folder)
+    outcome = F.when(F.col("value") > 30, F.col("outcome")).otherwise("unchanged")
+    return visits.need_index_mark(
+        log.select(F.lit("plain").alias("job_id"), "url_md5", outcome.alias("outcome"))
+    )

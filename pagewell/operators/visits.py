@@ -16,8 +16,10 @@ _STATE = "struct<last_time:double,next_time:double,interval_s:double,n_visits:bi
 _SLICE_ROWS = 100_000
 
 
-def visit_exception(fetches: DataFrame, visit_state: DataFrame) -> DataFrame:
-    """``job_id, url_md5, outcome`` of failed fetches.
+def visit_exception(
+    fetches: DataFrame, visit_state: DataFrame, keep: list[str] | None = None
+) -> DataFrame:
+    """``job_id, url_md5, outcome`` of failed fetches, with the columns to ``keep``.
 
     A failure counts as ``unchanged`` for a URL that has visit state and as ``first``
     otherwise, even though no document was stored.
@@ -27,7 +29,7 @@ def visit_exception(fetches: DataFrame, visit_state: DataFrame) -> DataFrame:
     return (
         fetches.filter(F.col("error_type").isNotNull())
         .join(seen, key, "left")
-        .select(*key, F.when(F.col("_seen"), "unchanged").otherwise("first").alias("outcome"))
+        .select(*key, *(keep or []), F.when(F.col("_seen"), "unchanged").otherwise("first").alias("outcome"))
     )
 
 
