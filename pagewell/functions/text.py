@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,15 +54,52 @@ def tokens(text: Column) -> Column:
     return F.when(text.rlike(_HAN), split_han).otherwise(plain)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` with ``value`` computed once, also where ``body`` uses it per array element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def highlight_terms(text: Column, terms: Column, open_tag: str, close_tag: str) -> Column:
-    """Wrap every token of ``text`` that is in the array ``terms``; nothing is escaped."""
+    """Wrap every token of ``text`` that is in the array ``terms``; nothing is escaped.
+
+    Pairs of Han characters overlap: in a Han run the stretch from the first matching pair
+    to the end of the last one is wrapped.
+    """
+
+    def wrap(word: Column, first: Column, size: Column) -> Column:
+        return F.concat(
+            F.substring(word, F.lit(1), first - 1),
+            F.lit(open_tag),
+            F.substring(word, first, size),
+            F.lit(close_tag),
+            F.substring(word, first + size, F.length(word)),
+        )
+
+    def mark(word: Column, wanted: Column) -> Column:
+        whole = F.array_contains(wanted, F.lower(word))
+        starts = F.filter(
+            F.sequence(F.lit(1), F.greatest(F.length(word) - 1, F.lit(1))),
+            lambda i: F.array_contains(wanted, F.substring(word, i, F.lit(2))),
+        )
+        pairs = let(
+            starts,
+            lambda at: F.when(F.size(at) == 0, word).otherwise(
+                wrap(word, F.array_min(at), F.array_max(at) - F.array_min(at) + 2)
+            ),
+        )
+        return F.when(whole, F.concat(F.lit(open_tag), word, F.lit(close_tag))).when(
+            word.rlike(_HAN), pairs
+        ).otherwise(word)
+
     gaps = F.split(text, TOKEN)
     words = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
-    marked = F.zip_with(
-        gaps,
-        words,
-        lambda g, w: F.when(w.isNull(), g)
-        .when(F.array_contains(terms, F.lower(w)), F.concat(g, F.lit(open_tag), w, F.lit(close_tag)))
-        .otherwise(F.concat(g, w)),
-    )
-    return F.array_join(marked, "")
+
+    def joined(wanted: Column) -> Column:
+        return F.array_join(
+            F.zip_with(
+                gaps, words, lambda g, w: F.when(w.isNull(), g).otherwise(F.concat(g, mark(w, wanted)))
+            ),
+            "",
+        )
+
+    return let(terms, joined)

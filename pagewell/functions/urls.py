@@ -94,8 +94,11 @@ def resolve_url(base: Column, href: Column) -> Column:
         F.when(new_query != "", F.concat(F.lit("?"), new_query)).otherwise(F.lit("")),
         F.when(fragment != "", F.concat(F.lit("#"), fragment)).otherwise(F.lit("")),
     )
+    # Most links: a rooted path without dot segments, query or fragment, on a plain web page.
+    plain = base.rlike(r"^https?://[^/?#]+") & href.rlike(r"^/(?![/.])(?:(?!/\.)[^?#\x00-\x20])*\z")
     return (
-        F.when(ref == "", base)
+        F.when(plain, F.concat(F.regexp_extract(base, r"^https?://[^/?#]+", 0), href))
+        .when(ref == "", base)
         .when((scheme != "") & (scheme != base_scheme), href)
         .otherwise(built)
     )

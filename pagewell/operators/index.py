@@ -53,11 +53,14 @@ def build_docs(documents: DataFrame, batch_id: int = 0) -> DataFrame:
     )
 
 
-def _field_tokens(docs: DataFrame) -> DataFrame:
+def field_texts(docs: DataFrame) -> DataFrame:
+    """``batch_id, doc_id, field, text``: a row per tokenised field."""
     both = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in FIELDS])
-    return docs.select(*DOC, F.explode(both).alias("f")).select(
-        *DOC, F.col("f.field").alias("field"), tokens(F.col("f.text")).alias("terms")
-    )
+    return docs.select(*DOC, F.explode(both).alias("f")).select(*DOC, "f.field", "f.text")
+
+
+def _field_tokens(docs: DataFrame) -> DataFrame:
+    return field_texts(docs).select(*DOC, "field", tokens(F.col("text")).alias("terms"))
 
 
 def build_postings(docs: DataFrame) -> DataFrame:

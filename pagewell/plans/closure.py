@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pagewell.config import CrawlConfig
 from pagewell.functions.urls import canonical_url, url_allowed, url_key
-from pagewell.operators.frontier import as_urls, frontier_rest, frontier_take
+from pagewell.operators.frontier import as_urls, frontier_take
 from pagewell.operators.joins import lookup_join
 from pagewell.session import scratch_path
 
@@ -46,28 +46,31 @@ def crawl_closure(
         f"{base}/edges"
     )
     links = spark.read.parquet(f"{base}/edges")
-    as_urls(seeds, "url", job).write.parquet(f"{base}/frontier/0")
-    frontier = spark.read.parquet(f"{base}/frontier/0")
+    frontier_path = f"{base}/frontier/0"
+    as_urls(seeds, "url", job).withColumn("round", F.lit(0)).write.parquet(frontier_path)
     taken_paths: list[str] = []
     left = budget
     for number in count():
+        frontier = spark.read.parquet(frontier_path)
         size = frontier.count()
-        if size == 0 or (left is not None and left <= 0):
+        if size == 0 or left == 0:
             break
         if left is None or size <= left:
             taken, rest = frontier, None
+            taken_paths.append(frontier_path)
         else:
-            taken = frontier_take(frontier, frontier, left)
-            rest = frontier_rest(frontier, taken).join(frontier, ["job_id", "url_md5"])
-        path = f"{base}/visited/{number}"
-        taken.select("job_id", "url_md5", "url", F.lit(number).alias("round")).write.parquet(path)
-        taken_paths.append(path)
-        left = None if left is None else left - min(left, size)
-        taken = spark.read.parquet(path)
+            path = f"{base}/visited/{number}"
+            best = frontier_take(frontier, frontier, left)
+            best.withColumn("round", F.lit(number)).write.parquet(path)
+            taken = spark.read.parquet(path)
+            rest = frontier.join(taken.select("url_md5"), "url_md5", "left_anti")
+            taken_paths.append(path)
+        n_taken = size if left is None else min(left, size)
+        left = None if left is None else left - n_taken
         visited = spark.read.parquet(*taken_paths).select("url_md5")
         sources = taken.filter(allowed).select(F.col("url_md5").alias("src_md5"))
         found = (
-            lookup_join(links, sources, ["src_md5"], ["url_md5"])
+            lookup_join(links, sources, ["src_md5"], ["url_md5"], max_rows=n_taken)
             .groupBy("url_md5")
             .agg(F.first("url").alias("url"))
             .join(visited, "url_md5", "left_anti")
@@ -77,8 +80,6 @@ def crawl_closure(
             found = found.join(rest.select("url_md5"), "url_md5", "left_anti").unionByName(
                 rest.select("job_id", "url_md5", "url")
             )
-        found.write.parquet(f"{base}/frontier/{number + 1}")
-        frontier = spark.read.parquet(f"{base}/frontier/{number + 1}")
-    if not taken_paths:
-        return frontier.select("url_md5", "url", F.lit(0).alias("round"))
-    return spark.read.parquet(*taken_paths).select("url_md5", "url", "round")
+        frontier_path = f"{base}/frontier/{number + 1}"
+        found.withColumn("round", F.lit(number + 1)).write.parquet(frontier_path)
+    return spark.read.parquet(*(taken_paths or [frontier_path])).select("url_md5", "url", "round")
