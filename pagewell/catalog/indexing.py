@@ -61,19 +61,19 @@ lens AS (SELECT unnest([2, 3, 4, 5]) AS l)
     "segment_dict",
     rf"""WITH RECURSIVE {_SQL_HAN},
     runs AS (SELECT DISTINCT run FROM located WHERE regexp_matches(run, '^\p{{Han}}+$')),
-    starts AS (SELECT run, unnest(range(1, length(run) + 1)) AS at FROM runs),
+    starts AS (SELECT run, unnest(range(1, length(run) + 1)) AS p FROM runs),
     longest AS (
-      SELECT s.run, s.at, max(length(d.word)) AS len FROM starts s CROSS JOIN lens k
-      JOIN dictionary d ON d.word = substr(s.run, s.at, k.l)
-      WHERE s.at + k.l - 1 <= length(s.run) GROUP BY s.run, s.at),
-    cut(run, i, at, len) AS (
-      SELECT r.run, 0, CAST(1 AS BIGINT), coalesce(l.len, 1) FROM runs r
-      LEFT JOIN longest l ON l.run = r.run AND l.at = 1
+      SELECT s.run, s.p, max(length(d.word)) AS n FROM starts s CROSS JOIN lens k
+      JOIN dictionary d ON d.word = substr(s.run, s.p, k.l)
+      WHERE s.p + k.l - 1 <= length(s.run) GROUP BY s.run, s.p),
+    cut(run, i, p, n) AS (
+      SELECT r.run, 0, CAST(1 AS BIGINT), coalesce(l.n, 1) FROM runs r
+      LEFT JOIN longest l ON l.run = r.run AND l.p = 1
       UNION ALL
-      SELECT c.run, c.i + 1, c.at + c.len, coalesce(l.len, 1) FROM cut c
-      LEFT JOIN longest l ON l.run = c.run AND l.at = c.at + c.len WHERE c.at + c.len <= length(c.run))
+      SELECT c.run, c.i + 1, c.p + c.n, coalesce(l.n, 1) FROM cut c
+      LEFT JOIN longest l ON l.run = c.run AND l.p = c.p + c.n WHERE c.p + c.n <= length(c.run))
     SELECT o.doc_id, o.run_pos, CAST(coalesce(c.i, 0) AS INTEGER) AS i,
-           coalesce(substr(c.run, c.at, c.len), o.run) AS term
+           coalesce(substr(c.run, c.p, c.n), o.run) AS term
     FROM located o LEFT JOIN cut c ON c.run = o.run""",
 )
 def _segment_dict(spark: SparkSession, folder: str) -> DataFrame:

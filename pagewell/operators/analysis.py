@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewell.functions.text import runs, tokens
+from pagewell.functions.text import TOKEN, runs, tokens
 from pagewell.operators.joins import lookup_join
 
 _HAN_ONLY = r"^\p{IsHan}+\z"
@@ -22,8 +22,8 @@ def token_offsets(docs: DataFrame, text: str, keys: list[str]) -> DataFrame:
     Running sums of the lengths give each run's offsets in the text.
     """
     pieces = F.arrays_zip(
-        F.regexp_extract_all(F.col(text), F.lit(_token_pattern()), F.lit(0)).alias("run"),
-        F.transform(F.split(F.col(text), _token_pattern()), F.length).alias("gap_len"),
+        F.regexp_extract_all(F.col(text), F.lit(TOKEN), F.lit(0)).alias("run"),
+        F.transform(F.split(F.col(text), TOKEN), F.length).alias("gap_len"),
     )
     exploded = docs.select(*keys, F.posexplode(pieces).alias("pos", "p"))
     return exploded.select(
@@ -31,63 +31,68 @@ def token_offsets(docs: DataFrame, text: str, keys: list[str]) -> DataFrame:
     ).filter(F.col("run").isNotNull())
 
 
-def _token_pattern() -> str:
-    from pagewell.functions.text import TOKEN
-
-    return TOKEN
-
-
 def segment_dict(docs: DataFrame, text: str, keys: list[str], dictionary: DataFrame) -> DataFrame:
-    """``keys, pos, term`` with Han runs cut by forward maximum matching.
+    """``keys, run_pos, i, term`` with Han runs cut by forward maximum matching.
 
     At every character the longest word of ``dictionary(word)`` that starts there is taken,
-    or the single character. Each distinct run is segmented once, whatever number of
-    texts it occurs in.
+    or the single character; ``i`` counts the words of a run. Texts are dealt out by ``keys``
+    once; with a dictionary of broadcast size everything after that stays in its task.
     """
-    words = dictionary.select("word", F.length("word").alias("len")).filter("len > 1").distinct()
-    lengths = words.select("len").distinct()
-    located = docs.select(*keys, F.posexplode(runs(F.col(text))).alias("run_pos", "run"))
-    han = located.filter(F.col("run").rlike(_HAN_ONLY))
-    distinct_runs = han.select("run").distinct()
-    # Longest word at each start, found by an equi-join on the substring.
-    starts = distinct_runs.select(
-        "run", F.explode(F.sequence(F.lit(1), F.length("run"))).alias("at")
+    words = dictionary.select("word").filter(F.length("word") > 1).distinct()
+    longest_word = words.agg(F.max(F.length("word"))).first()[0] or 1
+    located = docs.repartition(*keys).select(
+        *keys, F.posexplode(runs(F.col(text))).alias("run_pos", "run")
     )
-    candidates = starts.join(
-        F.broadcast(lengths), F.col("at") + F.col("len") - 1 <= F.length("run")
-    ).withColumn("word", F.expr("substring(run, at, len)"))
-    longest = (
-        lookup_join(candidates, words.select("word"), ["word"], ["run", "at"])
-        .groupBy("run", "at")
-        .agg(F.max("len").alias("len"))
-        .groupBy("run")
-        .agg(F.map_from_entries(F.collect_list(F.struct("at", "len"))).alias("longest"))
-    )
-    cut = distinct_runs.join(longest, "run", "left").select(
-        "run", _greedy_words(F.col("run"), F.col("longest")).alias("words")
+    size = F.length("run")
+
+    def starting(at: Column) -> Column:
+        reach = F.least(F.lit(longest_word), size - at + 1)
+        return F.transform(
+            F.sequence(F.lit(1), reach),
+            lambda n: F.struct(at.alias("at"), n.alias("len"), F.substring(F.col("run"), at, n).alias("word")),
+        )
+
+    substrings = F.flatten(F.transform(F.sequence(F.lit(1), size), starting))
+    whole = F.array(F.struct(F.lit(1).alias("at"), size.alias("len"), F.col("run").alias("word")))
+    is_han = F.col("run").rlike(_HAN_ONLY)
+    offered = located.select(
+        *keys,
+        "run_pos",
+        "run",
+        is_han.alias("han"),
+        F.explode(F.when(is_han, substrings).otherwise(whole)).alias("c"),
+    ).select(*keys, "run_pos", "run", "han", "c.at", "c.len", "c.word")
+    matched = lookup_join(
+        offered, words.withColumn("known", F.lit(True)), ["word"], [*keys, "run_pos", "at"], "left"
+    ).filter(F.col("known") | (F.col("len") == 1) | ~F.col("han"))
+    run = [*keys, "run_pos"]
+    steps = (
+        matched.groupBy(*run, "at")
+        .agg(F.max("len").alias("len"), F.first("run").alias("run"))
+        .groupBy(*run)
+        .agg(
+            F.sort_array(F.collect_list(F.struct("at", "len"))).alias("steps"),
+            F.first("run").alias("run"),
+        )
     )
-    plain = located.join(cut, "run", "left").withColumn(
-        "words", F.coalesce("words", F.array("run"))
+    return steps.select(
+        *run, F.posexplode(_greedy_words(F.col("run"), F.col("steps"))).alias("i", "term")
     )
-    exploded = plain.select(*keys, "run_pos", F.posexplode("words").alias("i", "term"))
-    return exploded
 
 
-def _greedy_words(run: Column, longest: Column) -> Column:
-    """Cut ``run`` from the left, one character where no word of ``longest`` starts."""
+def _greedy_words(run: Column, steps: Column) -> Column:
+    """Walk the starts of ``run`` from the left and jump by the longest word at each."""
     begin = F.struct(F.lit(1).alias("free"), F.array().cast("array<string>").alias("words"))
 
-    def step(state: Column, at: Column) -> Column:
-        size = F.coalesce(longest[at], F.lit(1))
-        word = F.substring(run, at, size)
+    def step(state: Column, s: Column) -> Column:
+        word = F.substring(run, s["at"], s["len"])
         taken = F.struct(
-            (at + size).alias("free"), F.concat(state["words"], F.array(word)).alias("words")
+            (s["at"] + s["len"]).alias("free"),
+            F.concat(state["words"], F.array(word)).alias("words"),
         )
-        return F.when(at == state["free"], taken).otherwise(state)
+        return F.when(s["at"] == state["free"], taken).otherwise(state)
 
-    return F.aggregate(
-        F.sequence(F.lit(1), F.length(run)), begin, step, lambda state: state["words"]
-    )
+    return F.aggregate(steps, begin, step, lambda state: state["words"])
 
 
 def _expand(token_table: DataFrame, table: DataFrame, term: str, added: str, keys: list[str]) -> DataFrame:
