@@ -228,12 +228,10 @@ def _job_flush(spark: SparkSession, folder: str) -> DataFrame:
 def page_edges(spark: SparkSession, folder: str) -> DataFrame:
     """Two links per page, ``7p + 1`` and ``13p + 5`` modulo the number of pages."""
     pages = read_table(spark, folder, "pages").select("page_id", "url")
-    total = F.broadcast(pages.agg(F.count(F.lit(1)).alias("n")))
-    pairs = pages.join(total).select(
+    n = pages.count()
+    pairs = pages.select(
         F.col("url").alias("src_url"),
-        F.explode(
-            F.array((F.col("page_id") * 7 + 1) % F.col("n"), (F.col("page_id") * 13 + 5) % F.col("n"))
-        ).alias("to"),
+        F.explode(F.array((F.col("page_id") * 7 + 1) % n, (F.col("page_id") * 13 + 5) % n)).alias("to"),
     )
     targets = pages.select(F.col("page_id").alias("to"), F.col("url").alias("dst_url"))
     return pairs.join(targets, "to").select("src_url", "dst_url")

@@ -325,6 +325,11 @@ def _search_range(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _plain(term: str) -> str:
+    """SQL that makes accented letters one byte each, as edits are counted in bytes there."""
+    return f"translate({term}, 'èéñßêçíüöóä', 'ABCDEFGHIJK')"
+
+
 _FUZZY_SCORE = _BM25.format(weight="e.similarity", idf=_IDF.format(df="e.most"), tf="p.tf")
 
 
@@ -332,11 +337,13 @@ _FUZZY_SCORE = _BM25.format(weight="e.similarity", idf=_IDF.format(df="e.most"),
     "search_fuzzy",
     f"""WITH {SQL_RANK},
     near AS (
-      SELECT q.query_id, s.term, s.df, length(q.w[2]) AS n,
-             1.0 - CAST(levenshtein(s.term, q.w[2]) AS DOUBLE) / least(length(s.term), length(q.w[2])) AS similarity,
-             levenshtein(s.term, q.w[2]) AS edits
+      SELECT q.query_id, s.term, s.df,
+             1.0 - CAST(levenshtein({_plain('s.term')}, {_plain('q.w[2]')}) AS DOUBLE)
+               / least(length(s.term), length(q.w[2])) AS similarity,
+             levenshtein({_plain('s.term')}, {_plain('q.w[2]')}) AS edits
       FROM qw q JOIN term_stats s ON s.field = 'content'
-        AND abs(length(s.term) - length(q.w[2])) <= 2 AND levenshtein(s.term, q.w[2]) <= 2),
+        AND abs(length(s.term) - length(q.w[2])) <= 2
+        AND levenshtein({_plain('s.term')}, {_plain('q.w[2]')}) <= 2),
     kept AS (
       SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, term) AS rn FROM near
       WHERE edits = 0 OR similarity > 0),

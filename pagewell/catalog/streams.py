@@ -1 +1,94 @@
-"""."""
+"""Streaming jobs over the given tables, cut into files that arrive one after the other."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pagewell.catalog import inputs as I
+from pagewell.catalog.crawl import SQL_FOLD
+from pagewell.catalog.registry import query
+from pagewell.operators.frontier import extract_links, links_valid
+from pagewell.operators.index import read_index
+from pagewell.session import scratch_path
+from pagewell.sources.tables import stream_table
+from pagewell.streaming import incremental
+
+
+def staged(df: DataFrame, order: str, parts: int = 3) -> DataFrame:
+    """``df`` as a stream of ``parts`` files that follow each other in ``order``."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "staged")
+    low, high = df.agg(F.min(order), F.max(order)).first()
+    step = (high - low) / parts
+    for n in range(parts):
+        above = F.col(order) >= low + n * step
+        below = F.col(order) < low + (n + 1) * step
+        part = df.filter(above & below if n < parts - 1 else above)
+        part.coalesce(1).write.mode("append").parquet(path)
+    schema = ", ".join(f"{name} {kind}" for name, kind in df.dtypes)
+    return stream_table(spark, path, schema, files_per_trigger=1)
+
+
+@query(
+    "stream_revisit_state",
+    f"WITH RECURSIVE {SQL_FOLD} SELECT *, CAST(0 AS BIGINT) AS n_late FROM folded",
+)
+def _stream_revisit_state(spark: SparkSession, folder: str) -> DataFrame:
+    visits = staged(I.visit_log(spark, folder).select("url_md5", "ts", "id", "outcome"), "ts")
+    return incremental.run_revisit_state(
+        visits, I.CONFIG, scratch_path(spark, "revisit"), scratch_path(spark, "checkpoint")
+    )
+
+
+@query("stream_revisit_table", f"WITH RECURSIVE {SQL_FOLD} SELECT * FROM folded")
+def _stream_revisit_table(spark: SparkSession, folder: str) -> DataFrame:
+    visits = staged(I.visit_log(spark, folder).select("url_md5", "ts", "id", "outcome"), "ts")
+    return incremental.run_revisit_table(
+        visits, I.CONFIG, scratch_path(spark, "revisit"), scratch_path(spark, "checkpoint")
+    )
+
+
+@query(
+    "stream_index_increment",
+    f"""WITH {I.SQL_INDEX}
+    SELECT p.field, p.term, p.doc_id, p.tf, p.dl FROM postings p""",
+)
+def _stream_index_increment(spark: SparkSession, folder: str) -> DataFrame:
+    docs = staged(I.documents(spark, folder).select("doc_id", "url", "text"), "doc_id")
+    path = scratch_path(spark, "stream-index")
+    incremental.run_index_increment(docs, path, scratch_path(spark, "checkpoint"))
+    return read_index(spark, path).postings.select("field", "term", "doc_id", "tf", "dl")
+
+
+_SQL_TARGETS = f"""WITH {I.SQL_VALID_LINKS}
+    SELECT DISTINCT md5(url) AS url_md5, url FROM (
+      SELECT {I.sql_canonical('dst_url')} AS url FROM valid_links)"""
+
+
+def page_link_stream(spark: SparkSession, folder: str) -> DataFrame:
+    pages = staged(I.pages(spark, folder), "page_id")
+    return links_valid(extract_links(pages), I.CONFIG)
+
+
+@query("stream_frontier_dedup", _SQL_TARGETS)
+def _stream_frontier_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    seen = incremental.run_frontier_dedup(
+        page_link_stream(spark, folder), scratch_path(spark, "seen"), scratch_path(spark, "checkpoint")
+    )
+    return seen.select("url_md5", "url")
+
+
+@query("stream_frontier_state", _SQL_TARGETS)
+def _stream_frontier_state(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_path(spark, "seen")
+    fresh = incremental.stream_frontier_dedup(page_link_stream(spark, folder))
+    run = (
+        fresh.writeStream.format("parquet")
+        .option("checkpointLocation", scratch_path(spark, "checkpoint"))
+        .option("path", path)
+        .trigger(availableNow=True)
+        .start()
+    )
+    run.awaitTermination()
+    return spark.read.schema("url string, url_md5 string").parquet(path)

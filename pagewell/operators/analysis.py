@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewell.functions.text import TOKEN, runs, tokens
+from pagewell.functions.text import TOKEN, let, runs, tokens
 from pagewell.operators.joins import lookup_join
 
 _HAN_ONLY = r"^\p{IsHan}+\z"
@@ -35,64 +35,68 @@ def segment_dict(docs: DataFrame, text: str, keys: list[str], dictionary: DataFr
     """``keys, run_pos, i, term`` with Han runs cut by forward maximum matching.
 
     At every character the longest word of ``dictionary(word)`` that starts there is taken,
-    or the single character; ``i`` counts the words of a run. Texts are dealt out by ``keys``
-    once; with a dictionary of broadcast size everything after that stays in its task.
+    or the single character; ``i`` counts the words of a run. Substrings meet the dictionary
+    where they are cut, and only those that are words go on to be collected per run.
     """
     words = dictionary.select("word").filter(F.length("word") > 1).distinct()
-    longest_word = words.agg(F.max(F.length("word"))).first()[0] or 1
-    located = docs.repartition(*keys).select(
-        *keys, F.posexplode(runs(F.col(text))).alias("run_pos", "run")
-    )
-    size = F.length("run")
+    longest = words.agg(F.max(F.length("word"))).first()[0] or 1
+    located = docs.select(*keys, F.posexplode(runs(F.col(text))).alias("run_pos", "run"))
+    is_han = F.col("run").rlike(_HAN_ONLY)
 
     def starting(at: Column) -> Column:
-        reach = F.least(F.lit(longest_word), size - at + 1)
+        reach = F.least(F.lit(longest), F.length("run") - at + 1)
         return F.transform(
-            F.sequence(F.lit(1), reach),
+            F.when(reach > 1, F.sequence(F.lit(2), reach)).otherwise(F.array().cast("array<int>")),
             lambda n: F.struct(at.alias("at"), n.alias("len"), F.substring(F.col("run"), at, n).alias("word")),
         )
 
-    substrings = F.flatten(F.transform(F.sequence(F.lit(1), size), starting))
-    whole = F.array(F.struct(F.lit(1).alias("at"), size.alias("len"), F.col("run").alias("word")))
-    is_han = F.col("run").rlike(_HAN_ONLY)
-    offered = located.select(
-        *keys,
-        "run_pos",
-        "run",
-        is_han.alias("han"),
-        F.explode(F.when(is_han, substrings).otherwise(whole)).alias("c"),
-    ).select(*keys, "run_pos", "run", "han", "c.at", "c.len", "c.word")
-    matched = lookup_join(
+    # The entry at 0 stands for the run itself and is kept whether or not a word is found.
+    itself = F.array(
+        F.struct(F.lit(0).alias("at"), F.lit(0).alias("len"), F.lit(None).cast("string").alias("word"))
+    )
+    substrings = F.flatten(F.transform(F.sequence(F.lit(1), F.length("run")), starting))
+    offered = located.withColumn(
+        "c", F.explode(F.when(is_han, F.concat(itself, substrings)).otherwise(itself))
+    ).select(*keys, "run_pos", "run", "c.at", "c.len", "c.word")
+    found = lookup_join(
         offered, words.withColumn("known", F.lit(True)), ["word"], [*keys, "run_pos", "at"], "left"
-    ).filter(F.col("known") | (F.col("len") == 1) | ~F.col("han"))
-    run = [*keys, "run_pos"]
-    steps = (
-        matched.groupBy(*run, "at")
-        .agg(F.max("len").alias("len"), F.first("run").alias("run"))
-        .groupBy(*run)
-        .agg(
-            F.sort_array(F.collect_list(F.struct("at", "len"))).alias("steps"),
-            F.first("run").alias("run"),
-        )
+    ).filter(F.col("known") | (F.col("at") == 0))
+    run_text = F.when(F.col("at") == 0, F.col("run"))
+    steps = found.groupBy(*keys, "run_pos").agg(
+        F.sort_array(
+            F.collect_list(F.struct("at", (-F.col("len")).alias("neg_len"), run_text.alias("run")))
+        ).alias("steps")
     )
-    return steps.select(
-        *run, F.posexplode(_greedy_words(F.col("run"), F.col("steps"))).alias("i", "term")
+    run = F.get("steps", F.lit(0))["run"]
+    cut = F.when(run.rlike(_HAN_ONLY), let(run, lambda r: _greedy_words(r, F.col("steps")))).otherwise(
+        F.array(run)
     )
+    return steps.select(*keys, "run_pos", F.posexplode(cut).alias("i", "term"))
 
 
 def _greedy_words(run: Column, steps: Column) -> Column:
-    """Walk the starts of ``run`` from the left and jump by the longest word at each."""
+    """Walk the words found in ``run`` from the left; characters between them stand alone."""
     begin = F.struct(F.lit(1).alias("free"), F.array().cast("array<string>").alias("words"))
 
+    def singles(start: Column, end: Column) -> Column:
+        return F.when(
+            end >= start, F.transform(F.sequence(start, end), lambda i: F.substring(run, i, F.lit(1)))
+        ).otherwise(F.array().cast("array<string>"))
+
     def step(state: Column, s: Column) -> Column:
-        word = F.substring(run, s["at"], s["len"])
+        word = F.array(F.substring(run, s["at"], -s["neg_len"]))
         taken = F.struct(
-            (s["at"] + s["len"]).alias("free"),
-            F.concat(state["words"], F.array(word)).alias("words"),
+            (s["at"] - s["neg_len"]).alias("free"),
+            F.concat(state["words"], singles(state["free"], s["at"] - 1), word).alias("words"),
         )
-        return F.when(s["at"] == state["free"], taken).otherwise(state)
+        return F.when((s["at"] > 0) & (s["at"] >= state["free"]), taken).otherwise(state)
 
-    return F.aggregate(steps, begin, step, lambda state: state["words"])
+    return F.aggregate(
+        steps,
+        begin,
+        step,
+        lambda state: F.concat(state["words"], singles(state["free"], F.length(run))),
+    )
 
 
 def _expand(token_table: DataFrame, table: DataFrame, term: str, added: str, keys: list[str]) -> DataFrame:

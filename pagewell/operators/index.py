@@ -239,4 +239,4 @@ def read_index(spark: SparkSession, path: str) -> Index:
 def index_of_docs(docs: DataFrame, postings: DataFrame | None = None) -> Index:
     """Index that is computed on the fly, for small corpora and tests."""
     rows = build_postings(docs) if postings is None else postings
-    return Index(docs, rows, term_stats(rows), corpus_stats(rows))
+    return Index(docs, rows, term_stats(rows, "batch_id"), corpus_stats(rows))

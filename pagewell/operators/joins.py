@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 50_000
+from pagewell.session import scratch_path
+
+# Rows of the lookup tables are a few words and numbers: this many are about 100 MB.
+BROADCAST_ROWS = 500_000
+# Rows that may be held by the driver.
+PIN_ROWS = 20_000
 SALTS = 32
 
 
@@ -35,3 +40,14 @@ def lookup_join(
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(*salt_on), F.lit(SALTS)).cast("int"))
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+
+
+def pin(df: DataFrame) -> tuple[DataFrame, list | None]:
+    """Compute a normally small table once: kept as literal rows, or written when it is large."""
+    spark = df.sparkSession
+    rows = df.limit(PIN_ROWS + 1).collect()
+    if len(rows) <= PIN_ROWS:
+        return spark.createDataFrame(rows, df.schema), rows
+    path = scratch_path(spark, "pinned")
+    df.write.parquet(path)
+    return spark.read.parquet(path), None

@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 from pagewell.config import SearchConfig
 from pagewell.functions.text import flatten_newlines, highlight_terms, tokens
 from pagewell.operators.analysis import token_offsets
-from pagewell.operators.joins import lookup_join
-from pagewell.operators.search import Ranked, fetch_stored
 from pagewell.operators.index import Index
+from pagewell.operators.joins import lookup_join, pin
+from pagewell.operators.search import Ranked, fetch_stored
 
 HIT = ["query_id", "rank"]
+# Hits whose document keys are pushed into the scan of the stored documents.
+_PRUNE_DOCS = 2_000
 
 
 def query_terms(leaves: DataFrame) -> DataFrame:
@@ -48,40 +50,39 @@ def fragments(hits: DataFrame, length: int) -> DataFrame:
 def best_fragment(hits: DataFrame, terms: DataFrame, length: int = 128, max_terms: int | None = None) -> DataFrame:
     """``query_id, rank, frag_start, frag_end, frag_score`` of the best fragment of each hit.
 
-    ``hits`` has ``query_id, rank, text`` and ``terms`` has ``query_id, term, weight``. Hits
-    without a matching term have no row.
+    ``hits`` has ``query_id, rank, text`` and ``terms`` has ``query_id, term, weight``. The end
+    of a text's last fragment is null: it takes in whatever follows. Hits without a matching
+    term have no row. The windows and both sums share one exchange by hit.
     """
-    located = fragments(hits, length)
-    extent = located.groupBy(*HIT, "frag").agg(
-        F.min("start").cast("int").alias("frag_start"), F.max("end").cast("int").alias("frag_end")
+    located = fragments(hits, length).withColumn("term", F.explode(tokens(F.col("run"))))
+    weighed = lookup_join(
+        located, terms, ["query_id", "term"], HIT, "left", max_rows=max_terms
     )
-    words = located.select(*HIT, "frag", F.explode(tokens(F.col("run"))).alias("term"))
-    scored = (
-        lookup_join(words, terms, ["query_id", "term"], HIT, max_rows=max_terms)
-        .groupBy(*HIT, "frag", "term")
-        .agg(F.max("weight").alias("weight"))
-        .groupBy(*HIT, "frag")
-        .agg(F.round(F.sum("weight"), 6).alias("frag_score"))
+    matched = F.when(F.col("weight").isNotNull(), F.struct("term", "weight"))
+    scored = weighed.groupBy(*HIT, "frag").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.collect_set(matched).alias("m")
     )
+    score = F.round(F.aggregate("m", F.lit(0.0), lambda acc, x: acc + x["weight"]), 6)
     best = scored.groupBy(*HIT).agg(
-        F.max(F.struct("frag_score", (-F.col("frag")).alias("early"))).alias("b")
-    ).select(*HIT, F.col("b.frag_score").alias("frag_score"), (-F.col("b.early")).alias("frag"))
-    last = extent.groupBy(*HIT).agg(F.max("frag").alias("last_frag"))
-    return (
-        best.join(extent, [*HIT, "frag"])
-        .join(last, HIT)
-        .select(
-            *HIT,
-            "frag_start",
-            F.when(F.col("frag") == F.col("last_frag"), F.lit(None)).otherwise(F.col("frag_end")).alias("frag_end"),
-            "frag_score",
-        )
+        F.max(F.struct(score.alias("score"), (-F.col("frag")).alias("early"), "start", "end")).alias("b"),
+        F.max("frag").alias("last"),
+    )
+    end = F.when(-F.col("b.early") < F.col("last"), F.col("b.end"))
+    return best.filter("b.score > 0").select(
+        *HIT,
+        F.col("b.start").cast("int").alias("frag_start"),
+        end.cast("int").alias("frag_end"),
+        F.col("b.score").alias("frag_score"),
     )
 
 
 def search_snippets(ranked: Ranked, index: Index, config: SearchConfig = SearchConfig()) -> DataFrame:
     """``query_id, rank, score, doc_id, url, title, snippet`` of all hits; the snippet may be null."""
-    stored = fetch_stored(ranked.hits, index.docs, ranked.max_hits).withColumn(
+    hits, rows = pin(ranked.hits)
+    docs = index.docs
+    if rows is not None and len(rows) <= _PRUNE_DOCS:
+        docs = docs.filter(F.col("doc_id").isin([r["doc_id"] for r in rows]))
+    stored = fetch_stored(hits, docs, ranked.max_hits).withColumn(
         "text", flatten_newlines(F.col("content"))
     )
     terms = query_terms(ranked.leaves.table)

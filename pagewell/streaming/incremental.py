@@ -15,6 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pagewell.config import CrawlConfig
 from pagewell.functions.urls import canonical_url, url_key
 from pagewell.operators.index import build_docs, index_append
+from pagewell.operators.visits import revisit_interval
 
 _STATE = "last_time double, next_time double, interval_s double, n_visits long, n_late long"
 _OUTPUT = "url_md5 string, " + _STATE
@@ -57,6 +58,11 @@ def stream_revisit_state(visits: DataFrame, config: CrawlConfig) -> DataFrame:
     )
 
 
+def _newest(table: DataFrame, values: list[str]) -> DataFrame:
+    newest = table.groupBy("url_md5").agg(F.max_by(F.struct(*values), F.col("version")).alias("s"))
+    return newest.select("url_md5", "s.*")
+
+
 def run_revisit_state(visits: DataFrame, config: CrawlConfig, path: str, checkpoint: str) -> DataFrame:
     """Drain the stream into a versioned table at ``path`` and return the newest state per URL."""
 
@@ -73,11 +79,37 @@ def run_revisit_state(visits: DataFrame, config: CrawlConfig, path: str, checkpo
     )
     query.awaitTermination()
     table = visits.sparkSession.read.parquet(path)
-    values = ["last_time", "next_time", "interval_s", "n_visits", "n_late"]
-    newest = table.groupBy("url_md5").agg(
-        F.max_by(F.struct(*values), F.col("version")).alias("s")
+    return _newest(table, ["last_time", "next_time", "interval_s", "n_visits", "n_late"])
+
+
+def run_revisit_table(visits: DataFrame, config: CrawlConfig, path: str, checkpoint: str) -> DataFrame:
+    """Visit state per URL, kept in a table and folded batch by batch with ``revisit_interval``.
+
+    For streams in which one URL may fill a micro-batch: its visits are folded in slices, and
+    late visits are never due. Each micro-batch writes the rows it changed as a version, so a
+    repeated one reads the versions before it and replaces its own.
+    """
+    spark = visits.sparkSession
+    values = ["last_time", "next_time", "interval_s", "n_visits"]
+    schema = "url_md5 string, last_time double, next_time double, interval_s double, n_visits bigint, version int"
+
+    def fold(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.select("url_md5", "ts", "id", "outcome")
+        state = None
+        if batch_id > 0:
+            older = spark.read.schema(schema).parquet(path).filter(F.col("version") < batch_id)
+            touched = rows.select("url_md5").distinct()
+            state = _newest(older.join(touched, "url_md5", "left_semi"), values)
+        revisit_interval(rows, config, state).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+
+    query = (
+        visits.writeStream.option("checkpointLocation", checkpoint)
+        .foreachBatch(fold)
+        .trigger(availableNow=True)
+        .start()
     )
-    return newest.select("url_md5", "s.*")
+    query.awaitTermination()
+    return _newest(spark.read.schema(schema).parquet(path), values)
 
 
 def run_index_increment(documents: DataFrame, path: str, checkpoint: str) -> None:
