@@ -21,9 +21,14 @@ def _links_valid(spark: SparkSession, folder: str) -> DataFrame:
 
 def found_urls(spark: SparkSession, folder: str) -> DataFrame:
     """Distinct valid link targets; links of pages with a query string are of job ``paged``."""
-    valid = frontier.links_valid(I.links(spark, folder), I.CONFIG)
-    job = F.when(F.col("src_url").contains("?"), "paged").otherwise("plain")
-    return frontier.as_urls(valid, "dst_url", job)
+
+
+    def make() -> DataFrame:
+        valid = frontier.links_valid(I.links(spark, folder), I.CONFIG)
+        job = F.when(F.col("src_url").contains("?"), "paged").otherwise("plain")
+        return frontier.as_urls(valid, "dst_url", job)
+
+    return I.stored(spark, folder, "found-urls", make)
 
 
 SQL_FOUND = I.SQL_VALID_LINKS + f""",

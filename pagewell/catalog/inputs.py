@@ -6,6 +6,8 @@ Pages stand for the raw page store, documents for parsed texts, events for the v
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -256,6 +258,19 @@ field_stats AS (
   FROM lengths GROUP BY field)
 """
 
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark: SparkSession, folder: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """State table that a crawl job would have in storage, written once per session and folder."""
+    key = (spark.sparkContext.applicationId, folder, name)
+    if key not in _STORED:
+        path = scratch_path(spark, name)
+        make().write.parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
+
+
 _INDEXES: dict[tuple[str, str], str] = {}
 
 

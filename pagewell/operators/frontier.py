@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pagewell.config import CrawlConfig
 from pagewell.functions.html import extract_hrefs
 from pagewell.functions.urls import canonical_url, resolve_url, url_allowed, url_key
+from pagewell.operators.joins import lookup_join, pin
 
 KEY = ["job_id", "url_md5"]
 
@@ -81,28 +82,37 @@ def frontier_due(popped: DataFrame, visit_state: DataFrame, now: float | Column)
 def frontier_take(frontier: DataFrame, urls: DataFrame, limit: int) -> DataFrame:
     """Up to ``limit`` frontier URLs per job, lowest ``url_md5`` first, with their URL.
 
-    The keys are hashes, hence spread evenly over their first four digits. Whole digit
-    groups below the limit are taken as they are and only the one group that holds the
-    limit is ordered, so no task ever sees all the keys of a large budget.
+    The keys are hashes, hence spread evenly over their first four digits. Counting by those
+    digits finds the one group in which the limit falls; only that group is ordered, and its
+    last key taken is the bound that all other keys are compared with. So no task ever sees
+    all the keys of a large budget.
     """
-    keys = frontier.select(*KEY).withColumn("_group", F.substring("url_md5", 1, 4))
-    sizes = keys.groupBy("job_id", "_group").agg(F.count(F.lit(1)).alias("_n"))
+    keys = frontier.select(*KEY)
+    group = F.substring("url_md5", 1, 4).alias("_group")
+    sizes = keys.groupBy("job_id", group).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("job_id").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
-    room = (
+    room, rows = pin(
         sizes.withColumn("_room", F.lit(limit) - F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .filter(F.col("_room") > 0)
-        .withColumn("_whole", F.col("_n") <= F.col("_room"))
-        .select("job_id", "_group", "_room", "_whole")
+        .filter((F.col("_room") >= 0) & (F.col("_n") > F.col("_room")))
+        .select("job_id", "_group", "_room")
     )
-    offered = keys.join(room, ["job_id", "_group"])
     inside = Window.partitionBy("job_id", "_group").orderBy("url_md5")
-    edge = (
-        offered.filter(~F.col("_whole"))
-        .withColumn("_rank", F.row_number().over(inside))
-        .filter(F.col("_rank") <= F.col("_room"))
+    n_rows = None if rows is None else len(rows)
+    edge = lookup_join(
+        keys.select("*", group), room, ["job_id", "_group"], ["url_md5"], max_rows=n_rows
     )
-    taken = offered.filter("_whole").select(*KEY).unionByName(edge.select(*KEY))
-    return taken.join(urls.select(*KEY, "url"), KEY)
+    bounds = (
+        edge.withColumn("_rank", F.row_number().over(inside))
+        .groupBy("job_id")
+        .agg(F.max(F.when(F.col("_rank") <= F.col("_room"), F.col("url_md5"))).alias("_last"),
+             F.min("_group").alias("_first"))
+        .select("job_id", F.coalesce("_last", "_first").alias("_bound"))
+    )
+    # A job without a bound has no more keys than the limit.
+    taken = lookup_join(keys, bounds, ["job_id"], ["url_md5"], "left", max_rows=n_rows).filter(
+        F.col("_bound").isNull() | (F.col("url_md5") <= F.col("_bound"))
+    )
+    return taken.select(*KEY).join(urls.select(*KEY, "url"), KEY)
 
 
 def frontier_rest(frontier: DataFrame, taken: DataFrame) -> DataFrame:

@@ -3,8 +3,9 @@
 An index is a folder of four tables, each partitioned by ``batch_id``:
 
 * ``docs(doc_id, url, title, content)``
-* ``postings(field, term, doc_id, tf, dl, positions)``, ordered by term so that a query
-  reads only the row groups of its terms; ``dl`` is the length of the field
+* ``postings(field, term, doc_id, tf, dl, positions)``, further partitioned by ``bucket``, a
+  hash digit of the term, and sorted by term: a query opens only the folders of its terms and
+  reads only their row groups; ``dl`` is the length of the field
 * ``terms(field, term, df, ttf)`` and ``fields(field, n_docs, total_len)``: counts per
   batch, summed over batches when read
 
@@ -14,6 +15,8 @@ searchable; ``index_latest`` leaves only the newest version of each URL.
 
 from __future__ import annotations
 
+import hashlib
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -23,6 +26,7 @@ from pagewell.functions.text import doc_title, has_title, tokens
 
 FIELDS = ("content", "title")
 DOC = ["batch_id", "doc_id"]
+_BUCKETS = 16
 
 
 def need_index_take(documents: DataFrame, flags: DataFrame | None) -> DataFrame:
@@ -174,9 +178,19 @@ class Index:
     fields: DataFrame
 
 
-def _replace_batches(df: DataFrame, path: str) -> None:
+def term_bucket(term: Column) -> Column:
+    """Folder of a term: the first hex digit of its MD5."""
+    return F.substring(F.md5(term), 1, 1)
+
+
+def term_buckets_of(terms: list[str]) -> list[str]:
+    """Folders that hold the given terms."""
+    return sorted({hashlib.md5(t.encode("utf-8")).hexdigest()[0] for t in terms})
+
+
+def _replace_batches(df: DataFrame, path: str, *more: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-        "batch_id"
+        "batch_id", *more
     ).parquet(path)
 
 
@@ -186,16 +200,20 @@ def index_append(
     """Write the documents of one batch to the index at ``path``.
 
     Only the folders of this batch are replaced, so a repeated batch leaves one copy. The
-    postings are tokenised once and split by range of term and document, which also cuts a
-    term that every document holds into many files.
+    postings are tokenised once and dealt out by bucket and a salt of the document, so a term
+    that every document holds is spread over as many tasks as its bucket has salts.
     """
     spark = docs.sparkSession
     _replace_batches(docs, f"{path}/docs")
     rows = build_postings(docs) if postings is None else postings
-    order = ["field", "term", "doc_id"]
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, math.ceil(tasks / _BUCKETS))))
     _replace_batches(
-        rows.repartitionByRange(*order).sortWithinPartitions("batch_id", *order),
+        rows.withColumn("bucket", term_bucket(F.col("term")))
+        .repartition(tasks, "bucket", salt)
+        .sortWithinPartitions("batch_id", "bucket", "field", "term", "doc_id"),
         f"{path}/postings",
+        "bucket",
     )
     written = spark.read.parquet(f"{path}/postings").filter(F.col("batch_id") == batch_id)
     _replace_batches(term_stats(written, "batch_id"), f"{path}/terms")
@@ -222,21 +240,25 @@ def index_increment(
 def read_index(spark: SparkSession, path: str) -> Index:
     """Open the index at ``path``."""
 
-    def table(name: str) -> DataFrame:
-        df = spark.read.parquet(f"{path}/{name}")
-        return df.withColumn("batch_id", F.col("batch_id").cast("long"))
+    def table(name: str, columns: str) -> DataFrame:
+        return spark.read.schema(f"{columns}, batch_id bigint").parquet(f"{path}/{name}")
 
     return Index(
-        docs=table("docs"),
-        postings=table("postings"),
-        terms=table("terms"),
-        fields=table("fields").groupBy("field").agg(
-            F.sum("n_docs").alias("n_docs"), F.sum("total_len").alias("total_len")
+        docs=table("docs", "doc_id bigint, url string, title string, content string"),
+        postings=table(
+            "postings",
+            "field string, term string, doc_id bigint, tf bigint, dl bigint, "
+            "positions array<int>, bucket string",
         ),
+        terms=table("terms", "field string, term string, df bigint, ttf bigint"),
+        fields=table("fields", "field string, n_docs bigint, total_len bigint")
+        .groupBy("field")
+        .agg(F.sum("n_docs").alias("n_docs"), F.sum("total_len").alias("total_len")),
     )
 
 
 def index_of_docs(docs: DataFrame, postings: DataFrame | None = None) -> Index:
     """Index that is computed on the fly, for small corpora and tests."""
     rows = build_postings(docs) if postings is None else postings
+    rows = rows.withColumn("bucket", term_bucket(F.col("term")))
     return Index(docs, rows, term_stats(rows, "batch_id"), corpus_stats(rows))
