@@ -42,12 +42,20 @@ def lookup_join(
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
-def pin(df: DataFrame) -> tuple[DataFrame, list | None]:
-    """Compute a normally small table once: kept as literal rows, or written when it is large."""
+def pin(df: DataFrame, maybe_large: bool = False) -> tuple[DataFrame, list | None]:
+    """Compute a table once: kept as literal rows when it is small, written when it is large.
+
+    A table that may well be large is written at once, so that it is not begun twice.
+    """
     spark = df.sparkSession
-    rows = df.limit(PIN_ROWS + 1).collect()
-    if len(rows) <= PIN_ROWS:
-        return spark.createDataFrame(rows, df.schema), rows
+    if not maybe_large:
+        rows = df.limit(PIN_ROWS + 1).collect()
+        if len(rows) <= PIN_ROWS:
+            return spark.createDataFrame(rows, df.schema), rows
     path = scratch_path(spark, "pinned")
     df.write.parquet(path)
-    return spark.read.parquet(path), None
+    written = spark.read.parquet(path)
+    if maybe_large and written.count() <= PIN_ROWS:
+        rows = written.collect()
+        return spark.createDataFrame(rows, df.schema), rows
+    return written, None
