@@ -183,9 +183,17 @@ own AS (SELECT * FROM known WHERE job_id = {I.START_MD5})
 _START_ROW = f"SELECT {I.START_MD5} AS job_id, {I.START_MD5} AS url_md5, 'http://start.example.com' AS url"
 
 
-@query("job_seed_new_job", f"WITH {I.SQL_PAGE_URLS} {_START_ROW} WHERE EXISTS (SELECT 1 FROM page_urls)")
+@query(
+    "job_seed_new_job",
+    f"WITH {SQL_JOB} SELECT job_id, url_md5, url FROM known WHERE job_id <> {I.START_MD5} "
+    f"AND length(url) % 2 = 0 UNION ALL {_START_ROW}",
+)
 def _job_seed_new_job(spark: SparkSession, folder: str) -> DataFrame:
-    return frontier.job_seed("new_job", *job_tables(spark, folder), I.CONFIG)
+    # The frontier after a new job began: its own was flushed, the other jobs keep theirs.
+    known, waiting = job_tables(spark, folder)
+    kept = frontier.job_flush({"frontier": waiting}, frontier.job_id_of(I.CONFIG.start_url))["frontier"]
+    others = kept.join(known.select(*frontier.KEY, "url"), frontier.KEY)
+    return others.unionByName(frontier.job_seed("new_job", known, waiting, I.CONFIG))
 
 
 @query("job_seed_resume", f"WITH {SQL_JOB} SELECT * FROM own WHERE length(url) % 2 = 0")

@@ -225,7 +225,7 @@ def two_batches(spark: SparkSession, folder: str) -> str:
     return path
 
 
-_SQL_BATCHES = I.SQL_DOCUMENTS + r""",
+SQL_BATCHES = I.SQL_DOCUMENTS + r""",
 batched AS (
   SELECT doc_id, url, text AS content, CAST(0 AS BIGINT) AS batch_id FROM documents_in WHERE n_chars > 500
   UNION ALL
@@ -236,7 +236,7 @@ batch_docs AS (
 """
 
 
-@query("index_increment", f"WITH {_SQL_BATCHES} SELECT batch_id, doc_id, url, title, content FROM batch_docs")
+@query("index_increment", f"WITH {SQL_BATCHES} SELECT batch_id, doc_id, url, title, content FROM batch_docs")
 def _index_increment(spark: SparkSession, folder: str) -> DataFrame:
     docs = index.read_index(spark, two_batches(spark, folder)).docs
     return docs.select("batch_id", "doc_id", "url", "title", "content")
@@ -244,7 +244,7 @@ def _index_increment(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "sink_index_append",
-    rf"""WITH {_SQL_BATCHES},
+    rf"""WITH {SQL_BATCHES},
     t AS (
       SELECT batch_id, doc_id, 'content' AS field, regexp_extract_all(lower(content), '[\p{{L}}\p{{N}}_]+') AS l FROM batch_docs
       UNION ALL
@@ -260,7 +260,7 @@ def _sink_index_append(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "index_latest",
-    f"""WITH {_SQL_BATCHES} SELECT batch_id, doc_id, url, title FROM (
+    f"""WITH {SQL_BATCHES} SELECT batch_id, doc_id, url, title FROM (
       SELECT *, row_number() OVER (PARTITION BY url ORDER BY batch_id DESC) AS rn FROM batch_docs) WHERE rn = 1""",
 )
 def _index_latest(spark: SparkSession, folder: str) -> DataFrame:

@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewell.catalog import inputs as I
+from pagewell.catalog.indexing import SQL_BATCHES, two_batches
 from pagewell.catalog.registry import query
 from pagewell.config import SearchConfig
 from pagewell.functions.text import flatten_newlines
 from pagewell.operators import search as S
+from pagewell.operators.index import read_index
 from pagewell.operators.snippets import best_fragment, query_terms, search_snippets
 from pagewell.session import scratch_path
 from pagewell.sources.sinks import sink_hits
@@ -380,6 +382,38 @@ def _search_batch_safe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+_LATEST_SCORE = _BM25.format(weight="1.0", idf=_IDF.format(df="s.df"), tf="p.tf")
+
+
+@query(
+    "search_latest",
+    rf"""WITH {SQL_BATCHES}, {I.SQL_QUERIES},
+    l AS (
+      SELECT batch_id, doc_id, url, regexp_extract_all(lower(content), '[\p{{L}}\p{{N}}_]+') AS t FROM batch_docs),
+    p AS (
+      SELECT batch_id, doc_id, url, term, count(*) AS tf, any_value(dl) AS dl FROM (
+        SELECT batch_id, doc_id, url, CAST(len(t) AS BIGINT) AS dl, unnest(t) AS term FROM l)
+      GROUP BY batch_id, doc_id, url, term),
+    s AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+    f AS (SELECT count(*) FILTER (WHERE len(t) > 0) AS n_docs, CAST(sum(len(t)) AS BIGINT) AS total_len FROM l),
+    newest AS (SELECT url, max(batch_id) AS batch_id FROM batch_docs GROUP BY url),
+    bare AS ({_BARE}),
+    scored AS (
+      SELECT b.query_id, p.batch_id, p.doc_id, round(sum({_LATEST_SCORE}), 6) AS score
+      FROM bare b JOIN p ON p.term = b.term JOIN s ON s.term = b.term CROSS JOIN f
+      JOIN newest n ON n.url = p.url AND n.batch_id = p.batch_id
+      GROUP BY b.query_id, p.batch_id, p.doc_id),
+    ranked AS (
+      SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, batch_id, doc_id) AS INTEGER) AS rank
+      FROM scored)
+    SELECT query_id, rank, score, batch_id, doc_id FROM ranked WHERE rank <= 20""",
+)
+def _search_latest(spark: SparkSession, folder: str) -> DataFrame:
+    index = read_index(spark, two_batches(spark, folder))
+    clauses_in = S.clauses_of_text(I.user_queries(spark, folder))
+    return S.search(index, clauses_in, latest_only=True).hits.select(*HITS, "batch_id")
+
+
 # --- snippets -----------------------------------------------------------------------------------
 
 _SQL_FRAGMENTS = r"""

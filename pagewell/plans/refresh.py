@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pagewell.config import CrawlConfig
 from pagewell.functions.fetches import decode_body, parse_charset, route_content
-from pagewell.functions.html import extract_text
+from pagewell.functions.html import extract_text, needs_render
 from pagewell.functions.urls import (
     canonical_url,
     file_extension,
@@ -92,6 +92,12 @@ def read_fetches(fetch_log: DataFrame, job_id: str) -> DataFrame:
     )
 
 
+def to_render(fetch_log: DataFrame, job_id: str) -> DataFrame:
+    """``job_id, url_md5, url`` of fetched pages that want a browser before they are read."""
+    html = read_fetches(fetch_log, job_id).filter("route = 'html'")
+    return html.filter(needs_render(F.col("html"))).select(*KEY, "url")
+
+
 def refresh_round(
     tables: CrawlTables,
     popped: DataFrame,
@@ -99,15 +105,20 @@ def refresh_round(
     config: CrawlConfig,
     job_id: str,
     now: float,
+    rendered: DataFrame | None = None,
 ) -> CrawlTables:
     """State tables after a round.
 
     ``popped`` are the URLs taken from the frontier and ``fetch_log`` the answers for those
-    of them that were due. The tables of the result are lazy: write them before the next
+    of them that were due; ``rendered(url_md5, html)`` replaces the source of the pages that a
+    browser was asked for. The tables of the result are lazy: write them before the next
     round.
     """
     fetches = read_fetches(fetch_log, job_id)
     html = fetches.filter("route = 'html'")
+    if rendered is not None:
+        shown = rendered.select("url_md5", F.col("html").alias("shown"))
+        html = html.join(shown, "url_md5", "left").withColumn("html", F.coalesce("shown", "html"))
     found = as_urls(
         links_valid(extract_links(html.select("url", "html")), config), "dst_url", F.lit(job_id)
     )

@@ -23,6 +23,8 @@ def build_session(app_name: str = "pagewell", master: str | None = None, **conf:
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Rows that reach Python hold whole texts, so batches are small.
+        .config("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
         .config(
             "spark.sql.streaming.stateStore.providerClass",

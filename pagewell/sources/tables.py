@@ -20,7 +20,10 @@ def spread_small(df: DataFrame) -> DataFrame:
     A small parquet file is often one row group, hence one task, while the text work on its
     rows is heavy. Large tables have row groups enough and are never shuffled for this.
     """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    plan = getattr(df, "_jdf", None)
+    if plan is None:  # a remote session does not show its plans
+        return df
+    size = int(str(plan.queryExecution().optimizedPlan().stats().sizeInBytes()))
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if size < SPREAD_BELOW_BYTES else df
 
