@@ -232,8 +232,8 @@ def _needs_render(spark: SparkSession, folder: str) -> DataFrame:
 SQL_TEXTS = I.SQL_LINKS + r""",
 page_runs AS (
   SELECT page_id, list_filter(list_transform(regexp_split_to_array(h, '<[^>]*>'), lambda r:
-    regexp_replace(replace(replace(replace(replace(r, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'),
-      '&amp;', '&'), '^[\s\x{a0}]+|[\s\x{a0}]+\z', '', 'g')),
+    regexp_replace(regexp_replace(replace(replace(replace(r, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'),
+      '&amp;?', '&', 'g'), '^[\s\x{a0}]+|[\s\x{a0}]+\z', '', 'g')),
     lambda r: regexp_matches(r, '[\p{L}\p{N}_]')) AS runs
   FROM visible),
 page_texts AS (

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import count
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from pagewell.config import CrawlConfig
@@ -27,6 +27,16 @@ def keyed_edges(edges: DataFrame) -> DataFrame:
     )
 
 
+_ROUND = "job_id string, url_md5 string, url string, round int"
+
+
+def _write_counted(df: DataFrame, path: str) -> int:
+    """Write ``df`` and return its number of rows, counted while writing."""
+    rows = Observation()
+    df.observe(rows, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    return rows.get["n"]
+
+
 def crawl_closure(
     edges: DataFrame, seeds: DataFrame, config: CrawlConfig, budget: int | None = None
 ) -> DataFrame:
@@ -45,14 +55,13 @@ def crawl_closure(
     keyed_edges(edges.filter(url_allowed(F.col("dst_url"), config.allow, config.deny))).write.parquet(
         f"{base}/edges"
     )
-    links = spark.read.parquet(f"{base}/edges")
+    links = spark.read.schema("src_md5 string, url string, url_md5 string").parquet(f"{base}/edges")
     frontier_path = f"{base}/frontier/0"
-    as_urls(seeds, "url", job).withColumn("round", F.lit(0)).write.parquet(frontier_path)
+    size = _write_counted(as_urls(seeds, "url", job).withColumn("round", F.lit(0)), frontier_path)
     taken_paths: list[str] = []
     left = budget
     for number in count():
-        frontier = spark.read.parquet(frontier_path)
-        size = frontier.count()
+        frontier = spark.read.schema(_ROUND).parquet(frontier_path)
         if size == 0 or left == 0:
             break
         if left is None or size <= left:
@@ -62,12 +71,12 @@ def crawl_closure(
             path = f"{base}/visited/{number}"
             best = frontier_take(frontier, frontier, left)
             best.withColumn("round", F.lit(number)).write.parquet(path)
-            taken = spark.read.parquet(path)
+            taken = spark.read.schema(_ROUND).parquet(path)
             rest = frontier.join(taken.select("url_md5"), "url_md5", "left_anti")
             taken_paths.append(path)
         n_taken = size if left is None else min(left, size)
         left = None if left is None else left - n_taken
-        visited = spark.read.parquet(*taken_paths).select("url_md5")
+        visited = spark.read.schema(_ROUND).parquet(*taken_paths).select("url_md5")
         sources = taken.filter(allowed).select(F.col("url_md5").alias("src_md5"))
         found = (
             lookup_join(links, sources, ["src_md5"], ["url_md5"], max_rows=n_taken)
@@ -81,5 +90,5 @@ def crawl_closure(
                 rest.select("job_id", "url_md5", "url")
             )
         frontier_path = f"{base}/frontier/{number + 1}"
-        found.withColumn("round", F.lit(number + 1)).write.parquet(frontier_path)
-    return spark.read.parquet(*(taken_paths or [frontier_path])).select("url_md5", "url", "round")
+        size = _write_counted(found.withColumn("round", F.lit(number + 1)), frontier_path)
+    return spark.read.schema(_ROUND).parquet(*(taken_paths or [frontier_path])).select("url_md5", "url", "round")
