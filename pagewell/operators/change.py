@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from pagewell.functions.text import strip_digits
+from pagewell.session import stage
 
 KEY = "url_md5"
 
@@ -94,15 +95,15 @@ def change_detect(
     error = F.coalesce(F.col("status") == "error", F.lit(False))
     visited = F.coalesce("visited", F.lit(False))
     too_long = length_bound(F.col("old_len"), F.col("new_len")) <= threshold
-    judged = paired.select(
-        KEY,
+    outcome = (
         F.when(error & visited, "unchanged")
         .when(error, "first")
         .when(F.col("old_found").isNull() | ~visited, "first")
         .when(F.col("old_md5") == F.col("new_md5"), "unchanged")
         .when(too_long, "changed")
-        .alias("outcome"),
     )
+    # Narrow rows, written once: both text scans below start from them.
+    judged = stage(paired.select(KEY, outcome.alias("outcome")), "judged")
     open_keys = judged.filter(F.col("outcome").isNull()).select(KEY)
     a = old.join(open_keys, KEY, "left_semi").select(KEY, strip_digits(F.col("text")).alias("a"))
     b = new.join(open_keys, KEY, "left_semi").select(KEY, strip_digits(F.col("text")).alias("b"))

@@ -38,6 +38,7 @@ from pagewell.operators.visits import (
     next_interval,
     visit_state_upsert,
 )
+from pagewell.session import stage
 
 
 @dataclass(frozen=True)
@@ -119,13 +120,16 @@ def refresh_round(
     if rendered is not None:
         shown = rendered.select("url_md5", F.col("html").alias("shown"))
         html = html.join(shown, "url_md5", "left").withColumn("html", F.coalesce("shown", "html"))
-    found = as_urls(
-        links_valid(extract_links(html.select("url", "html")), config), "dst_url", F.lit(job_id)
-    )
+    # Links, texts and outcomes feed several tables each: they are computed once.
+    links = links_valid(extract_links(html.select("url", "html")), config)
+    found = stage(as_urls(links, "dst_url", F.lit(job_id)), "round-links")
     visited = visited_add(tables.visited, popped)
     new_links = links_unvisited(found, visited)
-    texts = html.select(
-        "url_md5", extract_text(F.col("html")).alias("text"), F.lit("ok").alias("status")
+    texts = stage(
+        html.select(
+            "url_md5", extract_text(F.col("html")).alias("text"), F.lit("ok").alias("status")
+        ),
+        "round-texts",
     )
     errors = fetches.filter("route = 'error'").select(
         "url_md5", F.lit(None).cast("string").alias("text"), F.lit("error").alias("status")
@@ -133,12 +137,13 @@ def refresh_round(
     job = F.col("job_id") == job_id
     old = tables.documents.filter(job)
     state = tables.visit_state.filter(job)
-    outcomes = change_detect(
+    judged = change_detect(
         old.select("url_md5", "text"),
         texts.unionByName(errors),
         state.select("url_md5"),
         config.same_ratio,
-    ).withColumn("job_id", F.lit(job_id))
+    )
+    outcomes = stage(judged.withColumn("job_id", F.lit(job_id)), "round-outcomes")
     visits = outcomes.join(state.select(*KEY, "interval_s"), KEY, "left")
     started = F.when(F.col("outcome") != "first", F.col("interval_s"))
     interval = next_interval(F.col("outcome"), started, config)
