@@ -48,9 +48,9 @@ def fragments(hits: DataFrame, length: int) -> DataFrame:
 
 
 def best_fragment(hits: DataFrame, terms: DataFrame, length: int = 128, max_terms: int | None = None) -> DataFrame:
-    """``query_id, rank, frag_start, frag_end, frag_score`` of the best fragment of each hit.
+    """``query_id, rank, frag_start, frag_end, frag_score, terms`` of the best fragment of each hit.
 
-    ``hits`` has ``query_id, rank, text`` and ``terms`` has ``query_id, term, weight``. The end
+    ``terms`` are the query's terms found in that fragment. ``hits`` has ``query_id, rank, text`` and ``terms`` has ``query_id, term, weight``. The end
     of a text's last fragment is null: it takes in whatever follows. Hits without a matching
     term have no row. The windows and both sums share one exchange by hit.
     """
@@ -64,7 +64,7 @@ def best_fragment(hits: DataFrame, terms: DataFrame, length: int = 128, max_term
     )
     score = F.round(F.aggregate("m", F.lit(0.0), lambda acc, x: acc + x["weight"]), 6)
     best = scored.groupBy(*HIT).agg(
-        F.max(F.struct(score.alias("score"), (-F.col("frag")).alias("early"), "start", "end")).alias("b"),
+        F.max(F.struct(score.alias("score"), (-F.col("frag")).alias("early"), "start", "end", "m")).alias("b"),
         F.max("frag").alias("last"),
     )
     end = F.when(-F.col("b.early") < F.col("last"), F.col("b.end"))
@@ -73,6 +73,7 @@ def best_fragment(hits: DataFrame, terms: DataFrame, length: int = 128, max_term
         F.col("b.start").cast("int").alias("frag_start"),
         end.cast("int").alias("frag_end"),
         F.col("b.score").alias("frag_score"),
+        F.transform("b.m", lambda x: x["term"]).alias("terms"),
     )
 
 
@@ -89,7 +90,6 @@ def search_snippets(ranked: Ranked, index: Index, config: SearchConfig = SearchC
     best = best_fragment(
         stored.select(*HIT, "text"), terms, config.snippet_length, ranked.leaves.max_rows
     )
-    marks = terms.groupBy("query_id").agg(F.collect_set("term").alias("terms"))
     fragment = F.substring(
         F.col("text"),
         F.col("frag_start") + 1,
@@ -97,7 +97,6 @@ def search_snippets(ranked: Ranked, index: Index, config: SearchConfig = SearchC
     )
     return (
         stored.join(best, HIT, "left")
-        .join(marks, "query_id", "left")
         .select(
             *["query_id", "rank", "score", "doc_id", "url", "title"],
             highlight_terms(fragment, F.col("terms"), config.open_tag, config.close_tag).alias("snippet"),
