@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pagewell.catalog.registry import Entry
+from pagewell.llm.packing import pack_documents
 from pagewell.llm.simhash import simhash_groups
 from pagewell.llm.streaming_dedup import exact_duplicates
 
@@ -42,3 +45,11 @@ def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_duplicates(spark, _table(spark, folder, "documents")).drop("at")
+
+
+@_query("op1_pack")
+def op1_pack(spark: SparkSession, folder: str) -> DataFrame:
+    packed = pack_documents(_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packed.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
