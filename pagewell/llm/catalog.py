@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewell.catalog.registry import Entry
+from pagewell.llm.mixing import mix_sources
 from pagewell.llm.packing import pack_documents
 from pagewell.llm.simhash import simhash_groups
 from pagewell.llm.streaming_dedup import exact_duplicates
@@ -53,3 +54,8 @@ def op1_pack(spark: SparkSession, folder: str) -> DataFrame:
     return packed.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
+
+
+@_query("op8_mix_sources")
+def op8_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
+    return mix_sources(_table(spark, folder, "documents"))
