@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewell.catalog.registry import Entry
 from pagewell.llm.mixing import mix_sources
 from pagewell.llm.packing import pack_documents
+from pagewell.llm.quality import fit_rules
 from pagewell.llm.simhash import simhash_groups
 from pagewell.llm.streaming_dedup import exact_duplicates
 
@@ -59,3 +60,16 @@ def op1_pack(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op8_mix_sources")
 def op8_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mix_sources(_table(spark, folder, "documents"))
+
+
+def held_out(id_col: str = "doc_id") -> Column:
+    """Rows that no model is fitted on."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+@_query("op2_quality_rules")
+def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    model = fit_rules(docs, _table(spark, folder, "labels"), keep=~held_out())
+    scored = docs.select("doc_id", held_out().alias("held_out"), model.score(F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))

@@ -87,6 +87,7 @@ def mix_sources(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    order_col: str | None = None,
 ) -> DataFrame:
     """One row per document: ``<id_col>, <source_col>, size, source_size, target, taken, draws``.
 
@@ -99,12 +100,13 @@ def mix_sources(
     With ``cut`` the document on which a target ends gives only the words up to it, so each source
     meets its target to a word; without, it is taken whole when its middle lies before the target.
     Null texts and texts without words have size zero and are never drawn; the null source is a
-    source. Rows with the same id are separate documents. The driver holds one row per source. Reruns
+    source. Rows with the same id are separate documents. The random order follows ``order_col``, by
+    default the id. The driver holds one row per source. Reruns
     give the same mix. An empty table gives no rows.
     """
     spark = docs.sparkSession
     words = F.size(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD), F.lit(0))).cast("long")
-    order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+    order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(order_col or id_col).cast("string"), F.lit(""))))
     sized = stage(
         docs.select(
             F.monotonically_increasing_id().alias("row"),
@@ -173,7 +175,7 @@ def mix_sources(
         .select("shard", "k", F.explode(F.sequence("first", F.col("first") + F.col("count") - 1)).alias("rank"))
     )
     routed = drawn.join(owner, ["k", "rank"], "left").withColumn(
-        "place", F.xxhash64(F.lit(seed), "shard", "order", "draw.lap", "row")
+        "place", F.xxhash64(F.lit(seed), "shard", "order", "draw.lap")
     )
     where_to = F.struct("draw.lap", "draw.words", "shard", "place")
     return (

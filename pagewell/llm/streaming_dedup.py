@@ -33,7 +33,7 @@ def _located(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def _stored(docs: DataFrame) -> tuple[DataFrame, str]:
+def stored(docs: DataFrame) -> tuple[DataFrame, str]:
     """``docs`` as a plain scan of one folder or file, and that path; written first if it is no such scan."""
     try:
         docs.select("_metadata.row_index").schema  # noqa: B018 - only a plain file scan has the column
@@ -111,7 +111,7 @@ def exact_duplicates(
     that differ from it (a digest collision) are grouped by their whole texts. An empty table
     gives no rows; other columns of any name are ignored.
     """
-    docs, path = _stored(docs)
+    docs, path = stored(docs)
     located = _located(docs, id_col, text_col)
     rows = located.select("id", "at", _digest(F.col("text")).alias("digest"))
     if not docs.inputFiles() or docs.isEmpty():
