@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewell.llm.catalog import held_out
+from pagewell.llm.located import place, stored
 from pagewell.llm.mixing import mix_sources
 from pagewell.llm.packing import pack_documents
 from pagewell.llm.quality import fit_rules
 from pagewell.llm.simhash import simhash_groups
-from pagewell.llm.streaming_dedup import exact_duplicates, stored
+from pagewell.llm.streaming_dedup import exact_duplicates
 from pagewell.session import stage
 
 # The stages train a model, hash words and draw at random, which SQL cannot repeat.
@@ -20,14 +21,9 @@ ORACLE_SQL = None
 _ROW = "__row"
 
 
-def _place() -> Column:
-    """File and row of a document: tells rows apart whatever their ids are."""
-    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-
-
 def _with_rows(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
     """``docs`` (a plain scan) joined with ``rows`` by the column ``__row``."""
-    return docs.select("*", _place().alias(_ROW)).join(rows, _ROW, how)
+    return docs.select("*", place().alias(_ROW)).join(rows, _ROW, how)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +42,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays, the one with the smallest id (null first)."""
     docs, _ = stored(docs)
-    known = docs.select(F.struct("doc_id", _place().alias("place")).alias("known"), "text")
+    known = docs.select(F.struct("doc_id", place().alias("place")).alias("known"), "text")
     kept = simhash_groups(known, id_col="known").where("known = component_id")
     return _with_rows(docs, kept.select(F.col("known.place").alias(_ROW)), "left_semi").select(*docs.columns)
 
@@ -54,7 +50,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of the mix, whole, shard by shard in their shuffled order; a second lap repeats them."""
     docs, _ = stored(docs)
-    known = docs.select(_place().alias(_ROW), "doc_id", "text", "source")
+    known = docs.select(place().alias(_ROW), "doc_id", "text", "source")
     draws = mix_sources(known, cut=False, id_col=_ROW, order_col="doc_id").select(_ROW, F.explode("draws").alias("draw"))
     mixed = _with_rows(docs, draws, "inner")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -12,6 +12,7 @@ from pagewell.llm.packing import pack_documents
 from pagewell.llm.quality import fit_rules
 from pagewell.llm.simhash import simhash_groups
 from pagewell.llm.streaming_dedup import exact_duplicates
+from pagewell.llm.substring_dedup import repeated_windows
 
 ENTRIES: dict[str, Entry] = {}
 
@@ -73,3 +74,29 @@ def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     model = fit_rules(docs, _table(spark, folder, "labels"), keep=~held_out())
     scored = docs.select("doc_id", held_out().alias("held_out"), model.score(F.col("text")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+@_query(
+    "op5_substring_dedup",
+    r"""
+    WITH w AS (
+        SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+    ), win AS (
+        SELECT doc_id, p, array_to_string(words[p:p + 49], ' ') AS win
+        FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS p FROM w)
+    ), hit AS (
+        SELECT doc_id, p FROM (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY win) AS low FROM win) WHERE low < doc_id
+    ), gone AS (
+        SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS p FROM hit
+    ), each AS (
+        SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS p FROM w
+    ), kept AS (
+        SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS rest
+        FROM each ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+    )
+    SELECT doc_id, len(words) AS n_words, len(words) - coalesce(n, 0) AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256
+    FROM w LEFT JOIN kept USING (doc_id)
+    """,
+)
+def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return repeated_windows(_table(spark, folder, "documents")).drop("spans")

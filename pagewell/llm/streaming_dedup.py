@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import posixpath
-from urllib.parse import unquote
-
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagewell.llm.located import place, stored
 from pagewell.session import scratch_path, stage
 
 _STORE = "spark.sql.streaming.stateStore.providerClass"
@@ -24,33 +21,10 @@ def _digest(text: Column) -> Column:
 def _located(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Identifier, text and content locator: the file and the row in it."""
     return docs.select(
-        F.col(id_col).alias("id"),
-        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-        F.struct(
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.row_index").alias("row"),
-        ).alias("at"),
+        F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), place().alias("at")
     )
 
 
-def stored(docs: DataFrame) -> tuple[DataFrame, str]:
-    """``docs`` as a plain scan of one folder or file, and that path; written first if it is no such scan."""
-    try:
-        docs.select("_metadata.row_index").schema  # noqa: B018 - only a plain file scan has the column
-        files = docs.inputFiles()
-    except AnalysisException:
-        files = []
-    folders = {posixpath.dirname(f) for f in files}
-    if len(files) == 1:
-        # A stream takes a single file only as a pattern.
-        name = unquote(files[0])
-        return docs, f"{name[:-1]}[{name[-1]}]"
-    if len(folders) == 1:
-        return docs, unquote(folders.pop())
-    written = stage(docs, "dedup_input")
-    return written, unquote(posixpath.dirname((written.inputFiles() or [""])[0]))
-
-
 def digest_state(stream: DataFrame) -> DataFrame:
     """State per digest of a stream of ``(id, text, at)``: how often it came, and who stays where.
 
