@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewell.catalog.registry import Entry
+from pagewell.llm.embeddings import near_vectors
 from pagewell.llm.mixing import mix_sources
 from pagewell.llm.packing import pack_documents
 from pagewell.llm.quality import fit_rules
@@ -100,3 +101,31 @@ def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_windows(_table(spark, folder, "documents")).drop("spans")
+
+
+@_query(
+    "op9_embedding_near_dedup",
+    """
+    WITH RECURSIVE v AS (
+        SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+    ), ok AS (
+        SELECT vec_id, e FROM v
+        WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+          AND list_dot_product(e, e) > 0
+    ), link AS (
+        SELECT a.vec_id AS u, b.vec_id AS w FROM ok a JOIN ok b
+        ON a.vec_id <> b.vec_id
+           AND list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.95
+    ), reach AS (
+        SELECT vec_id AS u, vec_id AS w FROM v UNION SELECT r.u, l.w FROM reach r JOIN link l ON r.w = l.u
+    ), n AS (
+        SELECT u, count(*) AS n FROM link GROUP BY u
+    ), c AS (
+        SELECT u, min(w) AS c FROM reach GROUP BY u
+    )
+    SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, c AS component_id, vec_id = c AS kept
+    FROM v JOIN c ON c.u = vec_id LEFT JOIN n ON n.u = vec_id
+    """,
+)
+def op9_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors(_table(spark, folder, "embeddings"))

@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewell.session import stage
 
 
+def join_roots(root: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Roots after linking ``u`` with ``v``; a root is the smallest position of its group."""
+    while True:
+        a, b = root[u], root[v]
+        if (a == b).all():
+            return root
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while not (root[root] == root).all():
+            root = root[root]
+
+
 def _ranked(node: str):
     # A random order of the nodes: every round then removes a constant share of them, chains included.
     return F.struct(F.xxhash64(node).alias("h"), F.col(node).alias("node"))

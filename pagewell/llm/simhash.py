@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewell.llm.components import components
+from pagewell.llm.components import components, join_roots
 from pagewell.session import stage
 
 _ONE = np.uint64(1)
@@ -103,21 +103,10 @@ def _linked(fps: np.ndarray, bucket: np.ndarray, radius: int) -> np.ndarray:
                 near = np.unpackbits((~over[part]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
                 row, bit = np.nonzero(near)
                 u, v = q[part][row], word_start[w[part][row]] + bit
-                root = _join(root, u, v)
+                root = join_roots(root, u, v)
     return root
 
 
-def _join(root: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Roots after linking ``u`` with ``v``; a root is the smallest position of its group."""
-    while True:
-        a, b = root[u], root[v]
-        if (a == b).all():
-            return root
-        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
-        while not (root[root] == root).all():
-            root = root[root]
-
-
 def _bucket_edges(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(table: pa.Table) -> pa.RecordBatch:
