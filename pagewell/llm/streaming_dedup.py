@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from pagewell.llm.located import place, stored
 from pagewell.session import scratch_path, stage
 
-_STORE = "spark.sql.streaming.stateStore.providerClass"
-_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # A store would else reserve megabytes on disk however little it holds.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 # Files per micro-batch; the state per partition grows with distinct texts, never with a batch.
 FILES_PER_BATCH = 10_000
 
@@ -42,8 +45,9 @@ def run_digest_state(stream: DataFrame, path: str, checkpoint: str) -> DataFrame
     ``checkpoint`` goes on where the last committed batch ended.
     """
     spark = stream.sparkSession
-    before = spark.conf.get(_STORE, None)
-    spark.conf.set(_STORE, _ROCKS)
+    before = {key: spark.conf.get(key, None) for key in _STATE_SETTINGS}
+    for key, value in _STATE_SETTINGS.items():
+        spark.conf.set(key, value)
 
     def keep(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
@@ -61,10 +65,11 @@ def run_digest_state(stream: DataFrame, path: str, checkpoint: str) -> DataFrame
         if query.exception():
             raise query.exception()
     finally:
-        if before is None:
-            spark.conf.unset(_STORE)
-        else:
-            spark.conf.set(_STORE, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
     versions = spark.read.option("basePath", path).parquet(f"{path}/version=*")
     return versions.groupBy("digest").agg(F.max_by(F.struct("keeper", "n"), "version").alias("s")).select("digest", "s.*")
 
