@@ -14,6 +14,8 @@ from pagewell.llm.quality import fit_rules
 from pagewell.llm.simhash import simhash_groups
 from pagewell.llm.streaming_dedup import exact_duplicates
 from pagewell.llm.substring_dedup import repeated_windows
+from pagewell.llm.warc import base32_sha1, read_warc, write_warc
+from pagewell.session import scratch_path
 
 ENTRIES: dict[str, Entry] = {}
 
@@ -129,3 +131,41 @@ def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op9_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_vectors(_table(spark, folder, "embeddings"))
+
+
+@_query(
+    "op6_warc",
+    """
+    WITH p AS (
+        SELECT page_id, coalesce(html, '') AS body FROM pages
+    ), d AS (
+        SELECT page_id, strlen(body) AS n, min(page_id) OVER (PARTITION BY body) AS first,
+               list_transform(range(0, 8), lambda i: ('0x' || substr(sha1(body), (i * 5 + 1)::INT, 5))::INT) AS g
+        FROM p
+    )
+    SELECT page_id, n AS payload_bytes,
+           list_aggregate(flatten(list_transform(g, lambda v: list_transform([15, 10, 5, 0], lambda s:
+               'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((v >> s) & 31) + 1]))), 'string_agg', '') AS payload_digest,
+           CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> first THEN first END AS refers_to
+    FROM d
+    """,
+)
+def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    write_warc(_table(spark, folder, "pages"), path)
+    records = read_warc(spark, path, ["record_type", "record_id", "refers_to", "payload_digest", "headers", "payload"])
+    is_response = F.col("record_type") == "response"
+
+    def page(name: str) -> Column:
+        return F.regexp_extract(name, "^<urn:page:(-?[0-9]+)>$", 1).try_cast("bigint")
+
+    return records.select(
+        page("record_id").alias("page_id"),
+        F.when(is_response, F.octet_length("payload")).otherwise(F.col("headers")["x-payload-length"]).cast("long").alias("payload_bytes"),
+        F.when(is_response, base32_sha1(F.col("payload"))).otherwise(F.regexp_replace("payload_digest", "^sha1:", "")).alias(
+            "payload_digest"
+        ),
+        "record_type",
+        page("refers_to").alias("refers_to"),
+    )
