@@ -14,6 +14,7 @@ from pagewell.llm.quality import fit_rules
 from pagewell.llm.simhash import simhash_groups
 from pagewell.llm.streaming_dedup import exact_duplicates
 from pagewell.llm.substring_dedup import repeated_windows
+from pagewell.llm.token_counts import TokenTotals, count_tokens
 from pagewell.llm.warc import base32_sha1, read_warc, write_warc
 from pagewell.session import scratch_path
 
@@ -169,3 +170,31 @@ def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
         "record_type",
         page("refers_to").alias("refers_to"),
     )
+
+
+@_query("op7_token_counts")
+def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Totals after three batches: all documents come, low-quality ones go, then the rest is recounted.
+
+    The second batch deletes the documents that ``labels`` marks 0; it is committed twice. The third
+    revises the documents that repeat lines: it counts each distinct line once.
+    """
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = _table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "source", "lang", "text")
+    version = F.lit("word_bpe_49k").alias("version")
+    totals = TokenTotals(spark, scratch_path(spark, "token_totals"))
+    known = docs.where("id IS NOT NULL")
+    totals.commit(0, count_tokens(known, path).withColumn("op", F.lit("upsert")).withColumn("version", version))
+    gone = _table(spark, folder, "labels").where("quality = 0").select(
+        F.col("doc_id").alias("id"), F.lit("delete").alias("op"), F.lit(None).cast("string").alias("source"),
+        F.lit(None).cast("string").alias("lang"), version, F.lit(0).alias("tokens"),
+    )
+    totals.commit(1, gone)
+    totals.commit(1, gone)
+    lines = F.split("text", "\n")
+    shorter = known.where(F.size(lines) > F.size(F.array_distinct(lines))).withColumn(
+        "text", F.array_join(F.array_distinct(lines), "\n")
+    )
+    kept = shorter.join(gone.select("id"), "id", "left_anti")
+    totals.commit(2, count_tokens(kept, path).withColumn("op", F.lit("upsert")).withColumn("version", version))
+    return totals.totals()

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewell.llm.located import place, stored
+from pagewell.operators.joins import fits_broadcast
 from pagewell.session import scratch_path, stage
 
 _STATE_SETTINGS = {
@@ -15,6 +16,8 @@ _STATE_SETTINGS = {
 }
 # Files per micro-batch; the state per partition grows with distinct texts, never with a batch.
 FILES_PER_BATCH = 10_000
+# Repeated digests that are sent to every task, about 20 MB; more are joined by shuffle.
+SENT_DIGESTS = 100_000
 
 
 def _digest(text: Column) -> Column:
@@ -103,11 +106,14 @@ def exact_duplicates(
     state = run_digest_state(_located(stream, id_col, text_col), f"{root}/state", f"{root}/checkpoint")
     state = stage(state, "digest_state")
 
-    # Full bytes of every hit against those of its keeper, fetched by locator.
-    repeated = state.where("n > 1")
-    keepers = repeated.select("digest", F.col("keeper.at").alias("at"))
-    keeper_text = located.join(keepers, "at").select("digest", F.col("text").alias("keeper_text"))
+    # Full bytes of every hit against those of its keeper, fetched by locator. While the repeated
+    # digests are few enough to be sent to the tasks, only the texts of hits are moved.
+    repeated = state.where("n > 1").select("digest", F.col("keeper.at").alias("at"))
+    few = fits_broadcast(repeated, SENT_DIGESTS)
+    sent = F.broadcast if few else (lambda side: side)
+    keeper_text = located.join(sent(repeated), "at").select("digest", F.col("text").alias("keeper_text"))
     hits = located.select("id", "at", "text", _digest(F.col("text")).alias("digest"))
+    hits = hits.join(sent(repeated.select("digest")), "digest", "left_semi")
     differs = stage(
         hits.join(keeper_text, "digest").where("text <> keeper_text").select("digest").distinct(), "collisions"
     )
