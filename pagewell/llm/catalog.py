@@ -14,6 +14,7 @@ from pagewell.llm.quality import fit_rules
 from pagewell.llm.simhash import simhash_groups
 from pagewell.llm.streaming_dedup import exact_duplicates
 from pagewell.llm.substring_dedup import repeated_windows
+from pagewell.llm.suffix_dedup import repeated_bytes
 from pagewell.llm.token_counts import TokenTotals, count_tokens
 from pagewell.llm.warc import base32_sha1, read_warc, write_warc
 from pagewell.session import scratch_path
@@ -198,3 +199,9 @@ def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     kept = shorter.join(gone.select("id"), "id", "left_anti")
     totals.commit(2, count_tokens(kept, path).withColumn("op", F.lit("upsert")).withColumn("version", version))
     return totals.totals()
+
+
+@_query("op10_suffix_dedup")
+def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = repeated_bytes(_table(spark, folder, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")

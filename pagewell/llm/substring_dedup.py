@@ -11,13 +11,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagewell.llm.batches import batched
 from pagewell.llm.located import place, stored
 from pagewell.llm.rolling import BASES, merged_runs, uncovered, window_anchors, window_hashes
 from pagewell.session import stage
 
 # Words of the hashes that a window's anchor is chosen from.
 _PART = 16
-_OUT_ROWS = 256
 _NOTHING = hashlib.sha256(b"").hexdigest()
 
 
@@ -25,18 +25,6 @@ def _word_hashes(words: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(map(xxhash.xxh64_digest, words)), ">u8").astype(np.uint64)
 
 
-def _batched(rows: Iterator[tuple], schema: pa.Schema, most: int = _OUT_ROWS) -> Iterator[pa.RecordBatch]:
-    """Rows as batches of bounded length."""
-    held: list[tuple] = []
-    for row in rows:
-        held.append(row)
-        if len(held) == most:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
-            held = []
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
-
-
 def _read_words(width: int):
     """``(row, at, id, text)`` to the number of words, the digest of the words and the distinct anchors."""
 
@@ -50,7 +38,7 @@ def _read_words(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kinds = [("n_words", pa.int64()), ("digest", pa.string()), ("anchors", pa.list_(pa.int64()))]
-            yield from _batched(rows(batch), pa.schema([*list(batch.schema)[:3], *map(lambda k: pa.field(*k), kinds)]))
+            yield from batched(rows(batch), pa.schema([*list(batch.schema)[:3], *map(lambda k: pa.field(*k), kinds)]))
 
     return run
 
@@ -70,7 +58,7 @@ def _shared_windows(width: int):
                 a, b = (window_hashes(hashes, width, base)[pos].view(np.int64) for base in BASES)
                 yield row, pos, a, b
 
-    return lambda batches: _batched(rows(batches), schema, 16)
+    return lambda batches: batched(rows(batches), schema, 16)
 
 
 def _cut_words(width: int):
@@ -89,7 +77,7 @@ def _cut_words(width: int):
                 spans = [{"begin": a, "end": b} for a, b in zip(begin.tolist(), end.tolist())]
                 yield row, len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest(), spans
 
-    return lambda batches: _batched(rows(batches), schema)
+    return lambda batches: batched(rows(batches), schema)
 
 
 def repeated_windows(
