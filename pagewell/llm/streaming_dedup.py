@@ -114,9 +114,9 @@ def exact_duplicates(
     keeper_text = located.join(sent(repeated), "at").select("digest", F.col("text").alias("keeper_text"))
     hits = located.select("id", "at", "text", _digest(F.col("text")).alias("digest"))
     hits = hits.join(sent(repeated.select("digest")), "digest", "left_semi")
-    differs = stage(
-        hits.join(keeper_text, "digest").where("text <> keeper_text").select("digest").distinct(), "collisions"
-    )
+    # Nothing is grouped above this join, so that a hot digest can be split over tasks.
+    unequal = stage(hits.join(keeper_text, "digest").where("text <> keeper_text").select("digest"), "collisions")
+    differs = unequal.distinct()
     found = rows.join(state, "digest")
     if not differs.isEmpty():
         apart = hits.join(differs, "digest")
