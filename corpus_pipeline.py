@@ -18,12 +18,10 @@ from pagewell.session import stage
 # The stages train a model, hash words and draw at random, which SQL cannot repeat.
 ORACLE_SQL = None
 
-_ROW = "__row"
-
 
 def _with_rows(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
-    """``docs`` (a plain scan) joined with ``rows`` by the column ``__row``."""
-    return docs.select("*", place().alias(_ROW)).join(rows, _ROW, how)
+    """``docs`` (a plain scan), whole rows as the struct ``doc``, joined with ``rows`` by ``place``."""
+    return docs.select(F.struct("*").alias("doc"), place().alias("place")).join(rows, "place", how)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +33,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays, the one with the largest id."""
     docs, _ = stored(docs)
-    kept = exact_duplicates(spark, docs).where("kept").select(F.col("at").alias(_ROW))
-    return _with_rows(docs, kept, "left_semi").select(*docs.columns)
+    kept = exact_duplicates(spark, docs).where("kept").select(F.col("at").alias("place"))
+    return _with_rows(docs, kept, "left_semi").select("doc.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,20 +42,21 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     docs, _ = stored(docs)
     known = docs.select(F.struct("doc_id", place().alias("place")).alias("known"), "text")
     kept = simhash_groups(known, id_col="known").where("known = component_id")
-    return _with_rows(docs, kept.select(F.col("known.place").alias(_ROW)), "left_semi").select(*docs.columns)
+    return _with_rows(docs, kept.select("known.place"), "left_semi").select("doc.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of the mix, whole, shard by shard in their shuffled order; a second lap repeats them."""
     docs, _ = stored(docs)
-    known = docs.select(place().alias(_ROW), "doc_id", "text", "source")
-    draws = mix_sources(known, cut=False, id_col=_ROW, order_col="doc_id").select(_ROW, F.explode("draws").alias("draw"))
+    known = docs.select(place().alias("place"), "doc_id", "text", "source")
+    draws = mix_sources(known, cut=False, id_col="place", order_col="doc_id")
+    draws = draws.select("place", F.explode("draws").alias("draw"))
     mixed = _with_rows(docs, draws, "inner")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return (
         mixed.repartition(parts, F.col("draw.shard"), F.pmod(F.col("draw.place"), F.lit(16)))
         .sortWithinPartitions("draw.shard", "draw.place")
-        .select(*docs.columns)
+        .select("doc.*")
     )
 
 
