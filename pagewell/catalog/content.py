@@ -278,18 +278,24 @@ def _flatten_newlines(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "highlight_terms",
     r"""WITH firsts AS (
-      SELECT doc_id, text, list_extract(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), 1) AS w FROM documents),
+      SELECT doc_id, text, [l[1], l[(len(l) + 1) // 2], l[len(l)]] AS w FROM (
+        SELECT doc_id, text, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS l FROM documents)),
     cut AS (
       SELECT doc_id, w, regexp_split_to_array(text, '[\p{L}\p{N}_]+') AS g,
              list_append(regexp_extract_all(text, '[\p{L}\p{N}_]+'), '') AS t FROM firsts),
     piece AS (
       SELECT doc_id, w, unnest(g) AS g, unnest(t) AS t, generate_subscripts(g, 1) AS i FROM cut)
-    SELECT doc_id, string_agg(g || CASE WHEN lower(t) = w AND t <> ''
+    SELECT doc_id, string_agg(g || CASE WHEN list_contains(w, lower(t)) AND t <> ''
         THEN '<font color=''red''>' || t || '</font>' ELSE t END, '' ORDER BY i) AS marked
     FROM piece GROUP BY doc_id""",
 )
 def _highlight_terms(spark: SparkSession, folder: str) -> DataFrame:
-    docs = I.documents(spark, folder).withColumn("w", F.slice(text.tokens(F.col("text")), 1, 1))
+    # The first, the middle and the last word.
+    words = I.documents(spark, folder).withColumn("l", text.tokens(F.col("text")))
+    middle = F.floor((F.size("l") + 1) / 2).cast("int")
+    docs = words.withColumn(
+        "w", F.filter(F.array(*[F.get("l", i - 1) for i in (F.lit(1), middle, F.size("l"))]), lambda x: x.isNotNull())
+    )
     return docs.select(
         "doc_id",
         text.highlight_terms(F.col("text"), F.col("w"), "<font color='red'>", "</font>").alias("marked"),

@@ -36,12 +36,12 @@ def han_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def han_dictionary(spark: SparkSession, folder: str) -> DataFrame:
-    """Words of two to five characters that occur in the benchmark texts."""
+    """All words of the benchmark texts."""
     han = F.translate(F.lower("text"), _LATIN, _HAN)
     words = read_table(spark, folder, "benchmark").select(
         F.explode(F.regexp_extract_all(han, F.lit(r"\p{IsHan}+"), F.lit(0))).alias("word")
     )
-    return words.filter(F.length("word").between(2, 5)).distinct()
+    return words.distinct()
 
 
 _SQL_HAN = rf"""
@@ -52,8 +52,8 @@ located AS (
 dictionary AS (
   SELECT DISTINCT word FROM (
     SELECT unnest(regexp_extract_all(translate(lower(text), '{_LATIN}', '{_HAN}'), '\p{{Han}}+')) AS word
-    FROM benchmark) WHERE length(word) BETWEEN 2 AND 5),
-lens AS (SELECT unnest([2, 3, 4, 5]) AS l)
+    FROM benchmark)),
+lens AS (SELECT DISTINCT length(word) AS l FROM dictionary)
 """
 
 
@@ -83,11 +83,11 @@ def _segment_dict(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def synonyms(spark: SparkSession, folder: str) -> DataFrame:
-    """The second word of each benchmark text is a synonym of the first."""
+    """Each word of a benchmark text has the next one as a synonym."""
     words = read_table(spark, folder, "benchmark").select(tokens(F.col("text")).alias("w"))
-    return words.select(
-        F.element_at("w", 1).alias("term"), F.element_at("w", 2).alias("syn")
-    ).distinct()
+    after = F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0)))
+    pair = F.explode(F.filter(F.arrays_zip(F.col("w").alias("term"), after.alias("syn")), lambda p: p["syn"].isNotNull()))
+    return words.select(pair.alias("p")).select("p.term", "p.syn").distinct()
 
 
 def readings(spark: SparkSession, folder: str) -> DataFrame:
@@ -99,7 +99,8 @@ def readings(spark: SparkSession, folder: str) -> DataFrame:
 
 _SQL_TABLES = r"""
 words AS (SELECT regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM benchmark),
-synonyms AS (SELECT DISTINCT w[1] AS term, w[2] AS syn FROM words),
+synonyms AS (
+  SELECT DISTINCT w[i] AS term, w[i + 1] AS syn FROM (SELECT w, unnest(range(1, CAST(len(w) AS BIGINT))) AS i FROM words)),
 readings AS (
   SELECT DISTINCT term, translate(term, 'áéíóúñäöüßèêç', 'aeiounaouseec') AS reading
   FROM (SELECT unnest(w) AS term FROM words) WHERE term <> translate(term, 'áéíóúñäöüßèêç', 'aeiounaouseec')),

@@ -22,7 +22,7 @@ from pagewell.sources.tables import read_table, spread_small
 CONFIG = CrawlConfig(
     start_url="http://start.example.com/",
     allow=r"example\.(com|org)",
-    deny=r"(the[a-z]*,)|(/search\?)",
+    deny=r"(the[a-z]*,)|(/archive/)",
     deny_file_type="html",
 )
 START_MD5 = "md5('http://start.example.com')"
@@ -137,7 +137,7 @@ SQL_VALID_LINKS = SQL_LINKS + r""",
 valid_links AS (
   SELECT * FROM links
   WHERE dst_url <> '' AND regexp_matches(dst_url, 'example\.(com|org)')
-    AND NOT regexp_matches(dst_url, '(the[a-z]*,)|(/search\?)'))
+    AND NOT regexp_matches(dst_url, '(the[a-z]*,)|(/archive/)'))
 """
 
 
@@ -205,29 +205,35 @@ snapshots AS (
 
 
 def user_queries(spark: SparkSession, folder: str) -> DataFrame:
-    """``query_id, text``: the first two words of each benchmark text."""
-    words = F.slice(F.split("text", " "), 1, 2)
-    return read_table(spark, folder, "benchmark").select(
-        F.col("item_id").cast("int").alias("query_id"), F.array_join(words, " ").alias("text")
-    )
+    """``query_id, text``: each benchmark text as a query."""
+    return read_table(spark, folder, "benchmark").select(F.col("item_id").cast("int").alias("query_id"), "text")
+
 
+def query_words(spark: SparkSession, folder: str, n: int) -> DataFrame:
+    """``query_id, w``: the tokens of each benchmark text, ``n`` by ``n``, each group a query.
 
-def query_words(spark: SparkSession, folder: str) -> DataFrame:
-    """``query_id, w``: the tokens of each benchmark text."""
-    return read_table(spark, folder, "benchmark").select(
-        F.col("item_id").cast("int").alias("query_id"), tokens(F.col("text")).alias("w")
+    The last group of a text reaches back to have ``n`` words too; a text with fewer words is one
+    group. Every word of every text is in a query.
+    """
+    words = read_table(spark, folder, "benchmark").select("item_id", tokens(F.col("text")).alias("all"))
+    last = F.greatest(F.size("all") - n, F.lit(0))
+    start = F.explode(F.array_union(F.sequence(F.lit(0), last, F.lit(n)), F.array(last)))
+    return words.select("item_id", "all", start.alias("start")).select(
+        (F.col("item_id") * 1000 + F.col("start")).cast("int").alias("query_id"),
+        F.slice("all", F.col("start") + 1, n).alias("w"),
     )
 
 
-SQL_QUERIES = r"""
-user_queries AS (
-  SELECT CAST(item_id AS INTEGER) AS query_id,
-         array_to_string(list_slice(string_split(text, ' '), 1, 2), ' ') AS text
-  FROM benchmark),
-query_words AS (
-  SELECT CAST(item_id AS INTEGER) AS query_id,
-         regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w
-  FROM benchmark)
+SQL_QUERIES = "user_queries AS (SELECT CAST(item_id AS INTEGER) AS query_id, text FROM benchmark)"
+
+
+def sql_query_words(n: int) -> str:
+    return rf"""
+qw AS (
+  SELECT CAST(item_id * 1000 + start AS INTEGER) AS query_id, list_slice(l, start + 1, start + {n}) AS w FROM (
+    SELECT item_id, l, unnest(list_distinct(list_append(range(0, last + 1, {n}), last))) AS start FROM (
+      SELECT item_id, l, greatest(CAST(len(l) AS BIGINT) - {n}, 0) AS last FROM (
+        SELECT item_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS l FROM benchmark))))
 """
 
 SQL_DOCS = SQL_DOCUMENTS + r""",

@@ -20,7 +20,7 @@ HITS = ["query_id", "rank", "score", "doc_id"]
 
 
 def word(n: int) -> Column:
-    return F.element_at("w", n)
+    return F.try_element_at("w", F.lit(n))
 
 
 def clause(number: int, kind: str, **columns: Column | str | int | float) -> Column:
@@ -36,22 +36,29 @@ def clause(number: int, kind: str, **columns: Column | str | int | float) -> Col
     return F.struct(*[column(n) for n in types])
 
 
-def clauses(spark: SparkSession, folder: str, *parts: Column) -> DataFrame:
-    """The same clauses for every query, built from its words ``w``."""
-    words = I.query_words(spark, folder).filter(F.size("w") >= 3)
-    return words.select("query_id", F.explode(F.array(*parts)).alias("c")).select("query_id", "c.*")
+def clauses(spark: SparkSession, folder: str, n: int, *parts: Column) -> DataFrame:
+    """The same clauses for every group of ``n`` query words ``w``; a clause whose word is missing falls out."""
+    rows = I.query_words(spark, folder, n).select("query_id", F.explode(F.array(*parts)).alias("c"))
+    wordless = F.col("kind").isin("term", "prefix", "wildcard", "fuzzy") & F.col("term").isNull()
+    return rows.select("query_id", "c.*").filter(~wordless)
 
 
-def ranked(spark: SparkSession, folder: str, *parts: Column, config: SearchConfig = SearchConfig()) -> DataFrame:
+def ranked(
+    spark: SparkSession, folder: str, n: int, *parts: Column, config: SearchConfig = SearchConfig()
+) -> DataFrame:
     index = I.documents_index(spark, folder)
-    return S.search(index, clauses(spark, folder, *parts), config).hits.select(*HITS)
+    return S.search(index, clauses(spark, folder, n, *parts), config).hits.select(*HITS)
 
 
 # --- SQL of the same ------------------------------------------------------------------------
 
 SQL_RANK = I.SQL_INDEX + f""",
-{I.SQL_QUERIES},
-qw AS (SELECT * FROM query_words WHERE len(w) >= 3)"""
+{I.SQL_QUERIES}"""
+
+
+def sql_rank_words(n: int) -> str:
+    return f"{SQL_RANK}, {I.sql_query_words(n)}"
+
 
 _LENGTH = (
     "(CASE WHEN p.dl < 40 THEN p.dl ELSE 24 + "
@@ -147,7 +154,7 @@ _BOOLEAN = " UNION ALL ".join(
 
 @query(
     "search_boolean",
-    f"""WITH {SQL_RANK}, {sql_terms(_BOOLEAN)},
+    f"""WITH {sql_rank_words(3)}, {sql_terms(_BOOLEAN)},
     combined AS (
       SELECT query_id, doc_id, round(sum(score) FILTER (WHERE occur <> 'must_not'), 6) AS score
       FROM clause_scores GROUP BY query_id, doc_id
@@ -161,6 +168,7 @@ def _search_boolean(spark: SparkSession, folder: str) -> DataFrame:
     return ranked(
         spark,
         folder,
+        3,
         clause(0, "term", term=word(1), occur="must"),
         clause(1, "term", term=word(2)),
         clause(2, "term", term=word(-1), occur="must_not"),
@@ -170,20 +178,20 @@ def _search_boolean(spark: SparkSession, folder: str) -> DataFrame:
 _FIELDED = " UNION ALL ".join([sql_leaf(0, "w[1]", field="title"), sql_leaf(1, "w[2]")])
 
 
-@query("search_field", f"WITH {SQL_RANK}, {sql_terms(_FIELDED)}, {sql_rank()}")
+@query("search_field", f"WITH {sql_rank_words(2)}, {sql_terms(_FIELDED)}, {sql_rank()}")
 def _search_field(spark: SparkSession, folder: str) -> DataFrame:
     return ranked(
-        spark, folder, clause(0, "term", term=word(1), field="title"), clause(1, "term", term=word(2))
+        spark, folder, 2, clause(0, "term", term=word(1), field="title"), clause(1, "term", term=word(2))
     )
 
 
 _BOOSTED = " UNION ALL ".join([sql_leaf(0, "w[1]", weight=2.0), sql_leaf(1, "w[2]", weight=0.5)])
 
 
-@query("search_boost", f"WITH {SQL_RANK}, {sql_terms(_BOOSTED)}, {sql_rank()}")
+@query("search_boost", f"WITH {sql_rank_words(2)}, {sql_terms(_BOOSTED)}, {sql_rank()}")
 def _search_boost(spark: SparkSession, folder: str) -> DataFrame:
     return ranked(
-        spark, folder, clause(0, "term", term=word(1), boost=2.0), clause(1, "term", term=word(2), boost=0.5)
+        spark, folder, 2, clause(0, "term", term=word(1), boost=2.0), clause(1, "term", term=word(2), boost=0.5)
     )
 
 
@@ -208,7 +216,7 @@ _GROUP_SCORE = _BM25.format(weight="1.0", idf=_IDF.format(df="g.df"), tf="p.tf")
 
 @query(
     "search_synonym_group",
-    f"""WITH {SQL_RANK},
+    f"""WITH {sql_rank_words(2)},
     leaves AS (SELECT DISTINCT query_id, unnest([w[1], w[2]]) AS term FROM qw),
     g AS (SELECT l.query_id, max(s.df) AS df FROM leaves l
           JOIN term_stats s ON s.term = l.term AND s.field = 'content' GROUP BY l.query_id),
@@ -220,7 +228,7 @@ _GROUP_SCORE = _BM25.format(weight="1.0", idf=_IDF.format(df="g.df"), tf="p.tf")
     {sql_rank()}""",
 )
 def _search_synonym_group(spark: SparkSession, folder: str) -> DataFrame:
-    return ranked(spark, folder, clause(0, "synonyms", terms=F.slice("w", 1, 2)))
+    return ranked(spark, folder, 2, clause(0, "synonyms", terms=F.col("w")))
 
 
 _SQL_STARTS = """
@@ -242,34 +250,34 @@ _SQL_PHRASE_RANK = f"""
 
 @query(
     "search_phrase",
-    f"""WITH {SQL_RANK}, {_SQL_STARTS},
+    f"""WITH {sql_rank_words(2)}, {_SQL_STARTS},
     freq AS (
       SELECT a.query_id, a.doc_id, CAST(count(*) AS DOUBLE) AS tf FROM pos0 a
       JOIN pos1 b ON b.query_id = a.query_id AND b.doc_id = a.doc_id AND b.a = a.a GROUP BY a.query_id, a.doc_id),
     {_SQL_PHRASE_RANK}""",
 )
 def _search_phrase(spark: SparkSession, folder: str) -> DataFrame:
-    return ranked(spark, folder, clause(0, "phrase", terms=F.slice("w", 1, 2)))
+    return ranked(spark, folder, 2, clause(0, "phrase", terms=F.col("w")))
 
 
 @query(
     "search_phrase_slop",
-    f"""WITH {SQL_RANK}, {_SQL_STARTS},
+    f"""WITH {sql_rank_words(2)}, {_SQL_STARTS},
     both_pos AS (SELECT *, 0 AS i FROM pos0 UNION ALL SELECT *, 1 FROM pos1),
     windows AS (
-      SELECT x.query_id, x.doc_id, x.a, x.i,
-             (SELECT min(y.a) FROM both_pos y WHERE y.query_id = x.query_id AND y.doc_id = x.doc_id
-                AND y.i <> x.i AND y.a >= x.a) AS ahead,
-             (SELECT min(y.a) FROM both_pos y WHERE y.query_id = x.query_id AND y.doc_id = x.doc_id
-                AND y.i = x.i AND y.a > x.a) AS own
-      FROM both_pos x),
+      SELECT query_id, doc_id, a, i,
+             CASE WHEN i = 0 THEN min(CASE WHEN i = 1 THEN a END) OVER later
+                  ELSE min(CASE WHEN i = 0 THEN a END) OVER later END AS ahead,
+             lead(a) OVER (PARTITION BY query_id, doc_id, i ORDER BY a) AS own
+      FROM both_pos
+      WINDOW later AS (PARTITION BY query_id, doc_id ORDER BY a RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
     freq AS (
       SELECT query_id, doc_id, sum(1.0 / (1 + ahead - a)) AS tf FROM windows
       WHERE ahead IS NOT NULL AND ahead - a <= 2 AND (own IS NULL OR own > ahead) GROUP BY query_id, doc_id),
     {_SQL_PHRASE_RANK}""",
 )
 def _search_phrase_slop(spark: SparkSession, folder: str) -> DataFrame:
-    return ranked(spark, folder, clause(0, "phrase", terms=F.slice("w", 1, 2), slop=2))
+    return ranked(spark, folder, 2, clause(0, "phrase", terms=F.col("w"), slop=2))
 
 
 def sql_constant(conditions: list[tuple[int, str]]) -> str:
@@ -292,7 +300,7 @@ _WILD = [
 ]
 
 
-@query("search_prefix_wildcard", f"WITH {SQL_RANK}, {sql_constant(_WILD)}, {sql_rank()}")
+@query("search_prefix_wildcard", f"WITH {sql_rank_words(2)}, {sql_constant(_WILD)}, {sql_rank()}")
 def _search_prefix_wildcard(spark: SparkSession, folder: str) -> DataFrame:
     pattern = F.concat(
         F.substring(word(2), 1, 1), F.lit("?"), F.substring(word(2), 3, 2), F.lit("*t")
@@ -300,6 +308,7 @@ def _search_prefix_wildcard(spark: SparkSession, folder: str) -> DataFrame:
     return ranked(
         spark,
         folder,
+        2,
         clause(0, "prefix", term=F.substring(word(1), 1, 3)),
         clause(1, "wildcard", term=pattern),
     )
@@ -307,23 +316,18 @@ def _search_prefix_wildcard(spark: SparkSession, folder: str) -> DataFrame:
 
 _RANGES = [
     (0, "s.term >= q.w[1] AND s.term < q.w[1] || 'm'"),
-    (1, "s.term > least(q.w[2], q.w[3]) AND s.term <= greatest(q.w[2], q.w[3])"),
+    (1, "s.term > q.w[2] AND s.term <= q.w[2] || 't'"),
 ]
 
 
-@query("search_range", f"WITH {SQL_RANK}, {sql_constant(_RANGES)}, {sql_rank()}")
+@query("search_range", f"WITH {sql_rank_words(2)}, {sql_constant(_RANGES)}, {sql_rank()}")
 def _search_range(spark: SparkSession, folder: str) -> DataFrame:
     return ranked(
         spark,
         folder,
+        2,
         clause(0, "range", lo=word(1), hi=F.concat(word(1), F.lit("m")), incl_hi=False),
-        clause(
-            1,
-            "range",
-            lo=F.least(word(2), word(3)),
-            hi=F.greatest(word(2), word(3)),
-            incl_lo=False,
-        ),
+        clause(1, "range", lo=word(2), hi=F.concat(word(2), F.lit("t")), incl_lo=False),
     )
 
 
@@ -337,19 +341,19 @@ _FUZZY_SCORE = _BM25.format(weight="e.similarity", idf=_IDF.format(df="e.most"),
 
 @query(
     "search_fuzzy",
-    f"""WITH {SQL_RANK},
+    f"""WITH {sql_rank_words(1)},
+    plain_words AS (
+      SELECT DISTINCT w[1] AS w, {_plain('w[1]')} AS p,
+             CASE WHEN length(w[1]) <= 2 THEN 0 WHEN length(w[1]) <= 5 THEN 1 ELSE 2 END AS k FROM qw),
+    plain_terms AS (SELECT term, df, {_plain('term')} AS p FROM term_stats WHERE field = 'content'),
     near AS (
-      SELECT q.query_id, s.term, s.df,
-             1.0 - CAST(levenshtein({_plain('s.term')}, {_plain('q.w[2]')}) AS DOUBLE)
-               / least(length(s.term), length(q.w[2])) AS similarity,
-             levenshtein({_plain('s.term')}, {_plain('q.w[2]')}) AS edits
-      FROM qw q JOIN term_stats s ON s.field = 'content'
-        AND abs(length(s.term) - length(q.w[2])) <= 2
-        AND levenshtein({_plain('s.term')}, {_plain('q.w[2]')}) <= 2),
-    kept AS (
-      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, term) AS rn FROM near
-      WHERE edits = 0 OR similarity > 0),
-    e AS (SELECT *, max(df) OVER (PARTITION BY query_id) AS most FROM kept WHERE rn <= 50),
+      SELECT q.w, s.term, s.df, levenshtein(s.p, q.p) AS edits,
+             1.0 - CAST(levenshtein(s.p, q.p) AS DOUBLE) / least(length(s.p), length(q.p)) AS similarity
+      FROM plain_words q JOIN plain_terms s
+        ON abs(length(s.p) - length(q.p)) <= q.k AND levenshtein(s.p, q.p) <= q.k),
+    e AS (
+      SELECT q.query_id, n.term, n.similarity, max(n.df) OVER (PARTITION BY q.query_id) AS most
+      FROM qw q JOIN near n ON n.w = q.w[1] WHERE n.edits = 0 OR n.similarity > 0),
     clause_scores AS (
       SELECT e.query_id, p.doc_id, {_FUZZY_SCORE} AS score FROM e
       JOIN postings p ON p.field = 'content' AND p.term = e.term
@@ -357,7 +361,10 @@ _FUZZY_SCORE = _BM25.format(weight="e.similarity", idf=_IDF.format(df="e.most"),
     {sql_rank()}""",
 )
 def _search_fuzzy(spark: SparkSession, folder: str) -> DataFrame:
-    return ranked(spark, folder, clause(0, "fuzzy", term=word(2), max_edits=2))
+    # Longer words may differ by more: none up to two letters, one up to five, else two.
+    size = F.length(word(1))
+    edits = F.when(size <= 2, 0).when(size <= 5, 1).otherwise(2)
+    return ranked(spark, folder, 1, clause(0, "fuzzy", term=word(1), max_edits=edits))
 
 
 _SAFE = " UNION ALL ".join(
@@ -365,13 +372,14 @@ _SAFE = " UNION ALL ".join(
 )
 
 
-@query("search_batch_safe", f"WITH {SQL_RANK}, {sql_terms(_SAFE)}, {sql_rank()}")
+@query("search_batch_safe", f"WITH {sql_rank_words(3)}, {sql_terms(_SAFE)}, {sql_rank()}")
 def _search_batch_safe(spark: SparkSession, folder: str) -> DataFrame:
     # A short second word becomes a pattern with a leading wildcard, which no query may hold.
     short = F.length(word(2)) <= 3
     return ranked(
         spark,
         folder,
+        3,
         clause(0, "term", term=word(1)),
         clause(1, "term", term=word(3)),
         clause(

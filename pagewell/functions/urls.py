@@ -104,9 +104,10 @@ def resolve_url(base: Column, href: Column) -> Column:
     )
 
 
-def url_allowed(url: Column, allow: str, deny: str) -> Column:
+def url_allowed(url: Column, allow: str, deny: str | None) -> Column:
     """True when ``allow`` is found in the URL and ``deny`` is not; null and empty never pass."""
-    return F.coalesce((url != "") & url.rlike(allow) & ~url.rlike(deny), F.lit(False))
+    passed = (url != "") & url.rlike(allow)
+    return F.coalesce(passed if deny is None else passed & ~url.rlike(deny), F.lit(False))
 
 
 def file_extension(url: Column) -> Column:
@@ -114,6 +115,6 @@ def file_extension(url: Column) -> Column:
     return F.substring_index(url, ".", -1)
 
 
-def file_type_allowed(url: Column, deny: str) -> Column:
+def file_type_allowed(url: Column, deny: str | None) -> Column:
     """True when ``deny`` is not found in the text after the last dot."""
-    return ~file_extension(url).rlike(deny)
+    return url.isNotNull() if deny is None else ~file_extension(url).rlike(deny)

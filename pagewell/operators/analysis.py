@@ -39,14 +39,15 @@ def segment_dict(docs: DataFrame, text: str, keys: list[str], dictionary: DataFr
     where they are cut, and only those that are words go on to be collected per run.
     """
     words = dictionary.select("word").filter(F.length("word") > 1).distinct()
-    longest = words.agg(F.max(F.length("word"))).first()[0] or 1
+    lengths = sorted(r[0] for r in words.select(F.length("word")).distinct().collect())
     located = docs.select(*keys, F.posexplode(runs(F.col(text))).alias("run_pos", "run"))
     is_han = F.col("run").rlike(_HAN_ONLY)
 
     def starting(at: Column) -> Column:
-        reach = F.least(F.lit(longest), F.length("run") - at + 1)
+        reach = F.length("run") - at + 1
+        occurring = F.array(*[F.lit(n) for n in lengths]).cast("array<int>")
         return F.transform(
-            F.when(reach > 1, F.sequence(F.lit(2), reach)).otherwise(F.array().cast("array<int>")),
+            F.filter(occurring, lambda n: n <= reach),
             lambda n: F.struct(at.alias("at"), n.alias("len"), F.substring(F.col("run"), at, n).alias("word")),
         )
 
@@ -57,14 +58,13 @@ def segment_dict(docs: DataFrame, text: str, keys: list[str], dictionary: DataFr
     substrings = F.flatten(F.transform(F.sequence(F.lit(1), F.length("run")), starting))
     offered = located.withColumn(
         "c", F.explode(F.when(is_han, F.concat(itself, substrings)).otherwise(itself))
-    ).select(*keys, "run_pos", "run", "c.at", "c.len", "c.word")
+    ).select(*keys, "run_pos", F.when(F.col("c.at") == 0, F.col("run")).alias("run"), "c.at", "c.len", "c.word")
     found = lookup_join(
         offered, words.withColumn("known", F.lit(True)), ["word"], [*keys, "run_pos", "at"], "left"
     ).filter(F.col("known") | (F.col("at") == 0))
-    run_text = F.when(F.col("at") == 0, F.col("run"))
     steps = found.groupBy(*keys, "run_pos").agg(
         F.sort_array(
-            F.collect_list(F.struct("at", (-F.col("len")).alias("neg_len"), run_text.alias("run")))
+            F.collect_list(F.struct("at", (-F.col("len")).alias("neg_len"), "run"))
         ).alias("steps")
     )
     run = F.get("steps", F.lit(0))["run"]
