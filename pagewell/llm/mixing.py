@@ -14,8 +14,8 @@ from pyspark.sql.window import Window
 from pagewell.session import stage
 
 WORD = r"[^\x20\x09-\x0D]+"
-# Documents of a source that are put in order by one task.
-_BUCKET_ROWS = 16_384
+# Documents of a source that are put in order together.
+_BUCKET_ROWS = 1_024
 
 
 def source_targets(
