@@ -12,7 +12,7 @@ from pagewell.catalog.registry import query
 from pagewell.functions import fetches, html, text, urls
 from pagewell.operators.frontier import extract_links
 from pagewell.session import scratch_path
-from pagewell.sources.sinks import sink_documents
+from pagewell.sources.sinks import sink_documents, stored_documents
 from pagewell.sources.tables import read_table, scan_documents, scan_fetch_log, scan_pages
 
 # --- scans and sinks -------------------------------------------------------------------
@@ -105,17 +105,21 @@ def _scan_fetch_log(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "sink_documents",
-    f"WITH {I.SQL_PAGE_URLS} SELECT u.job_id, u.url_md5, p.html AS text FROM page_urls u "
-    "JOIN pages p ON p.page_id = u.page_id",
+    f"WITH {I.SQL_PAGE_URLS} SELECT u.job_id, u.url_md5, "
+    "CASE WHEN u.page_id % 3 = 0 THEN p.html ELSE 'first version' END AS text "
+    "FROM page_urls u JOIN pages p ON p.page_id = u.page_id",
 )
 def _sink_documents(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "documents")
     keyed = I.page_urls(spark, folder).join(read_table(spark, folder, "pages").select("page_id", "html"), "page_id")
-    newer = keyed.select("job_id", "url_md5", F.col("html").alias("text"), F.lit(2).alias("seq"))
-    older = newer.withColumn("text", F.lit("first version")).withColumn("seq", F.lit(1))
+    rows = keyed.select("job_id", "url_md5", "page_id", F.col("html").alias("text"), F.lit(2).alias("seq"))
+    older = rows.withColumn("text", F.lit("first version")).withColumn("seq", F.lit(1))
+    # The second write brings a third of the keys; the others stay as they are.
+    changed = rows.unionByName(older).filter("page_id % 3 = 0")
     sink_documents(older, path, "seq")
-    sink_documents(newer.unionByName(older), path, "seq")
-    return spark.read.parquet(path).select(F.col("job_id").cast("string"), "url_md5", "text")
+    sink_documents(changed, path, "seq", version=1)
+    sink_documents(changed, path, "seq", version=1)
+    return stored_documents(spark, path).select("job_id", "url_md5", "text")
 
 
 # --- URLs --------------------------------------------------------------------------------

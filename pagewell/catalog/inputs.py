@@ -169,7 +169,7 @@ def snapshots(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, D
     """Old texts, fetched texts and visited keys, over all documents.
 
     By key: some were never stored, some fetches fail, and the others come back the same,
-    with digits put in, doubled, or with a letter in front.
+    with digits put in, doubled, or with a sign in front that no text has.
     """
     docs = read_table(spark, folder, "documents")
     n = F.col("doc_id")
@@ -178,7 +178,7 @@ def snapshots(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, D
         F.when(n % 4 == 0, F.col("text"))
         .when(n % 4 == 1, F.regexp_replace("text", "\n", "17\n"))
         .when(n % 4 == 2, F.concat("text", "text"))
-        .otherwise(F.concat(F.lit("z"), "text"))
+        .otherwise(F.concat(F.lit("\u2603"), "text"))
     )
     failed = n % 17 == 0
     new = docs.select(
@@ -196,7 +196,7 @@ snapshots AS (
               WHEN doc_id % 4 = 0 THEN text
               WHEN doc_id % 4 = 1 THEN replace(text, chr(10), '17' || chr(10))
               WHEN doc_id % 4 = 2 THEN text || text
-              ELSE 'z' || text END AS new_text
+              ELSE chr(9731) || text END AS new_text
   FROM documents)
 """
 

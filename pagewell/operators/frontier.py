@@ -85,9 +85,10 @@ def frontier_take(frontier: DataFrame, urls: DataFrame, limit: int) -> DataFrame
     The keys are hashes, hence spread evenly over their first four digits. Counting by those
     digits finds the one group in which the limit falls; only that group is ordered, and its
     last key taken is the bound that all other keys are compared with. So no task ever sees
-    all the keys of a large budget.
+    all the keys of a large budget. Keys whose URL is not known do not count and are not taken;
+    ``frontier_rest`` given the URL map drops them.
     """
-    keys = frontier.select(*KEY)
+    keys = frontier.select(*KEY).join(urls.select(*KEY).distinct(), KEY, "left_semi")
     group = F.substring("url_md5", 1, 4).alias("_group")
     sizes = keys.groupBy("job_id", group).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("job_id").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
@@ -115,9 +116,10 @@ def frontier_take(frontier: DataFrame, urls: DataFrame, limit: int) -> DataFrame
     return taken.select(*KEY).join(urls.select(*KEY, "url"), KEY)
 
 
-def frontier_rest(frontier: DataFrame, taken: DataFrame) -> DataFrame:
-    """Frontier without the URLs taken in this round."""
-    return frontier.select(*KEY).join(taken.select(*KEY), KEY, "left_anti")
+def frontier_rest(frontier: DataFrame, taken: DataFrame, urls: DataFrame | None = None) -> DataFrame:
+    """Frontier without the URLs taken in this round, and without keys that have no URL in ``urls``."""
+    rest = frontier.select(*KEY).join(taken.select(*KEY), KEY, "left_anti")
+    return rest if urls is None else rest.join(urls.select(*KEY).distinct(), KEY, "left_semi")
 
 
 def queue_sizes(frontier: DataFrame, visited: DataFrame) -> DataFrame:

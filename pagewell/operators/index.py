@@ -1,13 +1,17 @@
 """Inverted index tables.
 
-An index is a folder of four tables, each partitioned by ``batch_id``:
+An index is a folder of four tables, written batch by batch:
 
 * ``docs(doc_id, url, title, content)``
-* ``postings(field, term, doc_id, tf, dl, positions)``, further partitioned by ``bucket``, a
-  hash digit of the term, and sorted by term: a query opens only the folders of its terms and
-  reads only their row groups; ``dl`` is the length of the field
-* ``terms(field, term, df, ttf)`` and ``fields(field, n_docs, total_len)``: counts per
-  batch, summed over batches when read
+* ``postings(field, term, doc_id, tf, dl, positions)``, partitioned by ``bucket``, a hash of the
+  term, and sorted by term: a query opens only the folders of its terms and reads only their row
+  groups; ``dl`` is the length of the field
+* ``terms(field, term, df, ttf)``, laid out as the postings, and ``fields(field, n_docs,
+  total_len)``: counts per batch, summed over batches when read
+
+Every attempt at a batch writes to a folder of its own. It is published by one row of the
+``manifest``, in one file; readers open the last published attempt of each batch and nothing
+else, so a batch that is repeated, cut short or empty leaves no trace of the attempt before.
 
 Indexing only appends: a document indexed again gets a new version and the old one stays
 searchable; ``index_latest`` leaves only the newest version of each URL.
@@ -17,8 +21,11 @@ from __future__ import annotations
 
 import hashlib
 import math
+import uuid
 from dataclasses import dataclass
+from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,28 +33,56 @@ from pagewell.functions.text import doc_title, has_title, tokens
 
 FIELDS = ("content", "title")
 DOC = ["batch_id", "doc_id"]
-_BUCKETS = 16
+BUCKETS = 16
+
+
+def _flag_key(left: DataFrame, right: DataFrame) -> list[str]:
+    """Flags and URLs belong to a job where both sides name one."""
+    return ["job_id", "url_md5"] if {"job_id"} <= {*left.columns} & {*right.columns} else ["url_md5"]
 
 
 def need_index_take(documents: DataFrame, flags: DataFrame | None) -> DataFrame:
-    """Documents whose key is flagged; without flags every document is taken."""
+    """Documents whose key is flagged, by the flag's job; without flags every document is taken."""
     if flags is None:
         return documents
-    return documents.join(flags.select("url_md5").distinct(), "url_md5", "left_semi")
+    key = _flag_key(documents, flags)
+    return documents.join(flags.select(*key).distinct(), key, "left_semi")
 
 
 def need_index_rest(flags: DataFrame, taken: DataFrame) -> DataFrame:
     """Flags left after the taken documents were indexed."""
-    return flags.join(taken.select("url_md5"), "url_md5", "left_anti")
+    key = _flag_key(flags, taken)
+    return flags.join(taken.select(*key), key, "left_anti")
 
 
 def doc_url_lookup(documents: DataFrame, urls: DataFrame) -> DataFrame:
-    """Documents with their URL; a document whose URL is unknown is skipped."""
-    return documents.join(urls.select("url_md5", "url"), "url_md5")
+    """Documents with their URL; a document whose URL is unknown is skipped.
+
+    A key has one URL, however many jobs know it: where the jobs are not named on both sides, the
+    first URL by text stands for all, and no document comes twice.
+    """
+    key = _flag_key(documents, urls)
+    one = urls.groupBy(*key).agg(F.min("url").alias("url"))
+    return documents.join(one, key)
+
+
+def with_doc_ids(documents: DataFrame) -> DataFrame:
+    """Documents with a ``doc_id`` made from their key, the same in every round.
+
+    It is a 64-bit hash of job and key. Two documents of one batch with the same number are
+    an error that :func:`index_append` raises.
+    """
+    job = ["job_id"] if "job_id" in documents.columns else []
+    return documents.withColumn("doc_id", F.xxhash64(*job, "url_md5"))
 
 
 def build_docs(documents: DataFrame, batch_id: int = 0) -> DataFrame:
-    """Stored fields ``doc_id, url, title, content, batch_id``; texts of only line breaks are skipped."""
+    """Stored fields ``doc_id, url, title, content, batch_id``; texts of only line breaks are skipped.
+
+    Documents without a ``doc_id`` get the one of their key.
+    """
+    if "doc_id" not in documents.columns:
+        documents = with_doc_ids(documents)
     return documents.filter(F.col("url").isNotNull() & has_title(F.col("text"))).select(
         "doc_id",
         "url",
@@ -176,48 +211,85 @@ class Index:
     postings: DataFrame
     terms: DataFrame
     fields: DataFrame
+    buckets: int = BUCKETS
 
 
-def term_bucket(term: Column) -> Column:
-    """Folder of a term: the first hex digit of its MD5."""
-    return F.substring(F.md5(term), 1, 1)
+def term_bucket(term: Column, buckets: int = BUCKETS) -> Column:
+    """Folder of a term: its MD5 by the number of folders."""
+    return F.pmod(F.conv(F.substring(F.md5(term), 1, 8), 16, 10).cast("long"), F.lit(buckets)).cast("int")
 
 
-def term_buckets_of(terms: list[str]) -> list[str]:
+def term_buckets_of(terms: list[str], buckets: int = BUCKETS) -> list[int]:
     """Folders that hold the given terms."""
-    return sorted({hashlib.md5(t.encode("utf-8")).hexdigest()[0] for t in terms})
+    return sorted({int(hashlib.md5(t.encode("utf-8")).hexdigest()[:8], 16) % buckets for t in terms})
+
+
+_MANIFEST = "batch_id bigint, seq bigint, attempt string, buckets int"
+_TABLES = {
+    "docs": "doc_id bigint, url string, title string, content string, batch_id bigint",
+    "postings": "field string, term string, doc_id bigint, tf bigint, dl bigint, positions array<int>, "
+    "batch_id bigint, bucket int",
+    "terms": "field string, term string, df bigint, ttf bigint, batch_id bigint, bucket int",
+    "fields": "field string, n_docs bigint, total_len bigint, batch_id bigint",
+}
+
+
+def _published(spark: SparkSession, path: str) -> list:
+    """Last published attempt of each batch."""
+    try:
+        rows = spark.read.schema(_MANIFEST).parquet(f"{path}/manifest").collect()
+    except AnalysisException:
+        return []
+    newest = {r["batch_id"]: r for r in sorted(rows, key=lambda r: r["seq"])}
+    return sorted(newest.values(), key=lambda r: r["batch_id"])
 
 
-def _replace_batches(df: DataFrame, path: str, *more: str) -> None:
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-        "batch_id", *more
-    ).parquet(path)
+def _by_bucket(rows: DataFrame, buckets: int, order: list[str], *spread: str) -> DataFrame:
+    """Rows dealt out by bucket and a salt of ``spread``, sorted for the scan."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bucketed = rows.withColumn("bucket", term_bucket(F.col("term"), buckets))
+    salts = max(1, 4 * math.ceil(tasks / buckets))
+    salt = F.pmod(F.xxhash64(*spread), F.lit(salts))
+    return bucketed.repartition(tasks, "bucket", salt).sortWithinPartitions("bucket", *order)
 
 
 def index_append(
-    docs: DataFrame, path: str, batch_id: int, postings: DataFrame | None = None
+    docs: DataFrame,
+    path: str,
+    batch_id: int,
+    postings: DataFrame | None = None,
+    buckets: int = BUCKETS,
 ) -> None:
-    """Write the documents of one batch to the index at ``path``.
+    """Write the documents of one batch to the index at ``path`` and publish it.
 
-    Only the folders of this batch are replaced, so a repeated batch leaves one copy. The
-    postings are tokenised once and dealt out by bucket and a salt of the document, so a term
-    that every document holds is spread over as many tasks as its bucket has salts.
+    A repeated batch replaces its earlier attempt wholly; a batch may be empty. The documents are
+    computed once: postings start from those written. The postings are dealt out by bucket and
+    a salt of the document, so a term that every document holds is spread over as many tasks as
+    its bucket has salts. ``buckets`` is fixed by the first batch of an index.
     """
     spark = docs.sparkSession
-    _replace_batches(docs, f"{path}/docs")
-    rows = build_postings(docs) if postings is None else postings
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, math.ceil(tasks / _BUCKETS))))
-    _replace_batches(
-        rows.withColumn("bucket", term_bucket(F.col("term")))
-        .repartition(tasks, "bucket", salt)
-        .sortWithinPartitions("batch_id", "bucket", "field", "term", "doc_id"),
-        f"{path}/postings",
-        "bucket",
-    )
-    written = spark.read.parquet(f"{path}/postings").filter(F.col("batch_id") == batch_id)
-    _replace_batches(term_stats(written, "batch_id"), f"{path}/terms")
-    _replace_batches(corpus_stats(written, "batch_id"), f"{path}/fields")
+    before = _published(spark, path)
+    buckets = before[0]["buckets"] if before else buckets
+    attempt = uuid.uuid4().hex
+    folder = f"{path}/data/{attempt}"
+
+    def written(name: str, df: DataFrame) -> DataFrame:
+        has_bucket = "bucket" in df.columns
+        writer = df.write.partitionBy("bucket") if has_bucket else df.write
+        writer.parquet(f"{folder}/{name}")
+        return spark.read.schema(_TABLES[name]).parquet(f"{folder}/{name}")
+
+    stored = written("docs", docs)
+    twice = stored.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL")
+    if not twice.isEmpty():
+        raise ValueError(f"batch {batch_id} holds two documents with one doc_id")
+    rows = build_postings(stored) if postings is None else postings
+    kept = written("postings", _by_bucket(rows, buckets, ["field", "term", "doc_id"], "doc_id"))
+    written("terms", _by_bucket(term_stats(kept, "batch_id"), buckets, ["field", "term"], "term"))
+    written("fields", corpus_stats(kept, "batch_id"))
+    seq = max((r["seq"] for r in before), default=-1) + 1
+    row = spark.createDataFrame([(batch_id, seq, attempt, buckets)], _MANIFEST)
+    row.coalesce(1).write.mode("append").parquet(f"{path}/manifest")
 
 
 def index_increment(
@@ -229,7 +301,7 @@ def index_increment(
 ) -> DataFrame | None:
     """Index the flagged documents as one batch and return the flags that are left.
 
-    A flag is only given up once its document is part of the written batch.
+    A flag is only given up once its document is part of the published batch.
     """
     taken = need_index_take(documents, flags)
     located = taken if urls is None else doc_url_lookup(taken, urls)
@@ -238,22 +310,24 @@ def index_increment(
 
 
 def read_index(spark: SparkSession, path: str) -> Index:
-    """Open the index at ``path``."""
+    """Open the published batches of the index at ``path``."""
+    published = _published(spark, path)
 
-    def table(name: str, columns: str) -> DataFrame:
-        return spark.read.schema(f"{columns}, batch_id bigint").parquet(f"{path}/{name}")
+    def table(name: str) -> DataFrame:
+        folders = [f"{path}/data/{r['attempt']}/{name}" for r in published]
+        if not folders:
+            return spark.createDataFrame([], _TABLES[name])
+        parts = [spark.read.schema(_TABLES[name]).parquet(f) for f in folders]
+        return reduce(DataFrame.unionByName, parts)
 
     return Index(
-        docs=table("docs", "doc_id bigint, url string, title string, content string"),
-        postings=table(
-            "postings",
-            "field string, term string, doc_id bigint, tf bigint, dl bigint, "
-            "positions array<int>, bucket string",
-        ),
-        terms=table("terms", "field string, term string, df bigint, ttf bigint"),
-        fields=table("fields", "field string, n_docs bigint, total_len bigint")
+        docs=table("docs"),
+        postings=table("postings"),
+        terms=table("terms"),
+        fields=table("fields")
         .groupBy("field")
         .agg(F.sum("n_docs").alias("n_docs"), F.sum("total_len").alias("total_len")),
+        buckets=published[0]["buckets"] if published else BUCKETS,
     )
 
 

@@ -157,7 +157,9 @@ def _fold_slices(
 ) -> DataFrame:
     """Fold URLs with many visits slice by slice; see ``revisit_interval``."""
     spark = visits.sparkSession
-    bucket = F.floor(F.col("ts") / config.min_interval)
+    # The first visit sets the default interval as it is, so a bucket is no longer than that either.
+    width = min(config.min_interval, config.default_interval, config.max_interval)
+    bucket = F.floor(F.col("ts") / width)
     # Of the visits at one instant only the first can be accepted.
     firsts = visits.groupBy("url_md5", "ts").agg(
         F.min(F.struct("id", "outcome")).alias("f")

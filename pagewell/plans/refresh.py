@@ -69,17 +69,24 @@ def take_due(tables: CrawlTables, config: CrawlConfig, now: float, budget: int)
 
 
 def read_fetches(fetch_log: DataFrame, job_id: str) -> DataFrame:
-    """Fetch log with key, route and decoded text; undecodable or untyped answers are errors."""
+    """Fetch log with key, route and decoded text; undecodable or untyped answers are errors.
+
+    Of several answers for one key the one fetched last counts.
+    """
     charset = parse_charset(F.col("content_type"))
     failed = F.col("error_type").isNotNull()
-    keyed = fetch_log.withColumn("url", canonical_url(F.col("url"))).select(
+    keyed = fetch_log.withColumn("url", canonical_url(F.col("url"))).withColumn("url_md5", url_key(F.col("url")))
+    order = F.struct("fetched_at", F.coalesce("status", F.lit(0)), F.xxhash64("body"))
+    rest = F.struct(*fetch_log.columns)
+    newest = keyed.groupBy("url_md5").agg(F.max_by(rest, order).alias("r")).select("url_md5", "r.*")
+    routed = newest.select(
         F.lit(job_id).alias("job_id"),
-        url_key(F.col("url")).alias("url_md5"),
+        "url_md5",
         *fetch_log.columns,
         F.when(failed, "error").otherwise(route_content(F.col("content_type"))).alias("route"),
     )
     is_html = F.col("route") == "html"
-    decoded = keyed.withColumn(
+    decoded = routed.withColumn(
         "html", decode_body(F.when(is_html, F.col("body")), F.when(is_html, charset))
     )
     lost = is_html & F.col("html").isNull() & F.col("body").isNotNull()
@@ -115,7 +122,8 @@ def refresh_round(
     browser was asked for. The tables of the result are lazy: write them before the next
     round.
     """
-    fetches = read_fetches(fetch_log, job_id)
+    # Many tables start from the answers: they are read, decoded and reduced once.
+    fetches = stage(read_fetches(fetch_log, job_id), "round-fetches")
     html = fetches.filter("route = 'html'")
     if rendered is not None:
         shown = rendered.select("url_md5", F.col("html").alias("shown"))
@@ -144,13 +152,16 @@ def refresh_round(
         config.same_ratio,
     )
     outcomes = stage(judged.withColumn("job_id", F.lit(job_id)), "round-outcomes")
-    visits = outcomes.join(state.select(*KEY, "interval_s"), KEY, "left")
+    visits = outcomes.join(state.select(*KEY, "interval_s"), KEY, "left").join(
+        fetches.select(*KEY, F.coalesce("fetched_at", F.lit(float(now))).alias("at")), KEY, "left"
+    )
+    at = F.coalesce("at", F.lit(float(now)))
     started = F.when(F.col("outcome") != "first", F.col("interval_s"))
     interval = next_interval(F.col("outcome"), started, config)
     updates = visits.select(
         *KEY,
-        F.lit(now).alias("last_time"),
-        (F.lit(now) + interval).alias("next_time"),
+        at.alias("last_time"),
+        (at + interval).alias("next_time"),
         interval.alias("interval_s"),
         F.lit(0).alias("seq"),
     )
@@ -169,7 +180,7 @@ def refresh_round(
     return replace(
         tables,
         urls=urls_seen_union(tables.urls, found),
-        frontier=frontier_push(frontier_rest(tables.frontier, popped), new_links),
+        frontier=frontier_push(frontier_rest(tables.frontier, popped, tables.urls), new_links),
         visited=visited,
         need_index=tables.need_index.select(*KEY).unionByName(need_index_mark(outcomes)).distinct(),
         visit_state=visit_state_upsert(tables.visit_state, updates),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -13,16 +13,54 @@ def latest_per_key(rows: DataFrame, key: list[str], order_by: str) -> DataFrame:
     return newest.select(*key, "_r.*")
 
 
-def sink_documents(rows: DataFrame, path: str, order_by: str, key: tuple[str, ...] = ("job_id", "url_md5")) -> None:
-    """Overwrite the stored rows of the jobs in ``rows``; the last row per key is kept."""
-    latest_per_key(rows, list(key), order_by).write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic"
-    ).partitionBy("job_id").parquet(path)
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Versions that were written whole."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(root):
+        return []
+    names = [s.getPath().getName() for s in system.listStatus(root)]
+    numbers = [int(n.removeprefix("version=")) for n in names if n.startswith("version=")]
+    done = [n for n in numbers if system.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={n}/_SUCCESS"))]
+    return sorted(done)
 
 
-def sink_files(rows: DataFrame, path: str, order_by: str) -> None:
+def sink_documents(
+    rows: DataFrame,
+    path: str,
+    order_by: str,
+    key: tuple[str, ...] = ("job_id", "url_md5"),
+    version: int | None = None,
+) -> int:
+    """Replace the stored rows of the keys in ``rows`` and keep all others; returns the version written.
+
+    A write adds a version that holds its own keys only, so its cost follows the change and not the
+    store. Of several rows for a key the last by ``order_by`` counts. A given ``version`` that was written
+    before is replaced, so a repeated write leaves one copy.
+    """
+    spark = rows.sparkSession
+    number = version if version is not None else max(_versions(spark, path), default=-1) + 1
+    latest_per_key(rows, list(key), order_by).write.mode("overwrite").parquet(f"{path}/version={number}")
+    return number
+
+
+def stored_documents(spark: SparkSession, path: str, key: tuple[str, ...] = ("job_id", "url_md5")) -> DataFrame:
+    """Stored rows: the newest version of each key."""
+    folders = [f"{path}/version={n}" for n in _versions(spark, path)]
+    rows = spark.read.option("basePath", path).parquet(*folders)
+    return latest_per_key(rows, list(key), "version")
+
+
+def compact_documents(
+    spark: SparkSession, path: str, target: str, key: tuple[str, ...] = ("job_id", "url_md5")
+) -> None:
+    """Write the stored rows as the first version of a new store at ``target``."""
+    stored_documents(spark, path, key).write.mode("overwrite").parquet(f"{target}/version=0")
+
+
+def sink_files(rows: DataFrame, path: str, order_by: str) -> int:
     """Store file bodies ``job_id, url_md5, ext, body``; the last body per key is kept."""
-    sink_documents(rows, path, order_by, ("job_id", "url_md5", "ext"))
+    return sink_documents(rows, path, order_by, ("job_id", "url_md5", "ext"))
 
 
 def sink_hits(hits: DataFrame, path: str) -> None:

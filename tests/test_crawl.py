@@ -211,8 +211,8 @@ def test_two_refresh_rounds(spark):
         anchors = "".join(f'<a href="{l}">link</a>' for l in links)
         return bytearray(f"<title>{title}</title>{anchors}".encode())
 
-    def fetch(url, body, content_type="text/html", error=None, final=None):
-        return (url, final or url, 200, content_type, body, error, "boom" if error else None, 0.0)
+    def fetch(url, body, content_type="text/html", error=None, final=None, at=1000.0):
+        return (url, final or url, 200, content_type, body, error, "boom" if error else None, at)
 
     popped, due = take_due(tables, CONFIG, 1000.0, 10)
     assert {r.url for r in due.collect()} == {"http://s.org"}
@@ -229,7 +229,8 @@ def test_two_refresh_rounds(spark):
     log = spark.createDataFrame(
         [
             fetch("http://s.org/a", None, None, "HTTPError"),
-            fetch("http://s.org/b", page("b", ["/", "/a", "/c"])),
+            fetch("http://s.org/b/", page("old b", ["/old"]), at=1990.0),
+            fetch("http://s.org/b", page("b", ["/", "/a", "/c"]), at=2003.0),
             fetch("http://s.org/f.pdf", bytearray(b"%PDF"), "application/pdf", None, "http://cdn.s.org/x.v2.pdf"),
         ],
         FETCH_SCHEMA,
@@ -239,6 +240,9 @@ def test_two_refresh_rounds(spark):
     assert [(r.kind, r.message) for r in tables.errors.collect()] == [("known", "HTTPError  boom")]
     assert [(r.ext, bytes(r.body)) for r in tables.files.collect()] == [("pdf", b"%PDF")]
     assert {r.text for r in tables.documents.collect()} == {"home\n" + "link\n" * 5, "b\n" + "link\n" * 3}
+    # The later of two answers for one key counts, and a visit has the time of its answer.
+    stamps = {r.url_md5: r.last_time for r in tables.visit_state.collect()}
+    assert stamps[md5("http://s.org/b")] == 2003.0 and stamps[md5("http://s.org/a")] == 1000.0
     # A failed first fetch is flagged too, though it has no document.
     assert keys(tables.need_index) == {(job, md5(u)) for u in ("http://s.org", "http://s.org/a", "http://s.org/b")}
 
@@ -249,3 +253,29 @@ def test_filter_runs_below_the_anti_join(spark):
     visited = found.select("job_id", "url_md5")
     plan = frontier.links_unvisited(found, visited)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join LeftAnti") < plan.index("RLIKE(")
+
+
+def test_keys_without_url_do_not_stall_the_frontier(spark):
+    lost = [("j", f"{i:032x}") for i in range(5)]
+    known = [("j", md5(f"http://s.org/{i}"), f"http://s.org/{i}") for i in range(3)]
+    queue = spark.createDataFrame(lost + [k[:2] for k in known], "job_id string, url_md5 string")
+    urls = spark.createDataFrame(known, "job_id string, url_md5 string, url string")
+    taken = frontier.frontier_take(queue, urls, 2)
+    assert taken.count() == 2
+    assert frontier.frontier_rest(queue, taken, urls).count() == 1
+
+
+def test_a_write_of_some_keys_keeps_the_others(spark, tmp_path):
+    from pagewell.sources.sinks import compact_documents, sink_documents, stored_documents
+
+    def rows(*values):
+        return spark.createDataFrame(values, "job_id string, url_md5 string, text string, seq int")
+
+    path = str(tmp_path / "store")
+    sink_documents(rows(("j", "a", "a1", 1), ("j", "b", "b1", 1), ("k", "a", "other", 1)), path, "seq")
+    for _ in range(2):
+        sink_documents(rows(("j", "a", "a2", 2), ("j", "a", "a1", 1)), path, "seq", version=1)
+    want = {("j", "a", "a2"), ("j", "b", "b1"), ("k", "a", "other")}
+    assert {(r.job_id, r.url_md5, r.text) for r in stored_documents(spark, path).collect()} == want
+    compact_documents(spark, path, str(tmp_path / "small"))
+    assert {(r.job_id, r.url_md5, r.text) for r in stored_documents(spark, str(tmp_path / "small")).collect()} == want

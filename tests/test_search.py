@@ -307,3 +307,51 @@ def test_postings_are_built_without_a_shuffle(spark):
     df = index.build_postings(index.build_docs(docs))
     assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
     assert {(r.term, tuple(r.positions)) for r in df.filter("field = 'content'").collect()} == {("a", (0, 2)), ("b", (1,))}
+
+
+def test_batches_are_published_whole(spark, tmp_path):
+    path = str(tmp_path / "index")
+    docs = spark.createDataFrame(
+        [(1, "alpha beta\ndelta gamma", "u1"), (2, "alpha", "u2")], "doc_id long, text string, url string"
+    )
+
+    def state():
+        opened = index.read_index(spark, path)
+        terms = {(r.field, r.term, r.df) for r in opened.terms.collect() if r.field == "content"}
+        return {r.doc_id for r in opened.docs.collect()}, terms, {r.doc_id for r in opened.postings.collect()}
+
+    assert state() == (set(), set(), set())
+    index.index_append(index.build_docs(docs.filter("false")), path, 0)
+    assert state() == (set(), set(), set())
+    index.index_append(index.build_docs(docs, 0), path, 0)
+    assert state()[0] == {1, 2} and ("content", "alpha", 2) in state()[1]
+    index.index_append(index.build_docs(docs.filter("doc_id = 2"), 0), path, 0)
+    assert state() == ({2}, {("content", "alpha", 1)}, {2})
+    index.index_append(index.build_docs(docs.filter("doc_id = 1"), 1), path, 1)
+    assert state()[0] == {1, 2}
+    with pytest.raises(ValueError, match="two documents"):
+        index.index_append(index.build_docs(docs.unionByName(docs), 2), path, 2)
+    assert state()[0] == {1, 2}
+
+
+def test_flags_and_urls_belong_to_their_job(spark, tmp_path):
+    key = "job_id string, url_md5 string"
+    docs = spark.createDataFrame([("a", "k", "alpha"), ("b", "k", "beta")], key + ", text string")
+    urls = spark.createDataFrame([("a", "k", "http://k"), ("b", "k", "http://k")], key + ", url string")
+    flags = spark.createDataFrame([("b", "k"), ("b", "other")], key)
+    left = index.index_increment(docs, urls, flags, str(tmp_path / "i"), 0)
+    opened = index.read_index(spark, str(tmp_path / "i"))
+    assert [r.content for r in opened.docs.collect()] == ["beta"]
+    assert {(r.job_id, r.url_md5) for r in left.collect()} == {("b", "other")}
+    # Without the job on the documents' side a key still has one URL.
+    alone = docs.filter("job_id = 'a'").drop("job_id")
+    assert index.doc_url_lookup(alone, urls).count() == 1
+    ids = {r.doc_id for r in index.with_doc_ids(docs).collect()}
+    assert len(ids) == 2 and ids == {r.doc_id for r in index.with_doc_ids(docs).collect()}
+
+
+def test_fuzzy_clauses_are_neither_capped_nor_emptied(spark):
+    docs = spark.createDataFrame([(i, f"w{chr(97 + i // 26)}{chr(97 + i % 26)}x", f"u{i}") for i in range(70)], "doc_id long, text string, url string")
+    opened = index.index_of_docs(index.build_docs(docs))
+    got = run(spark, opened, [{"kind": "fuzzy", "term": "waax", "max_edits": 7}])
+    assert len(got) == 70
