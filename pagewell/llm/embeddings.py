@@ -130,11 +130,16 @@ def _links_of_size(nodes: DataFrame, size: int, threshold: float) -> DataFrame:
     placed = stage(nodes.select("node", "n", "v").mapInArrow(first, f"node long, n long, v {kind}, lead double"), "leads")
     groups = max(1, -(-placed.count() // TILE))
     cuts = placed.approxQuantile("lead", [i / groups for i in range(1, groups)], 0.1 / groups) if groups > 1 else []
-    cut_at = spark.createDataFrame([(sorted(set(cuts)),)], "cuts array<double>")
-    group = F.size(F.filter("cuts", lambda c: c < F.col("lead")))
-    # One row of cuts, one number per tile.
-    grouped = placed.join(F.broadcast(cut_at), F.lit(True)).withColumn("group", group).drop("cuts") if cuts else placed.withColumn("group", F.lit(0))
-    grouped = stage(grouped, "groups")
+    at = np.array(sorted(set(cuts)))
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            group = np.searchsorted(at, batch.column(3).to_numpy()).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(group)], [*batch.schema.names, "group"])
+
+    grouped = stage(
+        placed.mapInArrow(assign, f"node long, n long, v {kind}, lead double, group int"), "groups"
+    )
     tiles, number = [], 0
     for r in sorted(
         grouped.groupBy("group").agg(F.count(F.lit(1)).alias("c"), F.min("lead").alias("low"), F.max("lead").alias("high")).collect(),
