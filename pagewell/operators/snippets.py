@@ -14,7 +14,7 @@ from pagewell.config import SearchConfig
 from pagewell.functions.text import flatten_newlines, highlight_terms, tokens
 from pagewell.operators.analysis import token_offsets
 from pagewell.operators.index import Index
-from pagewell.operators.joins import lookup_join, pin
+from pagewell.operators.joins import PIN_ROWS, lookup_join, pin
 from pagewell.operators.search import Ranked, fetch_stored
 
 HIT = ["query_id", "rank"]
@@ -79,17 +79,16 @@ def best_fragment(hits: DataFrame, terms: DataFrame, length: int = 128, max_term
 
 def search_snippets(ranked: Ranked, index: Index, config: SearchConfig = SearchConfig()) -> DataFrame:
     """``query_id, rank, score, doc_id, url, title, snippet`` of all hits; the snippet may be null."""
-    hits, rows = pin(ranked.hits)
+    hits, rows = pin(ranked.hits, maybe_large=ranked.max_hits is None or ranked.max_hits > PIN_ROWS)
     docs = index.docs
     if rows is not None and len(rows) <= _PRUNE_DOCS:
         docs = docs.filter(F.col("doc_id").isin([r["doc_id"] for r in rows]))
     stored = fetch_stored(hits, docs, ranked.max_hits).withColumn(
         "text", flatten_newlines(F.col("content"))
     )
-    terms = query_terms(ranked.leaves.table)
-    best = best_fragment(
-        stored.select(*HIT, "text"), terms, config.snippet_length, ranked.leaves.max_rows
-    )
+    terms = query_terms(ranked.leaves.by_query)
+    few = ranked.leaves.max_rows if ranked.leaves.patterns is None else None
+    best = best_fragment(stored.select(*HIT, "text"), terms, config.snippet_length, few)
     fragment = F.substring(
         F.col("text"),
         F.col("frag_start") + 1,
