@@ -13,13 +13,15 @@ from pyspark.sql import functions as F
 
 from pagewell.llm.batches import batched
 from pagewell.llm.located import place, stored
-from pagewell.llm.rolling import sliding_minima, uncovered, window_hashes
+from pagewell.llm.rolling import BASES, sliding_minima, uncovered, window_hashes
 from pagewell.llm.suffix import repeated_starts
 from pagewell.session import stage
 
 # Bytes of the hashes that a string's anchor is chosen from; bytes of segments per shard.
 _PART = 100
 SHARD_BYTES = 4 << 20
+# Distinct segments of an anchor that one shard may hold; a more common anchor is counted window by window.
+SHARD_SEGMENTS = 1_024
 _EMPTY = hashlib.sha256(b"").hexdigest()
 _BYTE_VALUES = np.array([xxhash.xxh64_intdigest(bytes([b])) for b in range(256)], dtype=np.uint64)
 _RUN = pa.struct([("begin", pa.int64()), ("end", pa.int64())])
@@ -102,6 +104,35 @@ def _segment_bytes(width: int):
     return lambda batches: batched(rows(batches), schema, 1024)
 
 
+def _segment_windows(width: int):
+    """``(text, wanted)`` to two hashes of every string of ``width`` bytes of the wanted segments."""
+    schema = pa.schema([("segment", pa.int64()), ("a", pa.list_(pa.int64())), ("b", pa.list_(pa.int64()))])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            for text, wanted in zip(batch.column(0), batch.column(1).to_pylist()):
+                data = text.as_py()
+                for w in wanted:
+                    part = data[w["begin"] : w["begin"] + w["n"] + width - 1]
+                    values = _BYTE_VALUES[np.frombuffer(part, dtype=np.uint8)]
+                    a, b = (window_hashes(values, width, base).view(np.int64) for base in BASES)
+                    yield w["segment"], a, b
+
+    return lambda batches: batched(rows(batches), schema, 256)
+
+
+def _joined_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(segment, starts)`` to runs of starts."""
+    schema = pa.schema([("segment", pa.int64()), ("runs", pa.list_(_RUN))])
+
+    def rows() -> Iterator[tuple]:
+        for batch in batches:
+            for at, segment in enumerate(batch.column(0).to_pylist()):
+                yield segment, _runs(np.sort(np.asarray(batch.column(1)[at].values)))
+
+    return batched(rows(), schema, 1024)
+
+
 def _shard(width: int):
     """All segments of a shard to the runs of starts that repeat, by segment."""
     schema = pa.schema([("segment", pa.int64()), ("runs", pa.list_(_RUN))])
@@ -158,8 +189,9 @@ def repeated_bytes(docs: DataFrame, width: int = 400, id_col: str = "doc_id", te
 
     A string whose anchor occurs once cannot repeat, so only *segments* around shared anchors go
     further, each distinct one once. All segments of an anchor meet in one shard, whose suffixes
-    are sorted by induction (:mod:`pagewell.llm.suffix`); equal strings are neighbours there. A text that
-    occurs twice is removed whole and stands once for its copies.
+    are sorted by induction (:mod:`pagewell.llm.suffix`); equal strings are neighbours there. The segments
+    of an anchor with more than ``SHARD_SEGMENTS`` of them never meet in one task: their strings are
+    counted by two hashes each. A text that occurs twice is removed whole and stands once for its copies.
     """
     spark = docs.sparkSession
     docs, _ = stored(docs)
@@ -199,23 +231,38 @@ def repeated_bytes(docs: DataFrame, width: int = 400, id_col: str = "doc_id", te
     )
     # A lone segment that cannot repeat itself needs no suffix array, nor does a whole one that came twice alone.
     groups = stage(
-        distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("k"), F.min("single").alias("all_single")).where("k > 1 OR NOT all_single").select("anchor"),
+        distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("k"), F.min("single").alias("all_single")).where("k > 1 OR NOT all_single")
+        .select("anchor", (F.col("k") > SHARD_SEGMENTS).alias("common")),
         "anchor_groups",
     )
-    sorted_ones = distinct.join(groups, "anchor", "left_semi")
+    to_sort = groups.where("NOT common").select("anchor")
+    to_count = groups.where("common").select("anchor")
+    sorted_ones = distinct.join(to_sort, "anchor", "left_semi")
     size = sorted_ones.agg(F.sum(F.col("n") + width - 1)).first()[0] or 0
     shards = max(1, -(-size // SHARD_BYTES))
-    asked = sorted_ones.groupBy(F.col("f.row").alias("row")).agg(
-        F.collect_list(F.struct("segment", "anchor", F.col("f.begin").alias("begin"), "n")).alias("wanted")
-    )
+
+    def by_text(some: DataFrame) -> DataFrame:
+        wanted = F.struct("segment", "anchor", F.col("f.begin").alias("begin"), "n")
+        return with_text(some.groupBy(F.col("f.row").alias("row")).agg(F.collect_list(wanted).alias("wanted")))
+
     found = stage(
-        with_text(asked)
+        by_text(sorted_ones)
         .select("text", "wanted")
         .mapInArrow(_segment_bytes(width), "segment long, anchor long, data binary")
         .repartition(shards, F.xxhash64("anchor"))
         .mapInArrow(_shard(width), f"segment long, runs {_RUNS}"),
         "repeated_runs",
     )
+    if not to_count.isEmpty():
+        windows = stage(
+            by_text(distinct.join(to_count, "anchor", "left_semi"))
+            .select("text", "wanted")
+            .mapInArrow(_segment_windows(width), "segment long, a array<long>, b array<long>"),
+            "common_windows",
+        ).select("segment", F.posexplode(F.arrays_zip("a", "b")).alias("pos", "w")).select("segment", F.col("pos").cast("long").alias("pos"), "w.*")
+        repeated = stage(windows.groupBy("a", "b").count().where("count > 1").select("a", "b"), "common_repeats")
+        starts = windows.join(repeated, ["a", "b"]).groupBy("segment").agg(F.collect_list("pos").alias("starts"))
+        found = found.unionByName(starts.mapInArrow(_joined_runs, f"segment long, runs {_RUNS}"))
     whole = F.array(F.struct(F.lit(0).cast("long").alias("begin"), F.col("n").alias("end")))
     runs = stage(
         distinct.join(found, "segment", "left")
