@@ -49,18 +49,16 @@ located AS (
   SELECT doc_id, unnest(r) AS run, CAST(generate_subscripts(r, 1) - 1 AS INTEGER) AS run_pos FROM (
     SELECT doc_id, regexp_extract_all(translate(lower(text), '{_LATIN}', '{_HAN}'),
       '\p{{Han}}+|[\p{{Latin}}\p{{N}}_]+') AS r FROM documents)),
+"""
+_SQL_DICTIONARY = rf"""
 dictionary AS (
   SELECT DISTINCT word FROM (
     SELECT unnest(regexp_extract_all(translate(lower(text), '{_LATIN}', '{_HAN}'), '\p{{Han}}+')) AS word
     FROM benchmark)),
 lens AS (SELECT DISTINCT length(word) AS l FROM dictionary)
 """
-
-
-@query(
-    "segment_dict",
-    rf"""WITH RECURSIVE {_SQL_HAN},
-    runs AS (SELECT DISTINCT run FROM located WHERE regexp_matches(run, '^\p{{Han}}+$')),
+_SQL_CUT = r"""
+    runs AS (SELECT DISTINCT run FROM located WHERE regexp_matches(run, '^\p{Han}+$')),
     starts AS (SELECT run, unnest(range(1, length(run) + 1)) AS p FROM runs),
     longest AS (
       SELECT s.run, s.p, max(length(d.word)) AS n FROM starts s CROSS JOIN lens k
@@ -72,6 +70,12 @@ lens AS (SELECT DISTINCT length(word) AS l FROM dictionary)
       UNION ALL
       SELECT c.run, c.i + 1, c.p + c.n, coalesce(l.n, 1) FROM cut c
       LEFT JOIN longest l ON l.run = c.run AND l.p = c.p + c.n WHERE c.p + c.n <= length(c.run))
+"""
+
+
+@query(
+    "segment_dict",
+    rf"""WITH RECURSIVE {_SQL_HAN} {_SQL_DICTIONARY}, {_SQL_CUT}
     SELECT o.doc_id, o.run_pos, CAST(coalesce(c.i, 0) AS INTEGER) AS i,
            coalesce(substr(c.run, c.p, c.n), o.run) AS term
     FROM located o LEFT JOIN cut c ON c.run = o.run""",
@@ -191,6 +195,38 @@ def _build_postings_expanded(spark: SparkSession, folder: str) -> DataFrame:
     return index.postings_of_tokens(expanded).select("field", "term", "doc_id", "tf", "dl")
 
 
+@query(
+    "index_segmented",
+    rf"""WITH RECURSIVE han AS (
+      SELECT doc_id, translate(lower(text), '{_LATIN}', '{_HAN}') AS text FROM documents),
+    fields AS (
+      SELECT doc_id, 'content' AS field, text AS t FROM han
+      UNION ALL SELECT doc_id, 'title', regexp_replace(split_part(text, chr(10), 1), '\r\z', '') FROM han),
+    located AS (
+      SELECT doc_id, field, unnest(regexp_extract_all(t, '\p{{Han}}+|[\p{{Latin}}\p{{N}}_]+')) AS run FROM fields
+      WHERE doc_id IN (SELECT doc_id FROM han WHERE text = '' OR regexp_matches(text, '[^\r\n]|\r([^\n]|\z)'))),
+    {_SQL_DICTIONARY},
+    {_SQL_CUT},
+    terms AS (
+      SELECT o.doc_id, o.field, coalesce(substr(c.run, c.p, c.n), o.run) AS term
+      FROM located o LEFT JOIN cut c ON c.run = o.run),
+    sizes AS (SELECT doc_id, field, count(*) AS dl FROM terms GROUP BY doc_id, field)
+    SELECT t.field, t.term, t.doc_id, count(*) AS tf, any_value(s.dl) AS dl
+    FROM terms t JOIN sizes s ON s.doc_id = t.doc_id AND s.field = t.field GROUP BY t.field, t.term, t.doc_id""",
+)
+def _index_segmented(spark: SparkSession, folder: str) -> DataFrame:
+    """Index of documents that are analysed with a dictionary."""
+    docs = I.documents(spark, folder)
+    han = han_documents(spark, folder).join(docs.select("doc_id", "url"), "doc_id")
+    built = index.build_docs(han)
+    words = analysis.analyse(
+        index.field_texts(built), "text", [*index.DOC, "field"], han_dictionary(spark, folder)
+    )
+    path = scratch_path(spark, "segmented")
+    index.index_append(built, path, 0, index.postings_of_tokens(words))
+    return index.read_index(spark, path).postings.select("field", "term", "doc_id", "tf", "dl")
+
+
 @query("doc_lengths", f"WITH {I.SQL_INDEX} SELECT field, doc_id, dl FROM lengths")
 def _doc_lengths(spark: SparkSession, folder: str) -> DataFrame:
     return index.doc_lengths(index.build_docs(I.documents(spark, folder))).select("field", "doc_id", "dl")

@@ -11,7 +11,8 @@ class CrawlConfig:
 
     The patterns are unanchored regular expressions: a link is followed when
     ``allow`` is found in it and ``deny`` is not; a file is stored when
-    ``deny_file_type`` is not found in the text after its last dot. ``None`` denies nothing.
+    ``deny_file_type`` is not found in the text after its last dot. ``None`` denies nothing,
+    and with ``store_files`` off no file is.
     """
 
     start_url: str
@@ -22,6 +23,7 @@ class CrawlConfig:
     min_interval: float = 3_600.0
     max_interval: float = 8_640_000.0
     same_ratio: float = 0.998
+    store_files: bool = True
 
 
 @dataclass(frozen=True)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewell.functions.text import TOKEN, let, runs, tokens
@@ -123,3 +123,30 @@ def expand_synonyms(token_table: DataFrame, synonyms: DataFrame, keys: list[str]
 def expand_readings(token_table: DataFrame, readings: DataFrame, keys: list[str]) -> DataFrame:
     """Tokens plus, at the same position, the reading of each from ``readings(term, reading)``."""
     return _expand(token_table, readings, "term", "reading", keys)
+
+
+def analyse(
+    docs: DataFrame,
+    text: str,
+    keys: list[str],
+    dictionary: DataFrame | None = None,
+    synonyms: DataFrame | None = None,
+    readings: DataFrame | None = None,
+) -> DataFrame:
+    """``keys, pos, term, is_overlap``: the token table that documents and queries are searched by.
+
+    Han runs give dictionary words where a ``dictionary(word)`` is given, else overlapping pairs; then
+    each token's synonyms and readings stand at its position. ``keys`` identify a row of ``docs``.
+    """
+    if dictionary is None:
+        table = tokenize(docs, text, keys)
+    else:
+        lower = docs.select(*keys, F.lower(text).alias("_text"))
+        in_text = Window.partitionBy(*keys).orderBy("run_pos", "i")
+        table = segment_dict(lower, "_text", keys, dictionary).select(
+            *keys, (F.row_number().over(in_text) - 1).alias("pos"), "term"
+        )
+    table = table.withColumn("is_overlap", F.lit(False))
+    if synonyms is not None:
+        table = expand_synonyms(table, synonyms, keys)
+    return table if readings is None else expand_readings(table, readings, keys)

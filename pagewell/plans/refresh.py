@@ -169,7 +169,7 @@ def refresh_round(
     new_documents = texts.withColumn("job_id", F.lit(job_id)).join(fresh, KEY, "left_semi")
     new_pages = html.select(*KEY, "html").join(fresh, KEY, "left_semi")
     new_files = fetches.filter(
-        (F.col("route") == "file") & file_type_allowed(F.col("url"), config.deny_file_type)
+        F.lit(config.store_files) & (F.col("route") == "file") & file_type_allowed(F.col("url"), config.deny_file_type)
     ).select(*KEY, file_extension(F.col("final_url")).alias("ext"), "body")
     failures = fetches.filter("route = 'error'").select(
         *KEY,

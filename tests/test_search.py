@@ -355,3 +355,20 @@ def test_fuzzy_clauses_are_neither_capped_nor_emptied(spark):
     opened = index.index_of_docs(index.build_docs(docs))
     got = run(spark, opened, [{"kind": "fuzzy", "term": "waax", "max_edits": 7}])
     assert len(got) == 70
+
+
+def test_chinese_text_is_indexed_and_searched_by_words(spark, tmp_path):
+    docs = spark.createDataFrame(
+        [(1, "北京大学 opened", "u1"), (2, "大学生在北京", "u2"), (3, "上海 school", "u3")], "doc_id long, text string, url string"
+    )
+    dictionary = spark.createDataFrame([("北京",), ("北京大学",), ("大学",), ("大学生",), ("上海",)], "word string")
+    synonyms = spark.createDataFrame([("上海", "沪")], "term string, syn string")
+    built = index.build_docs(docs)
+    words = analysis.analyse(index.field_texts(built), "text", [*index.DOC, "field"], dictionary, synonyms)
+    index.index_append(built, str(tmp_path / "i"), 0, index.postings_of_tokens(words))
+    opened = index.read_index(spark, str(tmp_path / "i"))
+    asked = spark.createDataFrame([(1, "北京"), (2, "北京大学"), (3, "沪"), (4, "上海")], "query_id int, text string")
+    table = analysis.analyse(asked, "text", ["query_id"], dictionary, synonyms)
+    hits = search.search(opened, search.clauses_of_tokens(table)).hits.collect()
+    found = {q: {r.doc_id for r in hits if r.query_id == q} for q in range(1, 5)}
+    assert found == {1: {2}, 2: {1}, 3: {3}, 4: {3}}
