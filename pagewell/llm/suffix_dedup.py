@@ -20,8 +20,8 @@ from pagewell.session import stage
 # Bytes of the hashes that a string's anchor is chosen from; bytes of segments per shard.
 _PART = 100
 SHARD_BYTES = 4 << 20
-# Distinct segments of an anchor that one shard may hold; a more common anchor is counted window by window.
-SHARD_SEGMENTS = 1_024
+# Bytes of one anchor's distinct segments that a shard may hold; a more common anchor is counted string by string.
+ANCHOR_BYTES = 2 * SHARD_BYTES
 _EMPTY = hashlib.sha256(b"").hexdigest()
 _BYTE_VALUES = np.array([xxhash.xxh64_intdigest(bytes([b])) for b in range(256)], dtype=np.uint64)
 _RUN = pa.struct([("begin", pa.int64()), ("end", pa.int64())])
@@ -190,7 +190,7 @@ def repeated_bytes(docs: DataFrame, width: int = 400, id_col: str = "doc_id", te
     A string whose anchor occurs once cannot repeat, so only *segments* around shared anchors go
     further, each distinct one once. All segments of an anchor meet in one shard, whose suffixes
     are sorted by induction (:mod:`pagewell.llm.suffix`); equal strings are neighbours there. The segments
-    of an anchor with more than ``SHARD_SEGMENTS`` of them never meet in one task: their strings are
+    of an anchor with more than ``ANCHOR_BYTES`` of them never meet in one task: their strings are
     counted by two hashes each. A text that occurs twice is removed whole and stands once for its copies.
     """
     spark = docs.sparkSession
@@ -231,8 +231,14 @@ def repeated_bytes(docs: DataFrame, width: int = 400, id_col: str = "doc_id", te
     )
     # A lone segment that cannot repeat itself needs no suffix array, nor does a whole one that came twice alone.
     groups = stage(
-        distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("k"), F.min("single").alias("all_single")).where("k > 1 OR NOT all_single")
-        .select("anchor", (F.col("k") > SHARD_SEGMENTS).alias("common")),
+        distinct.groupBy("anchor")
+        .agg(
+            F.count(F.lit(1)).alias("k"),
+            F.sum(F.col("n") + width - 1).alias("size"),
+            F.min("single").alias("all_single"),
+        )
+        .where("k > 1 OR NOT all_single")
+        .select("anchor", (F.col("size") > ANCHOR_BYTES).alias("common")),
         "anchor_groups",
     )
     to_sort = groups.where("NOT common").select("anchor")

@@ -278,7 +278,7 @@ def test_repeated_bytes(messy, width):
 
 
 def test_common_anchors_are_counted(messy, monkeypatch):
-    monkeypatch.setattr("pagewell.llm.suffix_dedup.SHARD_SEGMENTS", 1)
+    monkeypatch.setattr("pagewell.llm.suffix_dedup.ANCHOR_BYTES", 1)
     rows = repeated_bytes(messy, 60).collect()
     got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), r["kept_sha256"]) for r in rows)
     assert got == want_bytes(pairs(messy_rows()), 60)
