@@ -17,11 +17,31 @@ def place() -> Column:
     return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
 
 
+def _is_bare(docs: DataFrame) -> bool:
+    """Whether ``docs`` is a scan of one folder or file as it lies there, with nothing above the scan."""
+    plan = docs._jdf.queryExecution().analyzed()
+    # Filters, projections, limits and samples resolve _metadata too, so the plan itself is asked.
+    if plan.getClass().getSimpleName() != "LogicalRelation":
+        return False
+    scan = plan.relation()
+    if scan.getClass().getSimpleName() != "HadoopFsRelation" or not scan.partitionSchema().isEmpty():
+        return False
+    roots = scan.location().rootPaths()
+    # Patterns and time limits are options; "path" alone leaves no file of the folder out.
+    if roots.size() != 1 or scan.options().keySet().mkString("/").lower() != "path":
+        return False
+    now = docs.sparkSession.read.schema(docs.schema).parquet(roots.head().toString())
+    return sorted(docs.inputFiles()) == sorted(now.inputFiles())
+
+
 def stored(docs: DataFrame) -> tuple[DataFrame, str]:
-    """``docs`` as a plain scan of one folder or file, and that path; written first if it is no such scan."""
+    """``docs`` as a plain scan of one folder or file, and that path; written first if it is no such scan.
+
+    The path holds the rows of ``docs`` and no others, so that a stream of it reads the same table.
+    """
     try:
-        docs.select("_metadata.row_index").schema  # noqa: B018 - only a plain file scan has the column
-        files = docs.inputFiles()
+        docs.select("_metadata.row_index").schema  # noqa: B018 - only a file scan has the column
+        files = docs.inputFiles() if _is_bare(docs) else []
     except AnalysisException:
         files = []
     folders = {posixpath.dirname(f) for f in files}

@@ -214,6 +214,43 @@ def test_exact_duplicates_compare_bytes_of_equal_digests(spark, messy, monkeypat
     assert exact_duplicates(spark, spark.createDataFrame([(1, "a"), (2, "a")], "doc_id long, text string")).where("kept").count() == 1
 
 
+DERIVED = {
+    "where": lambda docs, files: docs.where("doc_id < 9"),
+    "text": lambda docs, files: docs.withColumn("text", F.upper("text")),
+    "limit": lambda docs, files: docs.limit(9),
+    "distinct": lambda docs, files: docs.select("doc_id", "text").distinct(),
+    "files": lambda docs, files: docs.sparkSession.read.parquet(*files[:2]),
+    "twice": lambda docs, files: docs.sparkSession.read.parquet(*files, files[0]),
+    "pattern": lambda docs, files: docs.sparkSession.read.option("pathGlobFilter", "part-00000*").parquet(files[0].rsplit("/", 1)[0]),
+}
+
+
+@pytest.mark.parametrize("kind", list(DERIVED))
+def test_exact_duplicates_of_a_derived_table(spark, messy, kind):
+    docs = DERIVED[kind](messy, sorted(messy.inputFiles()))
+    rows = exact_duplicates(spark, docs).collect()
+    got = Counter((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in rows)
+    assert rows and got == want_exact(pairs(docs.select("doc_id", "text").collect()))
+    assert sum(r["kept"] for r in rows) == len({r["text_sha256"] for r in rows})
+
+
+def test_exact_duplicates_of_files_that_came_later_are_left_out(spark, tmp_path):
+    path = str(tmp_path / "docs")
+    for i in range(2):
+        spark.createDataFrame([(2 * i, "a"), (2 * i + 1, "b")], "doc_id long, text string").write.mode("append").parquet(path)
+        docs = spark.read.parquet(path) if i == 0 else docs
+    rows = exact_duplicates(spark, docs).collect()
+    assert {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in rows} == {(0, 0, 1, True), (1, 1, 1, True)}
+
+
+def test_exact_copies_of_a_derived_table_are_dropped_in_the_pipeline(spark, messy):
+    from corpus_pipeline import drop_exact_copies
+
+    kept = drop_exact_copies(spark, messy.where("doc_id < 9"), "").collect()
+    want = {r[1] or "" for r in messy_rows() if r[0] is not None and r[0] < 9}
+    assert sorted(r["text"] or "" for r in kept) == sorted(want)
+
+
 def test_exact_duplicates_of_nothing(spark, none):
     assert exact_duplicates(spark, none).count() == 0
 
