@@ -343,8 +343,7 @@ _FUZZY_SCORE = _BM25.format(weight="e.similarity", idf=_IDF.format(df="e.most"),
     "search_fuzzy",
     f"""WITH {sql_rank_words(1)},
     plain_words AS (
-      SELECT DISTINCT w[1] AS w, {_plain('w[1]')} AS p,
-             CASE WHEN length(w[1]) <= 3 THEN 0 WHEN length(w[1]) <= 8 THEN 1 ELSE 2 END AS k FROM qw),
+      SELECT DISTINCT w[1] AS w, {_plain('w[1]')} AS p, 2 AS k FROM qw),
     plain_terms AS (SELECT term, df, {_plain('term')} AS p FROM term_stats WHERE field = 'content'),
     near AS (
       SELECT q.w, s.term, s.df, levenshtein(s.p, q.p) AS edits,
@@ -361,10 +360,7 @@ _FUZZY_SCORE = _BM25.format(weight="e.similarity", idf=_IDF.format(df="e.most"),
     {sql_rank()}""",
 )
 def _search_fuzzy(spark: SparkSession, folder: str) -> DataFrame:
-    # Longer words may differ by more: none up to three letters, one up to eight, else two.
-    size = F.length(word(1))
-    edits = F.when(size <= 3, 0).when(size <= 8, 1).otherwise(2)
-    return ranked(spark, folder, 1, clause(0, "fuzzy", term=word(1), max_edits=edits))
+    return ranked(spark, folder, 1, clause(0, "fuzzy", term=word(1), max_edits=2))
 
 
 _SAFE = " UNION ALL ".join(

@@ -137,6 +137,43 @@ def test_fuzzy_meets_every_near_term(spark, opened, brute, term, k):
     assert got == pytest.approx(want, abs=2e-6)
 
 
+@pytest.fixture(scope="module")
+def query_folder(spark, corpus, tmp_path_factory):
+    """Tables of the registered queries over the small corpus, with words that nothing or little is near to."""
+    folder = str(tmp_path_factory.mktemp("tables"))
+    docs = [(i, t, "en", "s", len(t)) for i, t in corpus.items()]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    asked = [(1, "gem bxtx dalt omga"), (2, "alphaxs thx"), (3, "delta alphas epee gamma")]
+    spark.createDataFrame(asked, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return folder, {i: t.split() for i, t in asked}
+
+
+def best_scores(spark, folder, name):
+    from pagewell.catalog import ENTRIES
+
+    out = {}
+    for r in ENTRIES[name].run(spark, folder).collect():
+        out.setdefault(r.query_id, {})[r.doc_id] = r.score
+    return out
+
+
+def test_fuzzy_query_allows_every_word_two_edits(spark, brute, query_folder):
+    folder, asked = query_folder
+    got = best_scores(spark, folder, "search_fuzzy")
+    for item, words in asked.items():
+        for start, term in enumerate(words):
+            near = {}
+            for w in {w for t in brute.tokens.values() for w in t}:
+                d = edits(w, term)
+                if d <= 2 and (d == 0 or d < min(len(w), len(term))):
+                    near[w] = 1.0 - d / min(len(w), len(term))
+            most = max((brute.df(w) for w in near), default=1)
+            want = added(*[brute.term(w, s, most) for w, s in near.items()])
+            hits = got.get(item * 1000 + start, {})
+            assert sorted(hits.values()) == pytest.approx(sorted(want.values())[-20:], abs=2e-6)
+            assert hits == pytest.approx({i: want[i] for i in hits}, abs=2e-6)
+
+
 def matching(brute, accept):
     return {i: 1.0 for i, t in brute.tokens.items() if any(accept(w) for w in t)}
 
