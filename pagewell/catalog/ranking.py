@@ -317,6 +317,7 @@ def _search_prefix_wildcard(spark: SparkSession, folder: str) -> DataFrame:
 _RANGES = [
     (0, "s.term >= q.w[1] AND s.term < q.w[1] || 'm'"),
     (1, "s.term > q.w[2] AND s.term <= q.w[2] || 't'"),
+    (2, "s.term > least(q.w[1], q.w[2]) AND s.term <= greatest(q.w[1], q.w[2])"),
 ]
 
 
@@ -328,6 +329,7 @@ def _search_range(spark: SparkSession, folder: str) -> DataFrame:
         2,
         clause(0, "range", lo=word(1), hi=F.concat(word(1), F.lit("m")), incl_hi=False),
         clause(1, "range", lo=word(2), hi=F.concat(word(2), F.lit("t")), incl_lo=False),
+        clause(2, "range", lo=F.least(word(1), word(2)), hi=F.greatest(word(1), word(2)), incl_lo=False),
     )
 
 

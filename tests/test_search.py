@@ -178,6 +178,22 @@ def matching(brute, accept):
     return {i: 1.0 for i, t in brute.tokens.items() if any(accept(w) for w in t)}
 
 
+def test_range_query_covers_ranges_between_neighbouring_words(spark, brute, query_folder):
+    folder, asked = query_folder
+    got = best_scores(spark, folder, "search_range")
+    for item, words in asked.items():
+        for start in range(0, len(words), 2):
+            a, b = words[start : start + 2]
+            accept = [
+                lambda w: a <= w < a + "m",
+                lambda w: b < w <= b + "t",
+                lambda w: min(a, b) < w <= max(a, b),
+            ]
+            want = added(*[matching(brute, f) for f in accept])
+            best = dict(sorted(want.items(), key=lambda e: (-e[1], e[0]))[:20])
+            assert got.get(item * 1000 + start, {}) == best
+
+
 def test_patterns_and_ranges_score_one(spark, opened, brute):
     assert run(spark, opened, [{"kind": "prefix", "term": "del"}]) == matching(brute, lambda w: w.startswith("del"))
     import re
