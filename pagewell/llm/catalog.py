@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pagewell.catalog.registry import Entry
 from pagewell.llm.embeddings import near_vectors
+from pagewell.llm.located import place
 from pagewell.llm.mixing import mix_sources
 from pagewell.llm.packing import pack_documents
 from pagewell.llm.quality import fit_rules
@@ -178,25 +179,29 @@ def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Totals after three batches: all documents come, low-quality ones go, then the rest is recounted.
 
     The second batch deletes the documents that ``labels`` marks 0; it is committed twice. The third
-    revises the documents that repeat lines: it counts each distinct line once.
+    revises the documents that repeat lines: it counts each distinct line once. The ledger's key is a
+    document's file and row, so rows without a ``doc_id`` and rows that share one are counted one by
+    one; a label holds for all rows of its id, and none without an id.
     """
     path = public_tokenizers.path("word_bpe_49k.json")
-    docs = _table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "source", "lang", "text")
+    key = F.concat(place()["file"], F.lit("#"), place()["row"].cast("string"))
+    docs = _table(spark, folder, "documents").select(key.alias("id"), "doc_id", "source", "lang", "text")
     version = F.lit("word_bpe_49k").alias("version")
     totals = TokenTotals(spark, scratch_path(spark, "token_totals"))
-    known = docs.where("id IS NOT NULL")
+    known = docs.drop("doc_id")
     totals.commit(0, count_tokens(known, path).withColumn("op", F.lit("upsert")).withColumn("version", version))
-    gone = _table(spark, folder, "labels").where("quality = 0").select(
-        F.col("doc_id").alias("id"), F.lit("delete").alias("op"), F.lit(None).cast("string").alias("source"),
+    low = _table(spark, folder, "labels").where("quality = 0").select("doc_id")
+    gone = docs.join(low, "doc_id", "left_semi").select(
+        "id", F.lit("delete").alias("op"), F.lit(None).cast("string").alias("source"),
         F.lit(None).cast("string").alias("lang"), version, F.lit(0).alias("tokens"),
     )
     totals.commit(1, gone)
     totals.commit(1, gone)
     lines = F.split("text", "\n")
-    shorter = known.where(F.size(lines) > F.size(F.array_distinct(lines))).withColumn(
+    shorter = docs.where(F.size(lines) > F.size(F.array_distinct(lines))).withColumn(
         "text", F.array_join(F.array_distinct(lines), "\n")
     )
-    kept = shorter.join(gone.select("id"), "id", "left_anti")
+    kept = shorter.join(low, "doc_id", "left_anti").drop("doc_id")
     totals.commit(2, count_tokens(kept, path).withColumn("op", F.lit("upsert")).withColumn("version", version))
     return totals.totals()
 

@@ -404,6 +404,27 @@ def test_token_counts(messy, none):
     assert count_tokens(none.select("doc_id", "text"), VOCABULARY).count() == 0
 
 
+def test_token_query_covers_every_row(spark, messy, tmp_path):
+    from pagewell.llm.catalog import op7_token_counts
+
+    more = [(20, "a a\na a\nb"), (None, "x\nx"), (21, "c\nc"), (20, "d\nd\nd"), (22, "e\ne")]
+    docs = messy.select("doc_id", "text", "lang", "source").unionByName(
+        spark.createDataFrame([(*r, "en", "s1") for r in more], "doc_id long, text string, lang string, source string")
+    )
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(4, 0), (16, 0), (16, 0), (21, 0), (20, 1), (None, 0), (99, 0)]
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    theirs = Tokenizer.from_file(VOCABULARY)
+    low, documents, tokens = {4, 16, 21}, Counter(), Counter()
+    for r in docs.collect():
+        if r["doc_id"] not in low:
+            text = "\n".join(dict.fromkeys((r["text"] or "").split("\n")))
+            documents[r["source"], r["lang"]] += 1
+            tokens[r["source"], r["lang"]] += len(theirs.encode(text, add_special_tokens=False).ids)
+    got = {(r["source"], r["lang"]): (r["documents"], r["tokens"]) for r in op7_token_counts(spark, str(tmp_path)).collect()}
+    assert got == {k: (n, tokens[k]) for k, n in documents.items()}
+
+
 # --- mixing
 
 def test_mix_meets_targets(messy, none):
