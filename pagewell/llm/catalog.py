@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 
 from pagewell.catalog.registry import Entry
 from pagewell.llm.embeddings import near_vectors
+from pagewell.llm.hard_negatives import hard_negatives
 from pagewell.llm.located import place
+from pagewell.llm.merkle import folded, leaf_digest, merkle_proofs, proof_digest
 from pagewell.llm.mixing import mix_sources
 from pagewell.llm.packing import pack_documents
+from pagewell.llm.pattern_packing import pattern_pack
 from pagewell.llm.quality import fit_rules
 from pagewell.llm.simhash import simhash_groups
 from pagewell.llm.streaming_dedup import exact_duplicates
@@ -210,3 +213,117 @@ def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = repeated_bytes(_table(spark, folder, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+@_query(
+    "op11_hard_negatives",
+    """
+    WITH v AS (
+        SELECT row_number() OVER () AS row, vec_id,
+               CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+               list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+        FROM embeddings
+        WHERE label IS NOT NULL AND embedding IS NOT NULL
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), scored AS (
+        SELECT a.row AS anchor, a.vec_id AS anchor_id, b.row AS other, b.vec_id, a.label = b.label AS alike,
+               list_dot_product(a.e, b.e)::BIGINT AS score
+        FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.row <> b.row AND len(a.e) = len(b.e)
+    ), positive AS (
+        SELECT anchor, anchor_id, other, vec_id AS positive_id, score AS positive_score FROM scored WHERE alike
+        QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id NULLS LAST) <= 5
+    )
+    SELECT p.anchor_id, positive_id,
+           (row_number() OVER (PARTITION BY p.anchor, p.other ORDER BY score DESC, vec_id NULLS LAST))::INTEGER AS rank,
+           vec_id AS negative_id, positive_score, score AS negative_score
+    FROM positive p JOIN scored n
+    ON p.anchor = n.anchor AND NOT alike AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+    QUALIFY rank <= 10
+    """,
+)
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = _table(spark, folder, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+@_query("op12_pattern_packing")
+def op12_pattern_packing(spark: SparkSession, folder: str) -> DataFrame:
+    packed = pattern_pack(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packed.select(
+        "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset"
+    )
+
+
+def _merkle_sql() -> str:
+    """Trees level by level; a leaf's path follows from its index, and the subroots are the leaves of one more tree."""
+
+    def value(name: str) -> str:
+        return f"coalesce(strlen({name}::VARCHAR) || ':' || {name}::VARCHAR, '-')"
+
+    def leaf(n_chars: str) -> str:
+        return "sha256(" + " || ".join(map(value, ["doc_id", "source", "lang", n_chars, "text"])) + ")"
+
+    def levels(name: str, leaves: str) -> str:
+        return f"""{name}(tree, level, i, n, h) AS (
+            SELECT tree, 0, i, n, h FROM {leaves}
+            UNION ALL
+            SELECT tree, level + 1, i // 2, (max(n) + 1) // 2, sha256(string_agg(h, '' ORDER BY i))
+            FROM {name} WHERE n > 1 GROUP BY tree, level, i // 2
+        )"""
+
+    def steps(rows: str, name: str, at: str, tree: str, first: str) -> str:
+        return f"""
+            SELECT p.r, {first} + l.level AS step, CASE WHEN ({at} >> l.level) % 2 = 1 THEN s.h ELSE '' END AS a,
+                   CASE WHEN ({at} >> l.level) % 2 = 0 THEN coalesce(s.h, '') ELSE '' END AS b
+            FROM {rows} JOIN (SELECT DISTINCT tree, level FROM {name} WHERE n > 1) l ON l.tree = {tree}
+            LEFT JOIN {name} s ON s.tree = l.tree AND s.level = l.level AND s.i = xor({at} >> l.level, 1)"""
+
+    crc32 = """xor(list_reduce(list_prepend(4294967295::BIGINT,
+                list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+                lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0],
+                    lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295::BIGINT)"""
+    return f"""
+    WITH RECURSIVE docs AS (
+        SELECT doc_id, lang, {leaf('n_chars')} AS leaf,
+               CASE WHEN {crc32} % 7 = 0 THEN {leaf('(n_chars + 1)')} END AS changed
+        FROM documents
+    ), placed AS (
+        SELECT row_number() OVER () AS r, doc_id, leaf AS h, coalesce(changed, leaf) AS seen,
+               dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree,
+               row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+               count(*) OVER (PARTITION BY lang) AS n
+        FROM docs
+    ), {levels('low', 'placed')}, subroots AS (
+        SELECT 0 AS tree, tree AS i, count(*) OVER () AS n, h FROM low WHERE n = 1
+    ), {levels('top', 'subroots')}, deep AS (
+        SELECT tree, max(level) AS deep FROM low GROUP BY tree
+    ), step AS (
+        {steps('placed p', 'low', 'p.i', 'p.tree', '0')}
+        UNION ALL
+        {steps('placed p JOIN deep d ON d.tree = p.tree', 'top', 'p.tree', '0', 'd.deep')}
+    ), path AS (
+        SELECT r, list({{'a': a, 'h': '', 'b': b}} ORDER BY step) AS steps, string_agg(a || b, '' ORDER BY step) AS beside
+        FROM step GROUP BY r
+    ), found AS (
+        SELECT doc_id, p.h AS leaf, s.h AS subroot, t.h AS root, sha256(coalesce(beside, '')) AS proof_sha256,
+               list_reduce(list_prepend({{'a': '', 'h': seen, 'b': ''}}, coalesce(steps, [])),
+                           lambda x, y: {{'a': '', 'h': sha256(y.a || x.h || y.b), 'b': ''}}).h AS folded_root
+        FROM placed p JOIN subroots s ON s.i = p.tree JOIN top t ON t.n = 1 LEFT JOIN path USING (r)
+    )
+    SELECT *, folded_root = root AS verified FROM found
+    """
+
+
+@_query("op13_merkle_manifest", _merkle_sql())
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    row = [F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), F.col("text")]
+    more = [*row[:3], F.col("n_chars") + 1, row[4]]
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    leaves = docs.select("doc_id", "lang", leaf_digest(*row).alias("leaf"), F.when(tampered, leaf_digest(*more)).alias("changed"))
+    proofs = merkle_proofs(leaves, "lang", "doc_id")
+    return proofs.select(
+        "row.doc_id", "leaf", "subroot", "root", proof_digest(F.col("proof")).alias("proof_sha256"),
+        folded(F.coalesce("row.changed", "leaf"), F.col("proof")).alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
