@@ -465,7 +465,7 @@ def _best_fragment(spark: SparkSession, folder: str) -> DataFrame:
     found = bare(spark, folder)
     stored = S.fetch_stored(found.hits, I.documents_index(spark, folder).docs, found.max_hits)
     texts = stored.select("query_id", "rank", flatten_newlines(F.col("content")).alias("text"))
-    best = best_fragment(texts, query_terms(found.leaves.by_query), 128, found.leaves.max_rows)
+    best = best_fragment(texts, query_terms(found.leaves.by_query), 128, found.leaves.max_by_query)
     return best.select("query_id", "rank", "frag_start", "frag_end", "frag_score")
 
 

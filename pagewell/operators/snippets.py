@@ -87,8 +87,7 @@ def search_snippets(ranked: Ranked, index: Index, config: SearchConfig = SearchC
         "text", flatten_newlines(F.col("content"))
     )
     terms = query_terms(ranked.leaves.by_query)
-    few = ranked.leaves.max_rows if ranked.leaves.patterns is None else None
-    best = best_fragment(stored.select(*HIT, "text"), terms, config.snippet_length, few)
+    best = best_fragment(stored.select(*HIT, "text"), terms, config.snippet_length, ranked.leaves.max_by_query)
     fragment = F.substring(
         F.col("text"),
         F.col("frag_start") + 1,
