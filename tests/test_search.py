@@ -425,3 +425,63 @@ def test_chinese_text_is_indexed_and_searched_by_words(spark, tmp_path):
     hits = search.search(opened, search.clauses_of_tokens(table)).hits.collect()
     found = {q: {r.doc_id for r in hits if r.query_id == q} for q in range(1, 5)}
     assert found == {1: {2}, 2: {1}, 3: {3}, 4: {3}}
+
+
+def test_equal_queries_are_answered_once_and_handed_to_all(spark, opened):
+    rows = [(q, c, "term", t) for q in range(8) for c, t in enumerate(["alpha", "beta"] if q % 2 else ["gamma"])]
+    df = spark.createDataFrame(rows, "query_id int, clause_id int, kind string, term string")
+    good = search.prepare(df)
+    assert {r["query_id"] for r in good.rows} == {0, 1} and good.n_queries == 8
+    found = search.search(opened, df)
+    by_query = {}
+    for r in found.hits.collect():
+        by_query.setdefault(r.query_id, []).append((r.rank, r.doc_id, r.score))
+    assert set(by_query) == set(range(8))
+    assert all(sorted(by_query[q]) == sorted(by_query[q % 2]) for q in by_query)
+    terms = {(r.query_id, r.term) for r in found.leaves.by_query.collect()}
+    assert terms == {(r[0], r[3]) for r in rows}
+
+
+def test_deletions_are_shared_by_words_within_two_edits(spark):
+    rng = random.Random(6)
+    words = ["", "a", "ab", "abc", "aab"] + ["".join(rng.choice("abé") for _ in range(rng.randint(1, 9))) for _ in range(60)]
+    words += ["x" * 40 + "".join(rng.choice("ab") for _ in range(3)) for _ in range(4)]
+    df = spark.createDataFrame([(w,) for w in set(words)], "w string")
+    cut = df.select("w", search.deletions(F.col("w"), F.lit(2)).alias("d")).collect()
+    for a in cut:
+        assert len(a.d) <= 1 + 32 + 32 * 31 / 2
+        for b in cut:
+            if edits(a.w, b.w) <= 2:
+                assert set(a.d) & set(b.d)
+
+
+def test_ranges_meet_documents_by_nodes_and_never_by_terms(spark, opened):
+    rng = random.Random(9)
+    vocabulary = sorted({t for r in opened.terms.collect() for t in [r.term]})
+    bounds = vocabulary + ["", "b", "zz", "é", "gam"]
+    asked = [(i, rng.choice(bounds), rng.choice(bounds), rng.random() < 0.5, rng.random() < 0.5) for i in range(40)]
+    asked += [(40, None, "gamma", True, False), (41, "gamma", None, False, True), (42, None, None, True, True)]
+    df = spark.createDataFrame(asked, "pattern long, lo string, hi string, incl_lo boolean, incl_hi boolean")
+    rows = df.selectExpr("*", "'range' AS kind", "'content' AS field", "CAST(NULL AS STRING) AS term")
+    rows = rows.unionByName(spark.createDataFrame([(43, "al"), (44, "the"), (45, "q")], "pattern long, term string").selectExpr(
+        "*", "'prefix' AS kind", "'content' AS field", "CAST(NULL AS STRING) lo", "CAST(NULL AS STRING) hi", "true incl_lo", "true incl_hi"))
+    cut = search.cut_dictionary(rows, opened.terms)
+    met = cut.segments.select("field", "term", F.explode(cut.nodes()).alias("node")).join(cut.cover, "node")
+    got = {(r.pattern, r.term) for r in met.filter("field = 'content'").collect()}
+    own = {r.term for r in opened.terms.filter("field = 'content'").collect()}
+    want = {(43, t) for t in own if t.startswith("al")} | {(44, t) for t in own if t.startswith("the")}
+    for i, lo, hi, incl_lo, incl_hi in asked:
+        for t in own:
+            b, low, high = t.encode(), (lo or "").encode(), (hi or "").encode()
+            above = lo is None or b > low or incl_lo and b == low
+            if above and (hi is None or b < high or incl_hi and b == high):
+                want.add((i, t))
+    assert got == want
+    most = cut.cover.groupBy("pattern").count().agg(F.max("count")).first()[0]
+    assert most <= 2 * len(cut.levels)
+    clauses = df.selectExpr("CAST(pattern AS INT) AS query_id", "0 AS clause_id", "'range' AS kind", "lo", "hi", "incl_lo", "incl_hi")
+    good = search.prepare(clauses)
+    plan = search.matching_docs(opened, good, search.leaves_of(opened, good))._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert joins and not any(" < " in j or " > " in j or "<=" in j or ">=" in j for j in joins)
+    assert any("node" in j for j in joins)
