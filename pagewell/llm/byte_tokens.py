@@ -9,17 +9,12 @@ import numpy as np
 import tiktoken
 from tokenizers import Tokenizer
 
+from pagewell.llm.tokens import byte_of
+
 # Fixed value: the splitter that byte-level vocabulary files of this kind mean by "use_regex".
 _SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-def _byte_of() -> dict[str, int]:
-    """Byte that a character of the file stands for: printable ones themselves, the others from 256 on."""
-    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = [b for b in range(256) if b not in set(printable)]
-    return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
-
-
 def _by_rank(path: str) -> tiktoken.Encoding | None:
     """The file as ranks, if its ids are in the order of its merges and nothing but the splitter comes before."""
     with open(path, encoding="utf-8") as file:
@@ -33,7 +28,7 @@ def _by_rank(path: str) -> tiktoken.Encoding | None:
     )
     if not plain:
         return None
-    vocab, byte = model["vocab"], _byte_of()
+    vocab, byte = model["vocab"], byte_of()
     merged = [vocab.get("".join(m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]
     if None in merged or any(a >= b for a, b in zip(merged, merged[1:])) or not all(c in vocab for c in byte):
         return None
