@@ -404,6 +404,47 @@ def test_token_counts(messy, none):
     assert count_tokens(none.select("doc_id", "text"), VOCABULARY).count() == 0
 
 
+def test_counted_rows_keep_their_other_columns(messy):
+    got = count_tokens(messy, VOCABULARY)
+    assert got.columns == [c for c in messy.columns if c not in ("text", "tokens")] + ["tokens"]
+    assert got.schema["tokens"].dataType.simpleString() == "bigint"
+    theirs = Tokenizer.from_file(VOCABULARY)
+    want = Counter((k, "?", len(theirs.encode(t or "", add_special_tokens=False).ids)) for k, t in pairs(messy_rows()))
+    assert Counter(map(tuple, got.select("doc_id", "at", "tokens").collect())) == want
+
+
+def test_a_batch_without_its_mark_does_not_count(spark, tmp_path):
+    schema = "id string, op string, source string, lang string, version string, tokens long"
+    totals = TokenTotals(spark, str(tmp_path))
+
+    def change(*rows):
+        return spark.createDataFrame([(i, op, "s", "en", "v", n) for i, op, n in rows], schema)
+
+    assert totals.commit(0, change(("a", "upsert", 3)))
+    assert totals.commit(1, change(("b", "upsert", 4)))
+    (tmp_path / "deltas" / "batch=1" / "_SUCCESS").rename(tmp_path / "taken")  # as after a job that died while files were moved
+    assert totals.committed() == [0]
+    assert {tuple(r) for r in totals.totals().collect()} == {("s", "en", "v", 1, 3)}
+    with pytest.raises(ValueError, match="batch 1 was begun"):
+        totals.commit(2, change(("b", "delete", 0)))
+    assert totals.commit(1, change(("b", "upsert", 4)))
+    assert totals.commit(2, change(("b", "delete", 0)))
+    assert {tuple(r) for r in totals.totals().collect()} == {("s", "en", "v", 1, 3)}
+    assert totals.commit(9, change(("c", "upsert", 1)))
+    with pytest.raises(ValueError, match="batch 9"):
+        totals.commit(5, change(("a", "delete", 0)))
+
+
+def test_only_a_ledger_was_written(spark, tmp_path):
+    schema = "id string, source string, lang string, version string, tokens long, live boolean"
+    spark.createDataFrame([("b", "s", "en", "v", 4, True)], schema).write.parquet(str(tmp_path / "ledger" / "batch=1"))
+    totals = TokenTotals(spark, str(tmp_path))
+    gone = spark.createDataFrame([("b", "delete", "s", "en", "v", 0)], "id string, op string, source string, lang string, version string, tokens long")
+    with pytest.raises(ValueError, match="batch 1 was begun"):
+        totals.commit(2, gone)
+    assert totals.commit(1, gone) and totals.totals().count() == 0
+
+
 def test_token_query_covers_every_row(spark, messy, tmp_path):
     from pagewell.llm.catalog import op7_token_counts
 
