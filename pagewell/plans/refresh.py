@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewell.config import CrawlConfig
@@ -23,12 +24,10 @@ from pagewell.operators.frontier import (
     as_urls,
     extract_links,
     frontier_due,
-    frontier_push,
     frontier_rest,
     frontier_take,
     links_unvisited,
     links_valid,
-    urls_seen_union,
     visited_add,
 )
 from pagewell.operators.visits import (
@@ -39,6 +38,7 @@ from pagewell.operators.visits import (
     visit_state_upsert,
 )
 from pagewell.session import stage
+from pagewell.sources.store import KeyedStore
 
 
 @dataclass(frozen=True)
@@ -106,8 +106,22 @@ def to_render(fetch_log: DataFrame, job_id: str) -> DataFrame:
     return html.filter(needs_render(F.col("html"))).select(*KEY, "url")
 
 
-def refresh_round(
-    tables: CrawlTables,
+# Columns of the state tables beside job and key, and what their keys have besides.
+TABLES = {
+    "urls": ("url string", ()),
+    "frontier": ("", ()),
+    "visited": ("", ()),
+    "need_index": ("", ()),
+    "visit_state": ("last_time double, next_time double, interval_s double", ()),
+    "errors": ("kind string, message string", ("kind",)),
+    "documents": ("text string", ()),
+    "pages": ("html string", ()),
+    "files": ("ext string, body binary", ("ext",)),
+}
+
+
+def round_changes(
+    stored: Callable[[str, DataFrame], DataFrame],
     popped: DataFrame,
     fetch_log: DataFrame,
     config: CrawlConfig,
@@ -115,12 +129,12 @@ def refresh_round(
     now: float,
     rendered: DataFrame | None = None,
 ) -> CrawlTables:
-    """State tables after a round.
+    """Rows that a round adds to the state tables or puts in the place of their keys' rows.
 
-    ``popped`` are the URLs taken from the frontier and ``fetch_log`` the answers for those
-    of them that were due; ``rendered(url_md5, html)`` replaces the source of the pages that a
-    browser was asked for. The tables of the result are lazy: write them before the next
-    round.
+    ``stored(name, keys)`` gives a table's rows of some keys; no table is read beyond the keys that were fetched or
+    linked to. ``popped`` are the URLs taken from the frontier, which leave it, and ``fetch_log`` the answers for
+    those of them that were due; ``rendered(url_md5, html)`` replaces the source of the pages that
+    a browser was asked for.
     """
     # Many tables start from the answers: they are read, decoded and reduced once.
     fetches = stage(read_fetches(fetch_log, job_id), "round-fetches")
@@ -131,8 +145,8 @@ def refresh_round(
     # Links, texts and outcomes feed several tables each: they are computed once.
     links = links_valid(extract_links(html.select("url", "html")), config)
     found = stage(as_urls(links, "dst_url", F.lit(job_id)), "round-links")
-    visited = visited_add(tables.visited, popped)
-    new_links = links_unvisited(found, visited)
+    known = visited_add(stored("visited", found), popped)
+    new_links = links_unvisited(found, known)
     texts = stage(
         html.select(
             "url_md5", extract_text(F.col("html")).alias("text"), F.lit("ok").alias("status")
@@ -142,9 +156,8 @@ def refresh_round(
     errors = fetches.filter("route = 'error'").select(
         "url_md5", F.lit(None).cast("string").alias("text"), F.lit("error").alias("status")
     )
-    job = F.col("job_id") == job_id
-    old = tables.documents.filter(job)
-    state = tables.visit_state.filter(job)
+    old = stored("documents", fetches)
+    state = stage(stored("visit_state", fetches), "round-state")
     judged = change_detect(
         old.select("url_md5", "text"),
         texts.unionByName(errors),
@@ -177,23 +190,94 @@ def refresh_round(
         F.concat_ws("  ", "error_type", "error_message").alias("message"),
         F.lit(1).alias("seq"),
     )
-    return replace(
-        tables,
-        urls=urls_seen_union(tables.urls, found),
-        frontier=frontier_push(frontier_rest(tables.frontier, popped, tables.urls), new_links),
-        visited=visited,
-        need_index=tables.need_index.select(*KEY).unionByName(need_index_mark(outcomes)).distinct(),
-        visit_state=visit_state_upsert(tables.visit_state, updates),
-        errors=error_log_latest(
-            tables.errors.select(*KEY, "kind", "message", F.lit(0).alias("seq")).unionByName(failures),
-            ["seq"],
-        ),
-        documents=_replace(tables.documents, new_documents.select(*KEY, "text"), KEY),
-        pages=_replace(tables.pages, new_pages, KEY),
-        files=_replace(tables.files, new_files, [*KEY, "ext"]),
+    return CrawlTables(
+        urls=found.select(*KEY, "url").join(stored("urls", found).select(*KEY), KEY, "left_anti"),
+        frontier=new_links.select(*KEY).join(stored("frontier", new_links).select(*KEY), KEY, "left_anti"),
+        visited=popped.select(*KEY).distinct(),
+        need_index=need_index_mark(outcomes),
+        visit_state=visit_state_upsert(state.limit(0), updates),
+        errors=error_log_latest(failures, ["seq"]),
+        documents=new_documents.select(*KEY, "text"),
+        pages=new_pages,
+        files=new_files,
     )
 
 
+def refresh_round(
+    tables: CrawlTables,
+    popped: DataFrame,
+    fetch_log: DataFrame,
+    config: CrawlConfig,
+    job_id: str,
+    now: float,
+    rendered: DataFrame | None = None,
+) -> CrawlTables:
+    """State tables after a round, whole; see :func:`round_changes`.
+
+    The tables of the result are lazy: write them before the next round. Where the tables are large and the round is
+    small, keep them in a :class:`CrawlStore`, which writes the changes alone.
+    """
+
+    def stored(name: str, keys: DataFrame) -> DataFrame:
+        return getattr(tables, name).join(keys.select(*KEY).distinct(), KEY, "left_semi")
+
+    changes = round_changes(stored, popped, fetch_log, config, job_id, now, rendered)
+    after = {}
+    for name, (_, more) in TABLES.items():
+        new, old = getattr(changes, name), getattr(tables, name)
+        if name == "frontier":
+            old = frontier_rest(old, popped, tables.urls)
+        after[name] = _replace(old.select(*new.columns), new, [*KEY, *more])
+    return replace(tables, **after)
+
+
+class CrawlStore:
+    """The state tables of crawl jobs below a folder, written by the keys that changed."""
+
+    def __init__(self, spark: SparkSession, path: str, digits: int = 2) -> None:
+        def store(name: str, columns: str, more: tuple[str, ...]) -> KeyedStore:
+            schema = "job_id string, url_md5 string" + (f", {columns}" if columns else "")
+            return KeyedStore(spark, f"{path}/{name}", (*KEY, *more), digits=digits, schema=schema)
+
+        self.stores = {name: store(name, *spec) for name, spec in TABLES.items()}
+
+    def rows(self, name: str, keys: DataFrame | None = None, before: int | None = None) -> DataFrame:
+        """A table's rows, or those of the keys ``job_id, url_md5``, from whose folders alone they are read."""
+        store = self.stores[name]
+        if keys is None or store.key == tuple(KEY):
+            return store.rows(keys, before)
+        raise ValueError(f"{name} has further key columns")
+
+    def tables(self) -> CrawlTables:
+        """All tables whole."""
+        return CrawlTables(**{name: store.rows() for name, store in self.stores.items()})
+
+    def write(self, changes: CrawlTables, version: int, popped: DataFrame | None = None) -> None:
+        """Write changed rows as a version of every table; the ``popped`` keys leave the frontier.
+
+        A version written again replaces itself, so a round that died half way is simply run and written anew.
+        """
+        for name, store in self.stores.items():
+            gone = popped if name == "frontier" else None
+            store.write(getattr(changes, name), version, gone)
+
+    def refresh(
+        self, popped: DataFrame, fetch_log: DataFrame, config: CrawlConfig, job_id: str, now: float, version: int,
+        rendered: DataFrame | None = None,
+    ) -> None:
+        """One round: only the folders of keys fetched or linked to are read, and only changed rows are written.
+
+        The round reads the tables as they were before its version, so running it again gives the same.
+        """
+        popped = stage(popped.select(*KEY, "url"), "round-popped")
+
+        def stored(name: str, keys: DataFrame) -> DataFrame:
+            return self.rows(name, keys, before=version)
+
+        changes = round_changes(stored, popped, fetch_log, config, job_id, now, rendered)
+        self.write(changes, version, popped)
+
+
 def _replace(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     return old.join(new.select(*key), key, "left_anti").unionByName(new)
 

@@ -3,26 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-
-def latest_per_key(rows: DataFrame, key: list[str], order_by: str) -> DataFrame:
-    """Last row per key; values travel with the maximum, so tasks pre-reduce their rows."""
-    rest = [c for c in rows.columns if c not in key]
-    newest = rows.groupBy(*key).agg(F.max_by(F.struct(*rest), F.col(order_by)).alias("_r"))
-    return newest.select(*key, "_r.*")
-
-
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    """Versions that were written whole."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not system.exists(root):
-        return []
-    names = [s.getPath().getName() for s in system.listStatus(root)]
-    numbers = [int(n.removeprefix("version=")) for n in names if n.startswith("version=")]
-    done = [n for n in numbers if system.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={n}/_SUCCESS"))]
-    return sorted(done)
+from pagewell.sources.store import KeyedStore
 
 
 def sink_documents(
@@ -34,28 +16,23 @@ def sink_documents(
 ) -> int:
     """Replace the stored rows of the keys in ``rows`` and keep all others; returns the version written.
 
-    A write adds a version that holds its own keys only, so its cost follows the change and not the
-    store. Of several rows for a key the last by ``order_by`` counts. A given ``version`` that was written
-    before is replaced, so a repeated write leaves one copy.
+    A write adds its own keys to the folders of those keys (:class:`pagewell.sources.store.KeyedStore`), so
+    its cost follows the change and not the store. Of several rows for a key the last by ``order_by`` counts. A
+    given ``version`` that was written before is replaced, so a repeated write leaves one copy.
     """
-    spark = rows.sparkSession
-    number = version if version is not None else max(_versions(spark, path), default=-1) + 1
-    latest_per_key(rows, list(key), order_by).write.mode("overwrite").parquet(f"{path}/version={number}")
-    return number
+    return KeyedStore(rows.sparkSession, path, key).write(rows, version, order_by=order_by)
 
 
-def stored_documents(spark: SparkSession, path: str, key: tuple[str, ...] = ("job_id", "url_md5")) -> DataFrame:
-    """Stored rows: the newest version of each key."""
-    folders = [f"{path}/version={n}" for n in _versions(spark, path)]
-    rows = spark.read.option("basePath", path).parquet(*folders)
-    return latest_per_key(rows, list(key), "version")
+def stored_documents(
+    spark: SparkSession, path: str, key: tuple[str, ...] = ("job_id", "url_md5"), keys: DataFrame | None = None
+) -> DataFrame:
+    """Stored rows, the newest of each key; those of the given ``keys`` are read from their folders alone."""
+    return KeyedStore(spark, path, key).rows(keys)
 
 
-def compact_documents(
-    spark: SparkSession, path: str, target: str, key: tuple[str, ...] = ("job_id", "url_md5")
-) -> None:
-    """Write the stored rows as the first version of a new store at ``target``."""
-    stored_documents(spark, path, key).write.mode("overwrite").parquet(f"{target}/version=0")
+def compact_documents(spark: SparkSession, path: str, key: tuple[str, ...] = ("job_id", "url_md5")) -> int:
+    """Write the stored rows as one version, from which reads then start."""
+    return KeyedStore(spark, path, key).compact()
 
 
 def sink_files(rows: DataFrame, path: str, order_by: str) -> int:

@@ -16,6 +16,8 @@ from pagewell.config import CrawlConfig
 from pagewell.functions.urls import canonical_url, url_key
 from pagewell.operators.index import build_docs, index_append
 from pagewell.operators.visits import revisit_interval
+from pagewell.session import stage
+from pagewell.sources.store import KeyedStore
 
 _STATE = "last_time double, next_time double, interval_s double, n_visits long, n_late long"
 _OUTPUT = "url_md5 string, " + _STATE
@@ -58,16 +60,19 @@ def stream_revisit_state(visits: DataFrame, config: CrawlConfig) -> DataFrame:
     )
 
 
-def _newest(table: DataFrame, values: list[str]) -> DataFrame:
-    newest = table.groupBy("url_md5").agg(F.max_by(F.struct(*values), F.col("version")).alias("s"))
-    return newest.select("url_md5", "s.*")
+def _by_url(visits: DataFrame, path: str, columns: str, digits: int) -> KeyedStore:
+    return KeyedStore(visits.sparkSession, path, ("url_md5",), digits=digits, schema=f"url_md5 string, {columns}")
 
 
-def run_revisit_state(visits: DataFrame, config: CrawlConfig, path: str, checkpoint: str) -> DataFrame:
-    """Drain the stream into a versioned table at ``path`` and return the newest state per URL."""
+def run_revisit_state(visits: DataFrame, config: CrawlConfig, path: str, checkpoint: str, digits: int = 2) -> DataFrame:
+    """Drain the stream into a store at ``path`` and return the newest state per URL.
+
+    A micro-batch adds the states it changed to the folders of their keys; a repeated one replaces its own.
+    """
+    store = _by_url(visits, path, _STATE, digits)
 
     def keep(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        store.write(batch, batch_id)
 
     query = (
         stream_revisit_state(visits, config)
@@ -78,29 +83,23 @@ def run_revisit_state(visits: DataFrame, config: CrawlConfig, path: str, checkpo
         .start()
     )
     query.awaitTermination()
-    table = visits.sparkSession.read.parquet(path)
-    return _newest(table, ["last_time", "next_time", "interval_s", "n_visits", "n_late"])
+    return store.rows()
 
 
-def run_revisit_table(visits: DataFrame, config: CrawlConfig, path: str, checkpoint: str) -> DataFrame:
-    """Visit state per URL, kept in a table and folded batch by batch with ``revisit_interval``.
+def run_revisit_table(visits: DataFrame, config: CrawlConfig, path: str, checkpoint: str, digits: int = 2) -> DataFrame:
+    """Visit state per URL, kept in a store and folded batch by batch with ``revisit_interval``.
 
     For streams in which one URL may fill a micro-batch: its visits are folded in slices, and
-    late visits are never due. Each micro-batch writes the rows it changed as a version, so a
-    repeated one reads the versions before it and replaces its own.
+    late visits are never due. Each micro-batch reads the states of its URLs from their folders, as they were before it,
+    and writes the states it changed; a repeated one replaces its own.
     """
-    spark = visits.sparkSession
-    values = ["last_time", "next_time", "interval_s", "n_visits"]
-    schema = "url_md5 string, last_time double, next_time double, interval_s double, n_visits bigint, version int"
+    store = _by_url(visits, path, "last_time double, next_time double, interval_s double, n_visits bigint", digits)
 
     def fold(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.select("url_md5", "ts", "id", "outcome")
-        state = None
-        if batch_id > 0:
-            older = spark.read.schema(schema).parquet(path).filter(F.col("version") < batch_id)
-            touched = rows.select("url_md5").distinct()
-            state = _newest(older.join(touched, "url_md5", "left_semi"), values)
-        revisit_interval(rows, config, state).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        rows = stage(batch.select("url_md5", "ts", "id", "outcome"), "visits")
+        touched = rows.select("url_md5").distinct()
+        state = store.rows(touched, before=batch_id) if batch_id > 0 else None
+        store.write(revisit_interval(rows, config, state), batch_id)
 
     query = (
         visits.writeStream.option("checkpointLocation", checkpoint)
@@ -109,7 +108,7 @@ def run_revisit_table(visits: DataFrame, config: CrawlConfig, path: str, checkpo
         .start()
     )
     query.awaitTermination()
-    return _newest(spark.read.schema(schema).parquet(path), values)
+    return store.rows()
 
 
 def run_index_increment(documents: DataFrame, path: str, checkpoint: str) -> None:
@@ -130,14 +129,14 @@ def run_index_increment(documents: DataFrame, path: str, checkpoint: str) -> Non
     query.awaitTermination()
 
 
-def run_frontier_dedup(links: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Push only never-seen targets of a stream ``dst_url``; returns the table of seen URLs.
+def run_frontier_dedup(links: DataFrame, path: str, checkpoint: str, digits: int = 2) -> DataFrame:
+    """Push only never-seen targets of a stream ``dst_url``; returns the table of seen URLs, each with its micro-batch.
 
-    What was seen lives in the table, not in operator state, so it may grow without bound.
-    Rows of later micro-batches never see their own earlier attempt.
+    What was seen lies in a store by key and not in operator state, so it may grow without bound. A micro-batch
+    opens only the folders of its own keys, and sees them as they were before it.
     """
-    spark = links.sparkSession
     schema = "url_md5 string, url string, batch int"
+    store = KeyedStore(links.sparkSession, path, ("url_md5",), digits=digits, schema=schema)
 
     def push(batch: DataFrame, batch_id: int) -> None:
         canonical = canonical_url(F.col("dst_url"))
@@ -148,10 +147,9 @@ def run_frontier_dedup(links: DataFrame, path: str, checkpoint: str) -> DataFram
             .groupBy("url_md5")
             .agg(F.first("url").alias("url"))
         )
-        if batch_id > 0:
-            seen = spark.read.schema(schema).parquet(path).filter(F.col("batch") < batch_id)
-            targets = targets.join(seen.select("url_md5"), "url_md5", "left_anti")
-        targets.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        targets = stage(targets, "targets")
+        seen = store.rows(targets, before=batch_id).select("url_md5")
+        store.write(targets.join(seen, "url_md5", "left_anti").withColumn("batch", F.lit(batch_id)), batch_id)
 
     query = (
         links.writeStream.option("checkpointLocation", checkpoint)
@@ -160,7 +158,7 @@ def run_frontier_dedup(links: DataFrame, path: str, checkpoint: str) -> DataFram
         .start()
     )
     query.awaitTermination()
-    return spark.read.schema(schema).parquet(path)
+    return store.rows()
 
 
 def stream_frontier_dedup(links: DataFrame) -> DataFrame:

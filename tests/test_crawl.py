@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from pagewell.config import CrawlConfig
 from pagewell.operators import change, frontier, visits
 from pagewell.plans.closure import crawl_closure
-from pagewell.plans.refresh import CrawlTables, refresh_round, take_due, write_tables
+from pagewell.plans.refresh import CrawlStore, CrawlTables, refresh_round, take_due, write_tables
 from pagewell.session import scratch_path
+from pagewell.sources.store import KeyedStore
 from pagewell.sources.tables import FETCH_SCHEMA
 
 CONFIG = CrawlConfig(start_url="http://s.org/", allow=r"s\.org", deny="secret")
@@ -277,5 +278,54 @@ def test_a_write_of_some_keys_keeps_the_others(spark, tmp_path):
         sink_documents(rows(("j", "a", "a2", 2), ("j", "a", "a1", 1)), path, "seq", version=1)
     want = {("j", "a", "a2"), ("j", "b", "b1"), ("k", "a", "other")}
     assert {(r.job_id, r.url_md5, r.text) for r in stored_documents(spark, path).collect()} == want
-    compact_documents(spark, path, str(tmp_path / "small"))
-    assert {(r.job_id, r.url_md5, r.text) for r in stored_documents(spark, str(tmp_path / "small")).collect()} == want
+    one = stored_documents(spark, path, keys=spark.createDataFrame([("j", "a")], "job_id string, url_md5 string"))
+    assert [r.text for r in one.collect()] == ["a2"]
+    before = KeyedStore(spark, path)
+    compact_documents(spark, path)
+    assert len(before.attempts()) == 1
+    assert {(r.job_id, r.url_md5, r.text) for r in stored_documents(spark, path).collect()} == want
+
+
+def test_an_attempt_without_its_commit_is_never_read(spark, tmp_path):
+    store = KeyedStore(spark, str(tmp_path / "s"), schema="job_id string, url_md5 string, text string")
+    assert store.rows().count() == 0
+    rows = spark.createDataFrame([("j", f"{i:02x}f", f"t{i}") for i in range(40)], store.schema)
+    store.write(rows)
+    dead = rows.withColumn("text", F.lit("dead")).withColumn("gone", F.lit(False)).withColumn("attempt", F.lit("v1-dead"))
+    dead.withColumn("bucket", F.concat(F.lit("b"), F.substring("url_md5", 1, 2))).write.partitionBy("bucket", "attempt").mode("append").parquet(f"{store.path}/rows")
+    store.write(rows.limit(0), gone=rows.filter("url_md5 < '03'"))
+    assert {r.text for r in store.rows().collect()} == {f"t{i}" for i in range(3, 40)}
+    some = store.rows(rows.filter("url_md5 IN ('01f', '05f', '27f')"))
+    assert {r.text for r in some.collect()} == {"t5", "t39"}
+    assert {f.split("bucket=")[1][:3] for f in some.inputFiles() if "bucket=" in f} <= {"b01", "b05", "b27"}
+
+
+def test_a_round_with_one_changed_page_writes_one_document(spark, tmp_path):
+    store = CrawlStore(spark, str(tmp_path), digits=1)
+    urls = [f"http://s.org/{i}" for i in range(120)]
+    page = "<title>t{0}</title><p>words of page {0} that stay as they are</p><a href='/1'>x</a>"
+
+    def log(changed):
+        return spark.createDataFrame(
+            [(u, u, 200, "text/html", bytearray((page.format(i) + ("<p>" + "new " * 60 if i == changed else "")).encode()), None, None, 5.0)
+             for i, u in enumerate(urls)], FETCH_SCHEMA)
+
+    key = "job_id string, url_md5 string"
+    rows = [("j", md5(u), u) for u in urls]
+    none = {n: spark.createDataFrame([], s.schema) for n, s in store.stores.items()}
+    none["urls"] = spark.createDataFrame(rows, key + ", url string")
+    none["frontier"] = none["urls"].select("job_id", "url_md5")
+    store.write(CrawlTables(**none), 0)
+    popped, _ = take_due(store.tables(), CONFIG, 0.0, 1000)
+    store.refresh(popped, log(None), CONFIG, "j", 5.0, 1)
+    assert store.rows("documents").count() == 120 and store.rows("frontier").count() == 0
+    for _ in range(2):  # the second time as after a job that died
+        store.refresh(none["urls"], log(7), CONFIG, "j", 9.0, 2)
+    second = [a for a, v in store.stores["documents"].attempts().items() if v == 2]
+    written = spark.read.parquet(f"{tmp_path}/documents/rows").filter(F.col("attempt").isin(second))
+    assert [(r.url_md5, r.bucket) for r in written.collect()] == [(md5(urls[7]), "b" + md5(urls[7])[:1])]
+    one = store.rows("documents", none["urls"].filter(F.col("url") == urls[7]))
+    assert {f.split("bucket=")[1][:2] for f in one.inputFiles() if "bucket=" in f} == {"b" + md5(urls[7])[:1]}
+    assert [r.text.count("new") for r in one.collect()] == [60]
+    assert store.rows("documents").count() == 120 == store.rows("visit_state").count()
+    assert store.rows("visit_state").filter("interval_s = 43200").count() == 1
