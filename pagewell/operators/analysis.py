@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewell.functions.text import TOKEN, let, runs, tokens
 from pagewell.operators.joins import lookup_join
+from pagewell.session import stage
 
 _HAN_ONLY = r"^\p{IsHan}+\z"
 
@@ -31,41 +34,76 @@ def token_offsets(docs: DataFrame, text: str, keys: list[str]) -> DataFrame:
     ).filter(F.col("run").isNotNull())
 
 
+def word_prefixes(dictionary: DataFrame) -> DataFrame:
+    """``prefix, best``: every beginning, from two characters on, of the words of ``dictionary(word)``.
+
+    ``best`` is the length of the longest word that the prefix itself begins with, 0 if there is none.
+    """
+    words = dictionary.select("word").filter(F.length("word") > 1).distinct()
+
+    def beginnings(of: str) -> Column:
+        lengths = F.sequence(F.lit(2), F.length(of))
+        return F.explode(F.transform(lengths, lambda n: F.substring(F.col(of), F.lit(1), n)))
+
+    prefixes = words.select(beginnings("word").alias("prefix")).distinct()
+    known = prefixes.select("prefix", beginnings("prefix").alias("word")).join(words, "word")
+    best = known.groupBy("prefix").agg(F.max(F.length("word")).alias("best"))
+    return prefixes.join(best, "prefix", "left").select("prefix", F.coalesce("best", F.lit(0)).alias("best"))
+
+
 def segment_dict(docs: DataFrame, text: str, keys: list[str], dictionary: DataFrame) -> DataFrame:
     """``keys, run_pos, i, term`` with Han runs cut by forward maximum matching.
 
     At every character the longest word of ``dictionary(word)`` that starts there is taken,
-    or the single character; ``i`` counts the words of a run. Substrings meet the dictionary
-    where they are cut, and only those that are words go on to be collected per run.
+    or the single character; ``i`` counts the words of a run.
     """
-    words = dictionary.select("word").filter(F.length("word") > 1).distinct()
-    lengths = sorted(r[0] for r in words.select(F.length("word")).distinct().collect())
     located = docs.select(*keys, F.posexplode(runs(F.col(text))).alias("run_pos", "run"))
-    is_han = F.col("run").rlike(_HAN_ONLY)
+    return segment_runs(located, keys, dictionary)
 
-    def starting(at: Column) -> Column:
-        reach = F.length("run") - at + 1
-        occurring = F.array(*[F.lit(n) for n in lengths]).cast("array<int>")
-        return F.transform(
-            F.filter(occurring, lambda n: n <= reach),
-            lambda n: F.struct(at.alias("at"), n.alias("len"), F.substring(F.col("run"), at, n).alias("word")),
+
+def segment_runs(located: DataFrame, keys: list[str], dictionary: DataFrame) -> DataFrame:
+    """``keys, run_pos, i, term`` of the runs ``keys, run_pos, run``; see :func:`segment_dict`.
+
+    Characters whose pair begins no word drop out at once. The others, a row each, look for the longest
+    prefix known there: prefixes of a known one are known too, so its length is found by halving steps.
+    """
+    prefixes = stage(word_prefixes(dictionary), "prefixes")
+    n_prefixes, longest = prefixes.agg(F.count(F.lit(1)), F.max(F.length("prefix"))).first()
+    is_han = F.col("run").rlike(_HAN_ONLY)
+    at = F.explode(F.sequence(F.lit(1), F.length("run") - 1))
+    where = [*keys, "run_pos", "at"]
+
+    def probed(rows: DataFrame, step: int) -> DataFrame:
+        """Rows whose known prefix is longer by ``step`` where that one is known too."""
+        further = F.substring(F.col("run"), F.col("at"), F.col("n") + step)
+        fits = F.col("at") + F.col("n") + (step - 1) <= F.length("run")
+        asked = rows.withColumn("prefix", F.when(fits, further))
+        met = lookup_join(asked, prefixes.withColumnRenamed("best", "_best"), ["prefix"], where, "left", n_prefixes)
+        return met.select(
+            *where,
+            "run",
+            (F.col("n") + F.when(F.col("_best").isNotNull(), step).otherwise(0)).alias("n"),
+            F.coalesce("_best", "best").alias("best"),
         )
 
-    # The entry at 0 stands for the run itself and is kept whether or not a word is found.
-    itself = F.array(
-        F.struct(F.lit(0).alias("at"), F.lit(0).alias("len"), F.lit(None).cast("string").alias("word"))
-    )
-    substrings = F.flatten(F.transform(F.sequence(F.lit(1), F.length("run")), starting))
-    offered = located.withColumn(
-        "c", F.explode(F.when(is_han, F.concat(itself, substrings)).otherwise(itself))
-    ).select(*keys, "run_pos", F.when(F.col("c.at") == 0, F.col("run")).alias("run"), "c.at", "c.len", "c.word")
-    found = lookup_join(
-        offered, words.withColumn("known", F.lit(True)), ["word"], [*keys, "run_pos", "at"], "left"
-    ).filter(F.col("known") | (F.col("at") == 0))
-    steps = found.groupBy(*keys, "run_pos").agg(
-        F.sort_array(
-            F.collect_list(F.struct("at", (-F.col("len")).alias("neg_len"), "run"))
-        ).alias("steps")
+    starts = located.filter(is_han & (F.length("run") > 1)).select(*keys, "run_pos", "run", at.alias("at"))
+    starts = starts.withColumn("n", F.lit(0)).withColumn("best", F.lit(None).cast("int"))
+    found = probed(starts, 2).filter("n > 0")
+    step = 1 << max((longest or 0) - 2, 0).bit_length()
+    while step > 1:
+        step //= 2
+        found = probed(found, step)
+    # The entry at 0 stands for the run itself, whether or not a word is found in it.
+    none = F.lit(0)
+    steps = (
+        located.select(*keys, "run_pos", none.alias("at"), none.alias("neg_len"), "run")
+        .unionByName(
+            found.filter("best > 0").select(
+                *where, (-F.col("best")).alias("neg_len"), F.lit(None).cast("string").alias("run")
+            )
+        )
+        .groupBy(*keys, "run_pos")
+        .agg(F.sort_array(F.collect_list(F.struct("at", "neg_len", "run"))).alias("steps"))
     )
     run = F.get("steps", F.lit(0))["run"]
     cut = F.when(run.rlike(_HAN_ONLY), let(run, lambda r: _greedy_words(r, F.col("steps")))).otherwise(
@@ -146,7 +184,55 @@ def analyse(
         table = segment_dict(lower, "_text", keys, dictionary).select(
             *keys, (F.row_number().over(in_text) - 1).alias("pos"), "term"
         )
-    table = table.withColumn("is_overlap", F.lit(False))
+    return _expanded(table.withColumn("is_overlap", F.lit(False)), keys, synonyms, readings)
+
+
+def _expanded(table: DataFrame, keys: list[str], synonyms: DataFrame | None, readings: DataFrame | None) -> DataFrame:
     if synonyms is not None:
         table = expand_synonyms(table, synonyms, keys)
     return table if readings is None else expand_readings(table, readings, keys)
+
+
+@dataclass(frozen=True)
+class Analyser:
+    """The tables that documents, queries and snippets are analysed with; each may be missing.
+
+    The same analyser belongs to the index, to the queries asked of it and to their snippets.
+    """
+
+    dictionary: DataFrame | None = None
+    synonyms: DataFrame | None = None
+    readings: DataFrame | None = None
+
+    @property
+    def is_plain(self) -> bool:
+        """True when the tokens are those of the text alone."""
+        return self.dictionary is None and self.synonyms is None and self.readings is None
+
+    def tokens(self, docs: DataFrame, text: str, keys: list[str]) -> DataFrame:
+        """``keys, pos, term, is_overlap``, see :func:`analyse`."""
+        return analyse(docs, text, keys, self.dictionary, self.synonyms, self.readings)
+
+    def pieces(self, docs: DataFrame, text: str, keys: list[str]) -> DataFrame:
+        """``keys, pos, run, gap_len``: as :func:`token_offsets`, with Han runs cut into the dictionary's words."""
+        located = token_offsets(docs, text, keys)
+        if self.dictionary is None:
+            return located
+        carried = [*keys, "gap_len"]
+        cut = segment_runs(located.withColumnRenamed("pos", "run_pos"), carried, self.dictionary)
+        in_text = Window.partitionBy(*keys).orderBy("run_pos", "i")
+        return cut.select(
+            *keys,
+            (F.row_number().over(in_text) - 1).alias("pos"),
+            F.col("term").alias("run"),
+            F.when(F.col("i") == 0, F.col("gap_len")).otherwise(0).alias("gap_len"),
+        )
+
+    def terms(self, pieces: DataFrame, keys: list[str]) -> DataFrame:
+        """``keys, pos, term`` of pieces with a ``pos`` and a ``run``: its tokens, their synonyms and readings."""
+        own = tokens(F.col("run")) if self.dictionary is None else runs(F.col("run"))
+        table = pieces.select(*keys, "pos", F.explode(own).alias("term"))
+        if self.synonyms is None and self.readings is None:
+            return table
+        table = table.withColumn("is_overlap", F.lit(False))
+        return _expanded(table, keys, self.synonyms, self.readings).drop("is_overlap")

@@ -9,9 +9,10 @@ An index is a folder of four tables, written batch by batch:
 * ``terms(field, term, df, ttf)``, laid out as the postings, and ``fields(field, n_docs,
   total_len)``: counts per batch, summed over batches when read
 
-Every attempt at a batch writes to a folder of its own. It is published by one row of the
-``manifest``, in one file; readers open the last published attempt of each batch and nothing
-else, so a batch that is repeated, cut short or empty leaves no trace of the attempt before.
+Every attempt at a batch writes to folders of its own, ``<table>/attempt=<name>``. It is published by one
+row of the ``manifest``, in one file; readers open the last published attempt of each batch and nothing
+else, so a batch that is repeated, cut short or empty leaves no trace of the attempt before. A merge
+writes many batches as one attempt and publishes it for all of them at once.
 
 Indexing only appends: a document indexed again gets a new version and the old one stays
 searchable; ``index_latest`` leaves only the newest version of each URL.
@@ -23,13 +24,13 @@ import hashlib
 import math
 import uuid
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewell.functions.text import doc_title, has_title, tokens
+from pagewell.operators.analysis import Analyser
 
 FIELDS = ("content", "title")
 DOC = ["batch_id", "doc_id"]
@@ -102,12 +103,15 @@ def _field_tokens(docs: DataFrame) -> DataFrame:
     return field_texts(docs).select(*DOC, "field", tokens(F.col("text")).alias("terms"))
 
 
-def build_postings(docs: DataFrame) -> DataFrame:
+def build_postings(docs: DataFrame, analyser: Analyser | None = None) -> DataFrame:
     """``field, term, doc_id, tf, dl, positions, batch_id``.
 
     All tokens of a document lie in its own row: they are sorted there and cut into one
-    posting per term, so nothing is shuffled.
+    posting per term, so nothing is shuffled. An ``analyser`` with tables adds tokens by joins, and its
+    postings are grouped by document and term.
     """
+    if analyser is not None and not analyser.is_plain:
+        return postings_of_tokens(analyser.tokens(field_texts(docs), "text", [*DOC, "field"]))
     at = F.transform(F.col("terms"), lambda t, i: F.struct(t.alias("term"), i.alias("pos")))
     ordered = _field_tokens(docs).select(
         *DOC, "field", F.sort_array(at).alias("s"), F.size("terms").cast("long").alias("dl")
@@ -224,7 +228,8 @@ def term_buckets_of(terms: list[str], buckets: int = BUCKETS) -> list[int]:
     return sorted({int(hashlib.md5(t.encode("utf-8")).hexdigest()[:8], 16) % buckets for t in terms})
 
 
-_MANIFEST = "batch_id bigint, seq bigint, attempt string, buckets int"
+_LAID_OUT = {"postings": ["field", "term", "doc_id"], "terms": ["field", "term"]}
+_MANIFEST = "batch_id bigint, seq bigint, attempt string, buckets int, merged boolean"
 _TABLES = {
     "docs": "doc_id bigint, url string, title string, content string, batch_id bigint",
     "postings": "field string, term string, doc_id bigint, tf bigint, dl bigint, positions array<int>, "
@@ -253,43 +258,57 @@ def _by_bucket(rows: DataFrame, buckets: int, order: list[str], *spread: str) ->
     return bucketed.repartition(tasks, "bucket", salt).sortWithinPartitions("bucket", *order)
 
 
+class _Attempt:
+    """Folders that one attempt writes its tables to."""
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int) -> None:
+        self.spark, self.path, self.buckets, self.name = spark, path, buckets, f"a{uuid.uuid4().hex}"
+
+    def write(self, table: str, rows: DataFrame, *spread: str) -> DataFrame:
+        """Write a table and return it read back; tables by term are dealt out by bucket and ``spread``."""
+        if table in _LAID_OUT:
+            writer = _by_bucket(rows, self.buckets, _LAID_OUT[table], *spread).write.partitionBy("bucket")
+        else:
+            writer = rows.write
+        folder = f"{self.path}/{table}/attempt={self.name}"
+        writer.parquet(folder)
+        return self.spark.read.schema(_TABLES[table]).parquet(folder)
+
+    def publish(self, batches: list[int], before: list) -> None:
+        """Make this the attempt that readers open for ``batches``: one file, so for all of them or none."""
+        seq = max((r["seq"] for r in before), default=-1) + 1
+        rows = [(b, seq, self.name, self.buckets, len(batches) > 1) for b in batches]
+        manifest = self.spark.createDataFrame(rows, _MANIFEST).coalesce(1)
+        manifest.write.mode("append").parquet(f"{self.path}/manifest")
+
+
 def index_append(
     docs: DataFrame,
     path: str,
     batch_id: int,
     postings: DataFrame | None = None,
     buckets: int = BUCKETS,
+    analyser: Analyser | None = None,
 ) -> None:
     """Write the documents of one batch to the index at ``path`` and publish it.
 
     A repeated batch replaces its earlier attempt wholly; a batch may be empty. The documents are
-    computed once: postings start from those written. The postings are dealt out by bucket and
+    computed once: postings start from those written, by ``analyser`` where one is given. The postings are dealt out by bucket and
     a salt of the document, so a term that every document holds is spread over as many tasks as
     its bucket has salts. ``buckets`` is fixed by the first batch of an index.
     """
     spark = docs.sparkSession
     before = _published(spark, path)
-    buckets = before[0]["buckets"] if before else buckets
-    attempt = uuid.uuid4().hex
-    folder = f"{path}/data/{attempt}"
-
-    def written(name: str, df: DataFrame) -> DataFrame:
-        has_bucket = "bucket" in df.columns
-        writer = df.write.partitionBy("bucket") if has_bucket else df.write
-        writer.parquet(f"{folder}/{name}")
-        return spark.read.schema(_TABLES[name]).parquet(f"{folder}/{name}")
-
-    stored = written("docs", docs)
+    attempt = _Attempt(spark, path, before[0]["buckets"] if before else buckets)
+    stored = attempt.write("docs", docs)
     twice = stored.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL")
     if not twice.isEmpty():
         raise ValueError(f"batch {batch_id} holds two documents with one doc_id")
-    rows = build_postings(stored) if postings is None else postings
-    kept = written("postings", _by_bucket(rows, buckets, ["field", "term", "doc_id"], "doc_id"))
-    written("terms", _by_bucket(term_stats(kept, "batch_id"), buckets, ["field", "term"], "term"))
-    written("fields", corpus_stats(kept, "batch_id"))
-    seq = max((r["seq"] for r in before), default=-1) + 1
-    row = spark.createDataFrame([(batch_id, seq, attempt, buckets)], _MANIFEST)
-    row.coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+    rows = build_postings(stored, analyser) if postings is None else postings
+    kept = attempt.write("postings", rows, "doc_id")
+    attempt.write("terms", term_stats(kept, "batch_id"), "term")
+    attempt.write("fields", corpus_stats(kept, "batch_id"))
+    attempt.publish([batch_id], before)
 
 
 def index_increment(
@@ -298,6 +317,7 @@ def index_increment(
     flags: DataFrame | None,
     path: str,
     batch_id: int,
+    analyser: Analyser | None = None,
 ) -> DataFrame | None:
     """Index the flagged documents as one batch and return the flags that are left.
 
@@ -305,28 +325,60 @@ def index_increment(
     """
     taken = need_index_take(documents, flags)
     located = taken if urls is None else doc_url_lookup(taken, urls)
-    index_append(build_docs(located, batch_id), path, batch_id)
+    index_append(build_docs(located, batch_id), path, batch_id, analyser=analyser)
     return None if flags is None else need_index_rest(flags, located)
 
 
-def read_index(spark: SparkSession, path: str) -> Index:
-    """Open the published batches of the index at ``path``."""
+def _published_table(spark: SparkSession, path: str, name: str, published: list) -> DataFrame:
+    """One scan over a table's folders of the published attempts, without the batches that moved on."""
+    if not published:
+        return spark.createDataFrame([], _TABLES[name])
+    own: dict[str, list[int]] = {}
+    for r in published:
+        own.setdefault(r["attempt"], []).append(r["batch_id"])
+    rows = (
+        spark.read.schema(f"{_TABLES[name]}, attempt string")
+        .option("basePath", f"{path}/{name}")
+        .parquet(*[f"{path}/{name}/attempt={a}" for a in own])
+    )
+    # Only a merged attempt can hold batches that were written again since, or that the caller does not want.
+    merged = {r["attempt"] for r in published if r["merged"]}
+    if merged:
+        keep = ~F.col("attempt").isin(sorted(merged))
+        for a in sorted(merged):
+            keep = keep | ((F.col("attempt") == a) & F.col("batch_id").isin(own[a]))
+        rows = rows.filter(keep)
+    return rows.drop("attempt")
+
+
+def index_merge(spark: SparkSession, path: str, batches: list[int] | None = None) -> None:
+    """Write the published batches, or those named, as one attempt, so that readers open fewer and larger files.
+
+    Every row keeps its batch, so results stay the same and a merged batch may still be written again. Readers that
+    opened the index before keep the old folders, which are not deleted. Fewer than two attempts need no merge.
+    """
     published = _published(spark, path)
+    chosen = [r for r in published if batches is None or r["batch_id"] in batches]
+    if len({r["attempt"] for r in chosen}) < 2:
+        return
+    attempt = _Attempt(spark, path, chosen[0]["buckets"])
+    attempt.write("docs", _published_table(spark, path, "docs", chosen).hint("rebalance"))
+    attempt.write("postings", _published_table(spark, path, "postings", chosen).drop("bucket"), "doc_id")
+    attempt.write("terms", _published_table(spark, path, "terms", chosen).drop("bucket"), "term")
+    attempt.write("fields", _published_table(spark, path, "fields", chosen).coalesce(1))
+    attempt.publish([r["batch_id"] for r in chosen], published)
 
-    def table(name: str) -> DataFrame:
-        folders = [f"{path}/data/{r['attempt']}/{name}" for r in published]
-        if not folders:
-            return spark.createDataFrame([], _TABLES[name])
-        parts = [spark.read.schema(_TABLES[name]).parquet(f) for f in folders]
-        return reduce(DataFrame.unionByName, parts)
 
+def read_index(spark: SparkSession, path: str) -> Index:
+    """Open the published batches of the index at ``path``."""
+    published = _published(spark, path)
+    tables = {name: _published_table(spark, path, name, published) for name in _TABLES}
+    fields = tables["fields"].groupBy("field")
     return Index(
-        docs=table("docs"),
-        postings=table("postings"),
-        terms=table("terms"),
-        fields=table("fields")
-        .groupBy("field")
-        .agg(F.sum("n_docs").alias("n_docs"), F.sum("total_len").alias("total_len")),
+        docs=tables["docs"],
+        postings=tables["postings"],
+        terms=tables["terms"],
+        fields=fields.agg(F.sum("n_docs").alias("n_docs"), F.sum("total_len").alias("total_len")),
         buckets=published[0]["buckets"] if published else BUCKETS,
     )
 

@@ -14,6 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pagewell.config import CrawlConfig
 from pagewell.functions.urls import canonical_url, url_key
+from pagewell.operators.analysis import Analyser
 from pagewell.operators.index import build_docs, index_append
 from pagewell.operators.visits import revisit_interval
 from pagewell.session import stage
@@ -111,14 +112,14 @@ def run_revisit_table(visits: DataFrame, config: CrawlConfig, path: str, checkpo
     return store.rows()
 
 
-def run_index_increment(documents: DataFrame, path: str, checkpoint: str) -> None:
+def run_index_increment(documents: DataFrame, path: str, checkpoint: str, analyser: Analyser | None = None) -> None:
     """Append the documents of a stream ``doc_id, url, text`` to the index, a batch per trigger.
 
     A repeated micro-batch replaces its own folders, so it leaves one copy.
     """
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        index_append(build_docs(batch, batch_id), path, batch_id)
+        index_append(build_docs(batch, batch_id), path, batch_id, analyser=analyser)
 
     query = (
         documents.writeStream.option("checkpointLocation", checkpoint)

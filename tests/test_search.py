@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -485,3 +486,96 @@ def test_ranges_meet_documents_by_nodes_and_never_by_terms(spark, opened):
     joins = [line for line in plan.splitlines() if "Join" in line]
     assert joins and not any(" < " in j or " > " in j or "<=" in j or ">=" in j for j in joins)
     assert any("node" in j for j in joins)
+
+
+def han_corpus(spark):
+    docs = spark.createDataFrame(
+        [(1, "北京大学 opened\r\n中华人民共和国成立", "u1"), (2, "大学生在北京", "u2"), (3, "İzmir 上海 school Car", "u3")],
+        "doc_id long, text string, url string",
+    )
+    words = ["北京", "北京大学", "大学", "大学生", "上海", "中华人民共和国", "成立", "学生"]
+    return docs, analysis.Analyser(
+        spark.createDataFrame([(w,) for w in words], "word string"),
+        spark.createDataFrame([("上海", "沪"), ("car", "auto")], "term string, syn string"),
+        spark.createDataFrame([("沪", "hu")], "term string, reading string"),
+    )
+
+
+def test_snippets_of_an_analysed_index_mark_the_words_that_were_searched(spark, tmp_path):
+    docs, analyser = han_corpus(spark)
+    path = str(tmp_path / "i")
+    assert index.index_increment(docs, None, None, path, 0, analyser) is None
+    opened = index.read_index(spark, path)
+    asked = ["中华人民共和国", "北京", "hu", "auto", "共和国"]
+    table = analyser.tokens(spark.createDataFrame(list(enumerate(asked)), "query_id int, text string"), "text", ["query_id"])
+    config = SearchConfig(open_tag="<", close_tag=">")
+    ranked = search.search(opened, search.clauses_of_tokens(table), config)
+    rows = snippets.search_snippets(ranked, opened, config, analyser).collect()
+    assert {(r.query_id, r.doc_id, r.snippet) for r in rows} == {
+        (0, 1, "北京大学 opened <中华人民共和国>成立"),
+        (1, 2, "大学生在<北京>"),
+        (2, 3, "İzmir <上海> school Car"),
+        (3, 3, "İzmir 上海 school <Car>"),
+    }
+
+
+def test_a_fragment_may_end_between_words_of_one_run(spark):
+    docs, analyser = han_corpus(spark)
+    hits = spark.createDataFrame([(1, 1, "大学生在北京上海" * 3)], "query_id int, rank int, text string")
+    terms = spark.createDataFrame([(1, "上海", 1.0)], "query_id int, term string, weight double")
+    row = snippets.best_fragment(hits, terms, 10, analyser=analyser).first()
+    # Words end at 3, 4, 6, 8 | 11, 12, 14, 16 | ...; the first to reach 10 opens the second fragment.
+    assert (row.frag_start, row.frag_end, [tuple(m) for m in row.marks]) == (0, 8, [(6, 2)])
+
+
+def test_segmentation_equals_a_walk_over_random_dictionaries(spark):
+    rng = random.Random(11)
+    words = {"".join(rng.choices("天地人", k=rng.choice([1, 2, 3, 4, 5, 7, 9]))) for _ in range(60)}
+    texts = ["".join(rng.choices("天地人大a ", weights=[9, 9, 9, 1, 1, 1], k=rng.randint(0, 60))) for _ in range(80)] + [None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def walk(run):
+        at = 0
+        while at < len(run):
+            n = max((len(w) for w in words if run.startswith(w, at)), default=1)
+            yield run[at : at + n]
+            at += n
+
+    for known in (words, set()):
+        rows = analysis.segment_dict(docs, "text", ["doc_id"], spark.createDataFrame([(w,) for w in known], "word string"))
+        got = {}
+        for r in rows.orderBy("doc_id", "run_pos", "i").collect():
+            got.setdefault(r.doc_id, []).append(r.term)
+        for i, text in enumerate(texts):
+            parts = re.findall("[天地人大]+|a+", text or "")
+            assert got.get(i, []) == [w for p in parts for w in ([p] if p[0] == "a" else walk(p) if known else p)]
+
+
+def test_merged_batches_answer_alike_from_one_scan_and_can_be_written_again(spark, tmp_path):
+    path = str(tmp_path / "i")
+    for b in range(12):
+        rows = [(d, f"u{d}", f"alpha w{b} d{d}") for d in range(b, b + 3)] if b != 5 else []
+        docs = spark.createDataFrame(rows, "doc_id long, url string, text string").coalesce(1)
+        index.index_append(index.build_docs(docs, b), path, b)
+
+    def answers(latest):
+        asked = spark.createDataFrame([(1, "alpha"), (2, "w3 d4"), (3, "w11")], "query_id int, text string")
+        hits = search.search(index.read_index(spark, path), search.clauses_of_text(asked), SearchConfig(top_k=50), latest_only=latest).hits
+        return sorted(map(tuple, hits.collect()))
+
+    before = [answers(False), answers(True)]
+    opened = index.read_index(spark, path)
+    for table in (opened.docs, opened.postings, opened.terms, opened.fields):
+        plan = table._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan parquet") == 1 and "Union" not in plan
+    index.index_merge(spark, path, list(range(4)))
+    index.index_merge(spark, path)
+    index.index_merge(spark, path)
+    assert [answers(False), answers(True)] == before
+    assert len({r["attempt"] for r in index._published(spark, path)}) == 1
+    again = spark.createDataFrame([(90, "u90", "alpha beta")], "doc_id long, url string, text string")
+    index.index_append(index.build_docs(again, 3), path, 3)
+    opened = index.read_index(spark, path)
+    assert [r.doc_id for r in opened.docs.filter("batch_id = 3").collect()] == [90]
+    assert opened.docs.count() == 3 * 10 + 1
+    assert {r.term for r in opened.terms.filter("batch_id = 3").collect()} == {"alpha", "beta"}
