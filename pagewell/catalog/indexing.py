@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewell.catalog import inputs as I
@@ -28,16 +28,21 @@ def _tokenize(spark: SparkSession, folder: str) -> DataFrame:
 # that every text becomes runs that need a dictionary.
 _LATIN = "abcdefghijklmnopqrstuvwxyz"
 _HAN = "".join(chr(0x4E00 + 37 * i) for i in range(26))
+SQL_HAN_RUN = r"\p{Han}+|[\p{Latin}\p{N}_]+"
+
+
+def in_han(text: str) -> Column:
+    return F.translate(F.lower(text), _LATIN, _HAN)
 
 
 def han_documents(spark: SparkSession, folder: str) -> DataFrame:
     docs = I.documents(spark, folder)
-    return docs.select("doc_id", F.translate(F.lower("text"), _LATIN, _HAN).alias("text"))
+    return docs.select("doc_id", in_han("text").alias("text"))
 
 
 def han_dictionary(spark: SparkSession, folder: str) -> DataFrame:
     """All words of the benchmark texts."""
-    han = F.translate(F.lower("text"), _LATIN, _HAN)
+    han = in_han("text")
     words = read_table(spark, folder, "benchmark").select(
         F.explode(F.regexp_extract_all(han, F.lit(r"\p{IsHan}+"), F.lit(0))).alias("word")
     )
@@ -195,36 +200,49 @@ def _build_postings_expanded(spark: SparkSession, folder: str) -> DataFrame:
     return index.postings_of_tokens(expanded).select("field", "term", "doc_id", "tf", "dl")
 
 
-@query(
-    "index_segmented",
-    rf"""WITH RECURSIVE han AS (
-      SELECT doc_id, translate(lower(text), '{_LATIN}', '{_HAN}') AS text FROM documents),
+# Documents, fields and queries in Han letters, cut into the words of the dictionary.
+SQL_SEGMENTED = rf"""{I.SQL_DOCUMENTS},
+    docs AS (
+      SELECT doc_id, url, t AS content, regexp_replace(split_part(t, chr(10), 1), '\r\z', '') AS title FROM (
+        SELECT doc_id, url, translate(lower(text), '{_LATIN}', '{_HAN}') AS t FROM documents_in)
+      WHERE t = '' OR regexp_matches(t, '[^\r\n]|\r([^\n]|\z)')),
+    user_queries AS (
+      SELECT CAST(item_id AS INTEGER) AS query_id, translate(lower(text), '{_LATIN}', '{_HAN}') AS text FROM benchmark),
     fields AS (
-      SELECT doc_id, 'content' AS field, text AS t FROM han
-      UNION ALL SELECT doc_id, 'title', regexp_replace(split_part(text, chr(10), 1), '\r\z', '') FROM han),
+      SELECT doc_id, 'content' AS field, content AS t FROM docs
+      UNION ALL SELECT doc_id, 'title', title FROM docs
+      UNION ALL SELECT query_id, 'query', text FROM user_queries),
     located AS (
-      SELECT doc_id, field, unnest(regexp_extract_all(t, '\p{{Han}}+|[\p{{Latin}}\p{{N}}_]+')) AS run FROM fields
-      WHERE doc_id IN (SELECT doc_id FROM han WHERE text = '' OR regexp_matches(text, '[^\r\n]|\r([^\n]|\z)'))),
+      SELECT doc_id, field, unnest(regexp_extract_all(t, '{SQL_HAN_RUN}')) AS run FROM fields),
     {_SQL_DICTIONARY},
     {_SQL_CUT},
     terms AS (
       SELECT o.doc_id, o.field, coalesce(substr(c.run, c.p, c.n), o.run) AS term
       FROM located o LEFT JOIN cut c ON c.run = o.run),
-    sizes AS (SELECT doc_id, field, count(*) AS dl FROM terms GROUP BY doc_id, field)
-    SELECT t.field, t.term, t.doc_id, count(*) AS tf, any_value(s.dl) AS dl
-    FROM terms t JOIN sizes s ON s.doc_id = t.doc_id AND s.field = t.field GROUP BY t.field, t.term, t.doc_id""",
-)
+    sizes AS (SELECT doc_id, field, count(*) AS dl FROM terms WHERE field <> 'query' GROUP BY doc_id, field),
+    postings AS (
+      SELECT t.field, t.term, t.doc_id, count(*) AS tf, any_value(s.dl) AS dl
+      FROM terms t JOIN sizes s ON s.doc_id = t.doc_id AND s.field = t.field GROUP BY t.field, t.term, t.doc_id)
+"""
+
+
+def han_analyser(spark: SparkSession, folder: str) -> analysis.Analyser:
+    return analysis.Analyser(dictionary=han_dictionary(spark, folder))
+
+
+def segmented_index(spark: SparkSession, folder: str) -> index.Index:
+    """Index of all documents in Han letters, analysed with the dictionary."""
+    urls = I.documents(spark, folder).select("doc_id", "url")
+    path = scratch_path(spark, "segmented")
+    han = han_documents(spark, folder).join(urls, "doc_id")
+    index.index_increment(han, None, None, path, 0, han_analyser(spark, folder))
+    return index.read_index(spark, path)
+
+
+@query("index_segmented", f"WITH RECURSIVE {SQL_SEGMENTED} SELECT field, term, doc_id, tf, dl FROM postings")
 def _index_segmented(spark: SparkSession, folder: str) -> DataFrame:
     """Index of documents that are analysed with a dictionary."""
-    docs = I.documents(spark, folder)
-    han = han_documents(spark, folder).join(docs.select("doc_id", "url"), "doc_id")
-    built = index.build_docs(han)
-    words = analysis.analyse(
-        index.field_texts(built), "text", [*index.DOC, "field"], han_dictionary(spark, folder)
-    )
-    path = scratch_path(spark, "segmented")
-    index.index_append(built, path, 0, index.postings_of_tokens(words))
-    return index.read_index(spark, path).postings.select("field", "term", "doc_id", "tf", "dl")
+    return segmented_index(spark, folder).postings.select("field", "term", "doc_id", "tf", "dl")
 
 
 @query("doc_lengths", f"WITH {I.SQL_INDEX} SELECT field, doc_id, dl FROM lengths")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewell.catalog import inputs as I
-from pagewell.catalog.indexing import SQL_BATCHES, two_batches
+from pagewell.catalog.indexing import SQL_BATCHES, SQL_HAN_RUN, SQL_SEGMENTED, han_analyser, in_han, segmented_index, two_batches
 from pagewell.catalog.registry import query
 from pagewell.config import SearchConfig
 from pagewell.functions.text import flatten_newlines
@@ -422,17 +422,21 @@ def _search_latest(spark: SparkSession, folder: str) -> DataFrame:
 
 # --- snippets -----------------------------------------------------------------------------------
 
-_SQL_FRAGMENTS = r"""
+_SQL_TEXTS = """
     texts AS (
       SELECT h.query_id, h.rank, h.doc_id, replace(d.content, chr(13) || chr(10), ' ') AS text
       FROM hits h JOIN docs d ON d.doc_id = h.doc_id),
+"""
+_SQL_PIECES = r"""
     cut AS (
       SELECT query_id, rank, regexp_split_to_array(text, '[\p{L}\p{N}_]+') AS g,
              regexp_extract_all(text, '[\p{L}\p{N}_]+') AS t FROM texts),
-    runs AS (
+    pieces AS (
       SELECT query_id, rank, unnest(t) AS run, unnest(g[1:len(t)]) AS gap, generate_subscripts(t, 1) - 1 AS pos FROM cut),
+"""
+_SQL_CHOSEN = """
     placed AS (
-      SELECT *, sum(length(gap) + length(run)) OVER (PARTITION BY query_id, rank ORDER BY pos) AS e FROM runs),
+      SELECT *, sum(length(gap) + length(run)) OVER (PARTITION BY query_id, rank ORDER BY pos) AS e FROM pieces),
     fragged AS (
       SELECT *, pos + min(CASE WHEN pos = 0 THEN 0 ELSE e // 128 - pos END)
                OVER (PARTITION BY query_id, rank ORDER BY pos) AS frag FROM placed),
@@ -454,6 +458,7 @@ _SQL_FRAGMENTS = r"""
              CAST(b.frag_score AS DOUBLE) AS frag_score
       FROM best b JOIN extent x ON x.query_id = b.query_id AND x.rank = b.rank AND x.frag = b.frag)
 """
+_SQL_FRAGMENTS = _SQL_TEXTS + _SQL_PIECES + _SQL_CHOSEN
 _SQL_HITS = f"WITH {SQL_RANK}, {sql_terms(_BARE)}, " + sql_rank().rsplit("SELECT", 1)[0].rstrip() + ", "
 
 
@@ -472,12 +477,12 @@ def _best_fragment(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "search_snippets",
     rf"""{_SQL_HITS} {_SQL_FRAGMENTS},
-    pieces AS (
+    snips AS (
       SELECT c.query_id, c.rank, substr(t.text, c.frag_start + 1, coalesce(c.frag_end, length(t.text)) - c.frag_start) AS s
       FROM chosen c JOIN texts t ON t.query_id = c.query_id AND t.rank = c.rank),
     split AS (
       SELECT query_id, rank, regexp_split_to_array(s, '[\p{{L}}\p{{N}}_]+') AS g,
-             list_append(regexp_extract_all(s, '[\p{{L}}\p{{N}}_]+'), '') AS t FROM pieces),
+             list_append(regexp_extract_all(s, '[\p{{L}}\p{{N}}_]+'), '') AS t FROM snips),
     parts AS (
       SELECT query_id, rank, unnest(g) AS g, unnest(t) AS t, generate_subscripts(g, 1) AS i FROM split),
     marked AS (
@@ -491,3 +496,46 @@ def _best_fragment(spark: SparkSession, folder: str) -> DataFrame:
 )
 def _search_snippets(spark: SparkSession, folder: str) -> DataFrame:
     return search_snippets(bare(spark, folder), I.documents_index(spark, folder))
+
+
+_SEGMENTED = """SELECT CAST(doc_id AS INTEGER) AS query_id, row_number() OVER () AS clause_id, 'should' AS occur, 'content' AS field, term,
+      1.0 AS weight FROM terms WHERE field = 'query'"""
+
+
+@query(
+    "search_segmented",
+    rf"""WITH RECURSIVE {SQL_SEGMENTED},
+    term_stats AS (SELECT field, term, count(*) AS df FROM postings GROUP BY field, term),
+    field_stats AS (SELECT field, count(*) AS n_docs, CAST(sum(dl) AS BIGINT) AS total_len FROM sizes GROUP BY field),
+    {sql_terms(_SEGMENTED)}, {sql_rank().rsplit("SELECT", 1)[0].rstrip()},
+    {_SQL_TEXTS}
+    split AS (
+      SELECT query_id, rank, regexp_split_to_array(text, '{SQL_HAN_RUN}') AS g,
+             regexp_extract_all(text, '{SQL_HAN_RUN}') AS t FROM texts),
+    text_runs AS (
+      SELECT query_id, rank, unnest(t) AS run, unnest(g[1:len(t)]) AS gap, generate_subscripts(t, 1) AS at FROM split),
+    pieces AS (
+      SELECT r.query_id, r.rank, coalesce(substr(c.run, c.p, c.n), r.run) AS run,
+             CASE WHEN coalesce(c.i, 0) = 0 THEN r.gap ELSE '' END AS gap,
+             row_number() OVER (PARTITION BY r.query_id, r.rank ORDER BY r.at, c.i) - 1 AS pos
+      FROM text_runs r LEFT JOIN cut c ON c.run = r.run),
+    {_SQL_CHOSEN},
+    marked AS (
+      SELECT b.query_id, b.rank, max(f.e) AS e, string_agg(f.gap || CASE WHEN q.term IS NOT NULL
+        THEN '<font color=''red''>' || f.run || '</font>' ELSE f.run END, '' ORDER BY f.pos) AS s
+      FROM best b JOIN fragged f ON f.query_id = b.query_id AND f.rank = b.rank AND f.frag = b.frag
+      LEFT JOIN query_terms q ON q.query_id = f.query_id AND q.term = f.run GROUP BY b.query_id, b.rank)
+    SELECT h.query_id, h.rank, h.score, h.doc_id, d.url, d.title,
+           m.s || CASE WHEN c.frag_end IS NULL THEN substr(t.text, CAST(m.e AS BIGINT) + 1) ELSE '' END AS snippet
+    FROM hits h JOIN docs d ON d.doc_id = h.doc_id
+    JOIN texts t ON t.query_id = h.query_id AND t.rank = h.rank
+    LEFT JOIN marked m ON m.query_id = h.query_id AND m.rank = h.rank
+    LEFT JOIN chosen c ON c.query_id = h.query_id AND c.rank = h.rank""",
+)
+def _search_segmented(spark: SparkSession, folder: str) -> DataFrame:
+    """Hits and snippets of an index that is searched by dictionary words."""
+    analyser = han_analyser(spark, folder)
+    asked = I.user_queries(spark, folder).select("query_id", in_han("text").alias("text"))
+    index = segmented_index(spark, folder)
+    found = S.search(index, S.clauses_of_tokens(analyser.tokens(asked, "text", ["query_id"])))
+    return search_snippets(found, index, analyser=analyser)
