@@ -579,3 +579,29 @@ def test_merged_batches_answer_alike_from_one_scan_and_can_be_written_again(spar
     assert [r.doc_id for r in opened.docs.filter("batch_id = 3").collect()] == [90]
     assert opened.docs.count() == 3 * 10 + 1
     assert {r.term for r in opened.terms.filter("batch_id = 3").collect()} == {"alpha", "beta"}
+
+
+def test_equal_phrases_are_scored_once_for_all_their_clauses(spark):
+    texts = ["alpha beta alpha beta", "beta alpha", "alpha alpha gamma", "gamma beta alpha", "beta"]
+    docs = spark.createDataFrame([(i, f"u{i}", t) for i, t in enumerate(texts)], "doc_id long, url string, text string")
+    opened = index.index_of_docs(index.build_docs(docs))
+    rows = [
+        (1, 0, "should", ["alpha", "beta"], 1.0),
+        (2, 0, "should", ["alpha", "beta"], 3.0),
+        (3, 0, "must", ["beta", "alpha"], 1.0),
+        (3, 1, "must_not", ["gamma", "beta"], 1.0),
+        (4, 0, "should", ["alpha", "alpha"], 1.0),
+        (5, 0, "should", ["gamma"], 1.0),
+        (6, 0, "should", ["alpha", "unknown"], 1.0),
+        (7, 0, "should", ["gamma", "beta", "alpha"], 1.0),
+        (7, 1, "should", ["alpha", "beta"], 1.0),
+    ]
+    asked = spark.createDataFrame(rows, "query_id int, clause_id int, occur string, terms array<string>, boost double")
+    found = search.search(opened, search.complete_clauses(asked.withColumn("kind", F.lit("phrase")))).hits.collect()
+    got = {(r.query_id, r.doc_id): r.score for r in found}
+    assert set(got) == {(1, 0), (2, 0), (3, 0), (3, 1), (4, 2), (5, 2), (5, 3), (7, 3), (7, 0)}
+    assert got[2, 0] == pytest.approx(3 * got[1, 0], abs=3e-6) and got[7, 0] == got[1, 0]
+    phrases, clauses = search._distinct_phrases(
+        search.leaves_of(opened, search.prepare(search.complete_clauses(asked.withColumn("kind", F.lit("phrase")))), SearchConfig()).table
+    )
+    assert phrases.count() == 6 and clauses.count() == 8
