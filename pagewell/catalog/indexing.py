@@ -232,9 +232,8 @@ def han_analyser(spark: SparkSession, folder: str) -> analysis.Analyser:
 
 def segmented_index(spark: SparkSession, folder: str) -> index.Index:
     """Index of all documents in Han letters, analysed with the dictionary."""
-    urls = I.documents(spark, folder).select("doc_id", "url")
     path = scratch_path(spark, "segmented")
-    han = han_documents(spark, folder).join(urls, "doc_id")
+    han = I.documents(spark, folder).withColumn("text", in_han("text"))
     index.index_increment(han, None, None, path, 0, han_analyser(spark, folder))
     return index.read_index(spark, path)
 
