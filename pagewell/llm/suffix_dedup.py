@@ -13,19 +13,22 @@ from pyspark.sql import functions as F
 
 from pagewell.llm.batches import batched
 from pagewell.llm.located import place, stored
-from pagewell.llm.rolling import BASES, sliding_minima, uncovered, window_hashes
+from pagewell.llm.rolling import sliding_minima, uncovered, window_hashes
 from pagewell.llm.suffix import repeated_starts
 from pagewell.session import stage
 
 # Bytes of the hashes that a string's anchor is chosen from; bytes of segments per shard.
 _PART = 100
 SHARD_BYTES = 4 << 20
-# Bytes of one anchor's distinct segments that a shard may hold; a more common anchor is counted string by string.
-ANCHOR_BYTES = 2 * SHARD_BYTES
+# Bytes of one anchor's distinct segments that are sorted together; those of a more common one are cut finer.
+ANCHOR_BYTES = SHARD_BYTES // 8
+# Starts, counted from the anchor, that a finer segment keeps together; what is too common still is cut into strings.
+_FINER = (32, 1)
 _EMPTY = hashlib.sha256(b"").hexdigest()
 _BYTE_VALUES = np.array([xxhash.xxh64_intdigest(bytes([b])) for b in range(256)], dtype=np.uint64)
 _RUN = pa.struct([("begin", pa.int64()), ("end", pa.int64())])
 _RUNS = "array<struct<begin: long, end: long>>"
+_SEGMENT = "row long, anchor long, begin long, n long, content binary, single boolean"
 
 
 def anchor_segments(data: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -104,33 +107,44 @@ def _segment_bytes(width: int):
     return lambda batches: batched(rows(batches), schema, 1024)
 
 
-def _segment_windows(width: int):
-    """``(text, wanted)`` to two hashes of every string of ``width`` bytes of the wanted segments."""
-    schema = pa.schema([("segment", pa.int64()), ("a", pa.list_(pa.int64())), ("b", pa.list_(pa.int64()))])
+def _finer_segments(width: int, together: int):
+    """``(row, text, wanted)`` to finer segments, whose key stands in the place of the anchor.
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for batch in batches:
-            for text, wanted in zip(batch.column(0), batch.column(1).to_pylist()):
-                data = text.as_py()
-                for w in wanted:
-                    part = data[w["begin"] : w["begin"] + w["n"] + width - 1]
-                    values = _BYTE_VALUES[np.frombuffer(part, dtype=np.uint8)]
-                    a, b = (window_hashes(values, width, base).view(np.int64) for base in BASES)
-                    yield w["segment"], a, b
-
-    return lambda batches: batched(rows(batches), schema, 256)
-
-
-def _joined_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(segment, starts)`` to runs of starts."""
-    schema = pa.schema([("segment", pa.int64()), ("runs", pa.list_(_RUN))])
+    Equal strings hold the anchor's part first at the same place. Starts whose strings do so at the same spot of the text,
+    in one block of ``together`` places, share the bytes that all strings of the block have; these belong to the key. No two
+    strings of such a segment are equal. Single strings (``together`` 1) are keys as they are.
+    """
+    schema = pa.schema(
+        [("row", pa.int64()), ("anchor", pa.int64()), ("begin", pa.int64()), ("n", pa.int64()), ("content", pa.binary()), ("single", pa.bool_())]
+    )
+    part = min(_PART, width)
 
-    def rows() -> Iterator[tuple]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            for at, segment in enumerate(batch.column(0).to_pylist()):
-                yield segment, _runs(np.sort(np.asarray(batch.column(1)[at].values)))
+            for at, row in enumerate(batch.column(0).to_pylist()):
+                data = batch.column(1)[at].as_py()
+                for w in batch.column(2)[at].as_py():
+                    begin, n = w["begin"], w["n"]
+                    if together == 1:
+                        for i in range(begin, begin + n):
+                            content = xxhash.xxh3_128_digest(data[i : i + width])
+                            yield row, int.from_bytes(content[:8], "little", signed=True), i, 1, content, True
+                        continue
+                    own = data[begin : begin + n + width - 1]
+                    parts = window_hashes(_BYTE_VALUES[np.frombuffer(own, dtype=np.uint8)], part)
+                    spots = np.flatnonzero(parts.view(np.int64) == w["anchor"])
+                    starts = np.arange(n)
+                    spot = spots[np.searchsorted(spots, starts)]
+                    block = (spot - starts) // together
+                    new = np.flatnonzero(np.r_[True, (spot[1:] != spot[:-1]) | (block[1:] != block[:-1])])
+                    for i, j in zip(new.tolist(), [*new[1:].tolist(), n]):
+                        first = int(spot[i] - block[i] * together)
+                        shared = own[first : first - together + 1 + width]
+                        key = xxhash.xxh3_64_intdigest(shared, seed=w["anchor"] & (1 << 64) - 1) + int(block[i])
+                        content = xxhash.xxh3_128_digest(own[i : j + width - 1])
+                        yield row, (key + (1 << 63)) % (1 << 64) - (1 << 63), begin + i, j - i, content, True
 
-    return batched(rows(), schema, 1024)
+    return lambda batches: batched(rows(batches), schema, 4096)
 
 
 def _shard(width: int):
@@ -189,9 +203,10 @@ def repeated_bytes(docs: DataFrame, width: int = 400, id_col: str = "doc_id", te
 
     A string whose anchor occurs once cannot repeat, so only *segments* around shared anchors go
     further, each distinct one once. All segments of an anchor meet in one shard, whose suffixes
-    are sorted by induction (:mod:`pagewell.llm.suffix`); equal strings are neighbours there. The segments
-    of an anchor with more than ``ANCHOR_BYTES`` of them never meet in one task: their strings are
-    counted by two hashes each. A text that occurs twice is removed whole and stands once for its copies.
+    are sorted by recursive induction (:mod:`pagewell.llm.suffix`); equal strings are neighbours there. The segments
+    of an anchor with more than ``ANCHOR_BYTES`` of them are cut by their place around the anchor and the bytes
+    that their strings share there, at last into single strings, and meet in as many groups. A text that occurs
+    twice is removed whole and stands once for its copies.
     """
     spark = docs.sparkSession
     docs, _ = stored(docs)
@@ -218,31 +233,31 @@ def repeated_bytes(docs: DataFrame, width: int = 400, id_col: str = "doc_id", te
         return rows.join(places, "row").join(texts.select("at", "text"), "at")
 
     segments = stage(
-        with_text(wanted).select("row", "text", "shared").mapInArrow(
-            _segments(width), "row long, anchor long, begin long, n long, content binary, single boolean"
-        ),
+        with_text(wanted).select("row", "text", "shared").mapInArrow(_segments(width), _SEGMENT),
         "segments",
     )
-    distinct = stage(
-        segments.groupBy("anchor", "content")
-        .agg(F.min(F.struct("row", "begin")).alias("f"), F.first("n").alias("n"), F.count(F.lit(1)).alias("c"), F.min("single").alias("single"))
-        .withColumn("segment", F.monotonically_increasing_id()),
-        "distinct_segments",
-    )
-    # A lone segment that cannot repeat itself needs no suffix array, nor does a whole one that came twice alone.
-    groups = stage(
-        distinct.groupBy("anchor")
-        .agg(
-            F.count(F.lit(1)).alias("k"),
-            F.sum(F.col("n") + width - 1).alias("size"),
-            F.min("single").alias("all_single"),
+    def merged(found: DataFrame) -> DataFrame:
+        return stage(
+            found.groupBy("anchor", "content")
+            .agg(F.min(F.struct("row", "begin")).alias("f"), F.first("n").alias("n"), F.count(F.lit(1)).alias("c"), F.min("single").alias("single"))
+            .withColumn("segment", F.monotonically_increasing_id()),
+            "distinct_segments",
         )
-        .where("k > 1 OR NOT all_single")
-        .select("anchor", (F.col("size") > ANCHOR_BYTES).alias("common")),
-        "anchor_groups",
-    )
-    to_sort = groups.where("NOT common").select("anchor")
-    to_count = groups.where("common").select("anchor")
+
+    distinct = merged(segments)
+    for together in _FINER:
+        sizes = distinct.groupBy("anchor").agg(F.sum(F.col("n") + width - 1).alias("size"))
+        common = stage(sizes.where(F.col("size") > ANCHOR_BYTES).select("anchor"), "common_anchors")
+        if common.isEmpty():
+            break
+        wanted = F.collect_list(F.struct("begin", "n", "anchor")).alias("wanted")
+        cut_finer = with_text(segments.join(common, "anchor", "left_semi").groupBy("row").agg(wanted)).select("row", "text", "wanted")
+        finer = cut_finer.mapInArrow(_finer_segments(width, together), _SEGMENT)
+        segments = stage(segments.join(common, "anchor", "left_anti").unionByName(finer), "segments")
+        distinct = merged(segments)
+    # A lone segment that cannot repeat itself needs no suffix array, nor does a whole one that came twice alone.
+    groups = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("k"), F.min("single").alias("all_single"))
+    to_sort = stage(groups.where("k > 1 OR NOT all_single").select("anchor"), "anchor_groups")
     sorted_ones = distinct.join(to_sort, "anchor", "left_semi")
     size = sorted_ones.agg(F.sum(F.col("n") + width - 1)).first()[0] or 0
     shards = max(1, -(-size // SHARD_BYTES))
@@ -259,16 +274,6 @@ def repeated_bytes(docs: DataFrame, width: int = 400, id_col: str = "doc_id", te
         .mapInArrow(_shard(width), f"segment long, runs {_RUNS}"),
         "repeated_runs",
     )
-    if not to_count.isEmpty():
-        windows = stage(
-            by_text(distinct.join(to_count, "anchor", "left_semi"))
-            .select("text", "wanted")
-            .mapInArrow(_segment_windows(width), "segment long, a array<long>, b array<long>"),
-            "common_windows",
-        ).select("segment", F.posexplode(F.arrays_zip("a", "b")).alias("pos", "w")).select("segment", F.col("pos").cast("long").alias("pos"), "w.*")
-        repeated = stage(windows.groupBy("a", "b").count().where("count > 1").select("a", "b"), "common_repeats")
-        starts = windows.join(repeated, ["a", "b"]).groupBy("segment").agg(F.collect_list("pos").alias("starts"))
-        found = found.unionByName(starts.mapInArrow(_joined_runs, f"segment long, runs {_RUNS}"))
     whole = F.array(F.struct(F.lit(0).cast("long").alias("begin"), F.col("n").alias("end")))
     runs = stage(
         distinct.join(found, "segment", "left")

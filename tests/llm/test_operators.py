@@ -314,30 +314,50 @@ def test_repeated_bytes(messy, width):
     assert got == want_bytes(pairs(messy_rows()), width)
 
 
-def test_common_anchors_are_counted(messy, monkeypatch):
-    monkeypatch.setattr("pagewell.llm.suffix_dedup.ANCHOR_BYTES", 1)
-    rows = repeated_bytes(messy, 60).collect()
+@pytest.mark.parametrize("limit", [1, 1000])
+@pytest.mark.parametrize("width", [60, 400])
+def test_common_anchors_are_cut_finer(messy, monkeypatch, width, limit):
+    monkeypatch.setattr("pagewell.llm.suffix_dedup.ANCHOR_BYTES", limit)
+    rows = repeated_bytes(messy, width).collect()
     got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), r["kept_sha256"]) for r in rows)
-    assert got == want_bytes(pairs(messy_rows()), 60)
+    assert got == want_bytes(pairs(messy_rows()), width)
+
+
+def test_a_common_line_in_many_contexts(spark, monkeypatch):
+    monkeypatch.setattr("pagewell.llm.suffix_dedup.ANCHOR_BYTES", 2000)
+    rng = random.Random(3)
+    line = "".join(rng.choice("abcd ") for _ in range(70))
+    rows = [(k, "".join(rng.choice("xy") for _ in range(k % 9)) + line + "".join(rng.choice("xy") for _ in range(k % 7))) for k in range(120)]
+    rows += [(500, line * 3), (501, "ab" * 90), (502, "a" * 200)]
+    got = repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string"), 60).collect()
+    got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), r["kept_sha256"]) for r in got)
+    assert got == want_bytes(rows, 60)
 
 
 def test_repeated_bytes_of_nothing(none):
     assert repeated_bytes(none).count() == 0
 
 
+@pytest.mark.parametrize("symbols", [3, 4096])
+@pytest.mark.parametrize("memory", [0, 15, 1 << 20])
 @pytest.mark.parametrize("limit", [0, 50, 1 << 20])
-def test_induced_order(limit):
-    rng = random.Random(limit)
-    for _ in range(60):
+def test_induced_order_and_prefixes(monkeypatch, limit, memory, symbols):
+    monkeypatch.setattr("pagewell.llm.suffix._SYMBOLS", symbols)
+    rng = random.Random(limit + memory)
+    for _ in range(40):
         k = rng.choice([1, 2, 3, 26])
-        text = np.array([rng.randrange(1, k + 1) for _ in range(rng.randint(1, 150))] + [0], dtype=np.uint16)
-        got = np.concatenate(list(suffix_blocks(text, k + 1, 10**6, limit)))
-        assert got.tolist() == sorted(range(len(text)), key=lambda i: text[i:].tolist())
+        text = [rng.randrange(1, k + 1) for _ in range(rng.randint(0, 90))] * rng.choice([1, 1, 4]) + [0]
+        blocks = list(suffix_blocks(np.array(text, dtype=np.uint16), k + 1, 10**6, limit, memory))
+        order = sorted(range(len(text)), key=lambda i: text[i:])
+        assert np.concatenate([at for at, _ in blocks]).tolist() == order
+        common = [next(c for c, (x, y) in enumerate(zip(text[i:], text[j:])) if x != y) for i, j in zip(order, order[1:])]
+        assert np.concatenate([lcp for _, lcp in blocks]).tolist() == [0, *common]
     for _ in range(40):
-        width = rng.choice([3, 8, 9, 16])
+        width = rng.choice([1, 3, 8, 9, 16])
         segments = [bytes(rng.choice(b"ab\0") for _ in range(rng.randint(0, 60))) for _ in range(rng.randint(1, 8))]
+        segments += segments[: rng.randint(0, 2)]
         seen = Counter(s[i : i + width] for s in segments for i in range(len(s) - width + 1))
-        for s, starts in zip(segments, repeated_starts(segments, width, limit)):
+        for s, starts in zip(segments, repeated_starts(segments, width, limit, memory)):
             assert starts.tolist() == [i for i in range(len(s) - width + 1) if seen[s[i : i + width]] > 1]
 
 
