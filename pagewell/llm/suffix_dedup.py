@@ -20,14 +20,15 @@ from pagewell.session import stage
 # Bytes of the hashes that a string's anchor is chosen from; bytes of segments per shard.
 _PART = 100
 SHARD_BYTES = 4 << 20
-# Bytes of one anchor's distinct segments that are sorted together; those of a more common one are cut finer.
+# Bytes of one anchor's distinct segments that are sorted together; those of a more common one are cut into pieces.
 ANCHOR_BYTES = SHARD_BYTES // 8
-# Starts, counted from the anchor, that a finer segment keeps together; what is too common still is cut into strings.
-_FINER = (32, 1)
+# Starts, counted from the anchor, that a piece of a segment keeps together.
+_TOGETHER = 32
 _EMPTY = hashlib.sha256(b"").hexdigest()
 _BYTE_VALUES = np.array([xxhash.xxh64_intdigest(bytes([b])) for b in range(256)], dtype=np.uint64)
 _RUN = pa.struct([("begin", pa.int64()), ("end", pa.int64())])
 _RUNS = "array<struct<begin: long, end: long>>"
+_PIECE = "segment long, begin long, n long, anchor long, content binary, data binary"
 _SEGMENT = "row long, anchor long, begin long, n long, content binary, single boolean"
 
 
@@ -107,42 +108,47 @@ def _segment_bytes(width: int):
     return lambda batches: batched(rows(batches), schema, 1024)
 
 
-def _finer_segments(width: int, together: int):
-    """``(row, text, wanted)`` to finer segments, whose key stands in the place of the anchor.
+def _pieces(width: int):
+    """``(segment, anchor, data)`` to pieces of the segment, whose key stands in the place of the anchor.
 
-    Equal strings hold the anchor's part first at the same place. Starts whose strings do so at the same spot of the text,
-    in one block of ``together`` places, share the bytes that all strings of the block have; these belong to the key. No two
-    strings of such a segment are equal. Single strings (``together`` 1) are keys as they are.
+    Equal strings hold the anchor's part first at the same place. Starts whose strings do so at the same spot of the segment,
+    in one block of ``_TOGETHER`` places, share the bytes that all strings of the block have; these belong to the key. No two
+    strings of a piece are equal.
     """
     schema = pa.schema(
-        [("row", pa.int64()), ("anchor", pa.int64()), ("begin", pa.int64()), ("n", pa.int64()), ("content", pa.binary()), ("single", pa.bool_())]
+        [("segment", pa.int64()), ("begin", pa.int64()), ("n", pa.int64()), ("anchor", pa.int64()), ("content", pa.binary()), ("data", pa.binary())]
     )
     part = min(_PART, width)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            for at, row in enumerate(batch.column(0).to_pylist()):
-                data = batch.column(1)[at].as_py()
-                for w in batch.column(2)[at].as_py():
-                    begin, n = w["begin"], w["n"]
-                    if together == 1:
-                        for i in range(begin, begin + n):
-                            content = xxhash.xxh3_128_digest(data[i : i + width])
-                            yield row, int.from_bytes(content[:8], "little", signed=True), i, 1, content, True
-                        continue
-                    own = data[begin : begin + n + width - 1]
-                    parts = window_hashes(_BYTE_VALUES[np.frombuffer(own, dtype=np.uint8)], part)
-                    spots = np.flatnonzero(parts.view(np.int64) == w["anchor"])
-                    starts = np.arange(n)
-                    spot = spots[np.searchsorted(spots, starts)]
-                    block = (spot - starts) // together
-                    new = np.flatnonzero(np.r_[True, (spot[1:] != spot[:-1]) | (block[1:] != block[:-1])])
-                    for i, j in zip(new.tolist(), [*new[1:].tolist(), n]):
-                        first = int(spot[i] - block[i] * together)
-                        shared = own[first : first - together + 1 + width]
-                        key = xxhash.xxh3_64_intdigest(shared, seed=w["anchor"] & (1 << 64) - 1) + int(block[i])
-                        content = xxhash.xxh3_128_digest(own[i : j + width - 1])
-                        yield row, (key + (1 << 63)) % (1 << 64) - (1 << 63), begin + i, j - i, content, True
+            for segment, anchor, own in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                n = len(own) - width + 1
+                parts = window_hashes(_BYTE_VALUES[np.frombuffer(own, dtype=np.uint8)], part)
+                spots = np.flatnonzero(parts.view(np.int64) == anchor)
+                starts = np.arange(n)
+                spot = spots[np.searchsorted(spots, starts)]
+                block = (spot - starts) // _TOGETHER
+                new = np.flatnonzero(np.r_[True, (spot[1:] != spot[:-1]) | (block[1:] != block[:-1])])
+                for i, j in zip(new.tolist(), [*new[1:].tolist(), n]):
+                    first = int(spot[i] - block[i] * _TOGETHER)
+                    shared = own[first : first - _TOGETHER + 1 + width]
+                    key = xxhash.xxh3_64_intdigest(shared, seed=anchor & (1 << 64) - 1) + int(block[i])
+                    piece = own[i : j + width - 1]
+                    yield segment, i, j - i, (key + (1 << 63)) % (1 << 64) - (1 << 63), xxhash.xxh3_128_digest(piece), piece
+
+    return lambda batches: batched(rows(batches), schema, 1024)
+
+
+def _strings(width: int):
+    """``(segment, data)`` to the digest of each of its strings."""
+    schema = pa.schema([("segment", pa.int64()), ("at", pa.int64()), ("content", pa.binary())])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            for segment, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for i in range(len(data) - width + 1):
+                    yield segment, i, xxhash.xxh3_128_digest(data[i : i + width])
 
     return lambda batches: batched(rows(batches), schema, 4096)
 
@@ -204,7 +210,7 @@ def repeated_bytes(docs: DataFrame, width: int = 400, id_col: str = "doc_id", te
     A string whose anchor occurs once cannot repeat, so only *segments* around shared anchors go
     further, each distinct one once. All segments of an anchor meet in one shard, whose suffixes
     are sorted by recursive induction (:mod:`pagewell.llm.suffix`); equal strings are neighbours there. The segments
-    of an anchor with more than ``ANCHOR_BYTES`` of them are cut by their place around the anchor and the bytes
+    of an anchor with more than ``ANCHOR_BYTES`` of them are cut into pieces by their place around the anchor and the bytes
     that their strings share there, at last into single strings, and meet in as many groups. A text that occurs
     twice is removed whole and stands once for its copies.
     """
@@ -236,44 +242,64 @@ def repeated_bytes(docs: DataFrame, width: int = 400, id_col: str = "doc_id", te
         with_text(wanted).select("row", "text", "shared").mapInArrow(_segments(width), _SEGMENT),
         "segments",
     )
-    def merged(found: DataFrame) -> DataFrame:
-        return stage(
-            found.groupBy("anchor", "content")
-            .agg(F.min(F.struct("row", "begin")).alias("f"), F.first("n").alias("n"), F.count(F.lit(1)).alias("c"), F.min("single").alias("single"))
-            .withColumn("segment", F.monotonically_increasing_id()),
-            "distinct_segments",
-        )
-
-    distinct = merged(segments)
-    for together in _FINER:
-        sizes = distinct.groupBy("anchor").agg(F.sum(F.col("n") + width - 1).alias("size"))
-        common = stage(sizes.where(F.col("size") > ANCHOR_BYTES).select("anchor"), "common_anchors")
-        if common.isEmpty():
-            break
-        wanted = F.collect_list(F.struct("begin", "n", "anchor")).alias("wanted")
-        cut_finer = with_text(segments.join(common, "anchor", "left_semi").groupBy("row").agg(wanted)).select("row", "text", "wanted")
-        finer = cut_finer.mapInArrow(_finer_segments(width, together), _SEGMENT)
-        segments = stage(segments.join(common, "anchor", "left_anti").unionByName(finer), "segments")
-        distinct = merged(segments)
+    distinct = stage(
+        segments.groupBy("anchor", "content")
+        .agg(F.min(F.struct("row", "begin")).alias("f"), F.first("n").alias("n"), F.count(F.lit(1)).alias("c"), F.min("single").alias("single"))
+        .withColumn("segment", F.monotonically_increasing_id()),
+        "distinct_segments",
+    )
     # A lone segment that cannot repeat itself needs no suffix array, nor does a whole one that came twice alone.
-    groups = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("k"), F.min("single").alias("all_single"))
-    to_sort = stage(groups.where("k > 1 OR NOT all_single").select("anchor"), "anchor_groups")
+    groups = distinct.groupBy("anchor").agg(
+        F.count(F.lit(1)).alias("k"), F.sum(F.col("n") + width - 1).alias("size"), F.min("single").alias("all_single")
+    )
+    groups = stage(groups.where("k > 1 OR NOT all_single").select("anchor", (F.col("size") > ANCHOR_BYTES).alias("common")), "anchor_groups")
+    to_sort, common = groups.select("anchor"), groups.where("common").select("anchor")
     sorted_ones = distinct.join(to_sort, "anchor", "left_semi")
     size = sorted_ones.agg(F.sum(F.col("n") + width - 1)).first()[0] or 0
-    shards = max(1, -(-size // SHARD_BYTES))
 
     def by_text(some: DataFrame) -> DataFrame:
         wanted = F.struct("segment", "anchor", F.col("f.begin").alias("begin"), "n")
         return with_text(some.groupBy(F.col("f.row").alias("row")).agg(F.collect_list(wanted).alias("wanted")))
 
+    data = by_text(sorted_ones).select("text", "wanted").mapInArrow(_segment_bytes(width), "segment long, anchor long, data binary")
+    cut_finer = not common.isEmpty()
+    if cut_finer:
+        data = stage(data, "segment_bytes")
+        pieces = stage(data.join(common, "anchor", "left_semi").select("segment", "anchor", "data").mapInArrow(_pieces(width), _PIECE), "pieces")
+        # Pieces have numbers below zero, next to those of segments.
+        alike = stage(
+            pieces.groupBy("anchor", "content")
+            .agg(F.first("data").alias("data"), F.first("n").alias("n"), F.count(F.lit(1)).alias("c"))
+            .withColumn("segment", -1 - F.monotonically_increasing_id()),
+            "distinct_pieces",
+        )
+        keys = alike.groupBy("anchor").agg(F.count(F.lit(1)).alias("k"), F.sum(F.length("data")).alias("size")).where("k > 1")
+        keys = stage(keys.select("anchor", "size", (F.col("size") > ANCHOR_BYTES).alias("common")), "piece_groups")
+        size += keys.where("NOT common").agg(F.sum("size")).first()[0] or 0
+        some = alike.join(keys.where("NOT common"), "anchor", "left_semi").select("segment", "anchor", "data")
+        data = data.join(common, "anchor", "left_anti").select("segment", "anchor", "data").unionByName(some)
     found = stage(
-        by_text(sorted_ones)
-        .select("text", "wanted")
-        .mapInArrow(_segment_bytes(width), "segment long, anchor long, data binary")
-        .repartition(shards, F.xxhash64("anchor"))
-        .mapInArrow(_shard(width), f"segment long, runs {_RUNS}"),
+        data.repartition(max(1, -(-size // SHARD_BYTES)), F.xxhash64("anchor")).mapInArrow(_shard(width), f"segment long, runs {_RUNS}"),
         "repeated_runs",
     )
+    if cut_finer:
+        # Pieces of a key that is too common still are cut into strings.
+        strings = alike.join(keys.where("common"), "anchor", "left_semi").select("segment", "data").mapInArrow(
+            _strings(width), "segment long, at long, content binary"
+        )
+        strings = stage(strings, "strings")
+        twice = strings.groupBy("content").count().where("count > 1").select("content")
+        starts = strings.join(twice, "content", "left_semi").groupBy("segment")
+        by_string = starts.agg(F.collect_list(F.struct(F.col("at").alias("begin"), (F.col("at") + 1).alias("end"))).alias("runs"))
+        all_starts = F.array(F.struct(F.lit(0).cast("long").alias("begin"), F.col("n").alias("end")))
+        of_pieces = (
+            alike.join(found.where("segment < 0").unionByName(by_string), "segment", "left")
+            .select("anchor", "content", F.when(F.col("c") > 1, all_starts).otherwise(F.col("runs")).alias("runs"))
+            .where("runs IS NOT NULL")
+        )
+        placed = pieces.drop("data").join(of_pieces, ["anchor", "content"]).select("segment", "begin", F.explode("runs").alias("run"))
+        run = F.struct((F.col("begin") + F.col("run.begin")).alias("begin"), (F.col("begin") + F.col("run.end")).alias("end"))
+        found = found.where("segment >= 0").unionByName(placed.groupBy("segment").agg(F.collect_list(run).alias("runs")))
     whole = F.array(F.struct(F.lit(0).cast("long").alias("begin"), F.col("n").alias("end")))
     runs = stage(
         distinct.join(found, "segment", "left")
