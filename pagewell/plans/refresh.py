@@ -137,7 +137,9 @@ def round_changes(
     a browser was asked for.
     """
     # Many tables start from the answers: they are read, decoded and reduced once.
-    fetches = stage(read_fetches(fetch_log, job_id), "round-fetches")
+    # The bytes of a page are its decoded text from here on; only files keep theirs.
+    read = read_fetches(fetch_log, job_id)
+    fetches = stage(read.withColumn("body", F.when(F.col("route") == "file", F.col("body"))), "round-fetches")
     html = fetches.filter("route = 'html'")
     if rendered is not None:
         shown = rendered.select("url_md5", F.col("html").alias("shown"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from dataclasses import dataclass
 
@@ -69,10 +70,15 @@ class KeyedStore:
             marks = gone.select(*self.key).distinct().withColumn("gone", F.lit(True))
             marked = marked.unionByName(marks, allowMissingColumns=True)
         tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        dealt = marked.withColumn("bucket", self._bucket()).withColumn("attempt", F.lit(attempt)).repartition(tasks, "bucket", self.hashed)
+        # A folder goes to its share of the tasks, so that there are about as many files as tasks and not as both multiplied.
+        salt = F.pmod(F.xxhash64(self.hashed), F.lit(max(1, math.ceil(tasks / 16**self.digits))))
+        dealt = marked.withColumn("bucket", self._bucket()).withColumn("attempt", F.lit(attempt)).repartition(tasks, "bucket", salt)
         writer = dealt.sortWithinPartitions("bucket", *self.key).write.partitionBy("bucket", "attempt").mode("append")
-        # A lookup of a few keys skips the row groups that hold none of them.
-        writer.option(f"parquet.bloom.filter.enabled#{self.hashed}", "true").parquet(f"{self.path}/rows")
+        # A lookup of a few keys skips the row groups that hold none of them. A filter is as large as its
+        # keys need: a fixed one takes a megabyte in every file.
+        writer = writer.option(f"parquet.bloom.filter.enabled#{self.hashed}", "true")
+        writer = writer.option("parquet.bloom.filter.adaptive.enabled", "true").option("parquet.bloom.filter.candidates.number", "12")
+        writer.parquet(f"{self.path}/rows")
         try:
             seq = self.spark.read.schema(_COMMITS).parquet(f"{self.path}/commits").count()
         except AnalysisException:

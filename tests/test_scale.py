@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pagewell.sources.store import KeyedStore
 from pagewell.operators import analysis, constants, index, search
 
 
@@ -93,3 +94,14 @@ def test_many_queries_with_one_kind_skip_the_other_kinds(spark, monkeypatch):
     assert ready.rows is None and ready.kinds == {"url"} and ready.same is None
     hits = search.search(opened, wanted).hits.collect()
     assert sorted((r.query_id, r.rank, r.score, r.doc_id) for r in hits) == [(i, 1, 1.0, i) for i in range(12)]
+
+
+def test_store_files_are_few_and_as_small_as_their_rows(spark, tmp_path):
+    path = str(tmp_path / "store")
+    store = KeyedStore(spark, path, ("url_md5",), digits=1, schema="url_md5 string, n bigint")
+    rows = spark.range(400).select(F.md5(F.col("id").cast("string")).alias("url_md5"), F.col("id").alias("n"))
+    store.write(rows, 0)
+    files = list((tmp_path / "store" / "rows").rglob("*.parquet"))
+    assert len(files) <= 16 and sum(f.stat().st_size for f in files) < 2_000_000
+    assert sorted(r.n for r in store.rows(rows.limit(50)).collect()) == sorted(r.n for r in rows.limit(50).collect())
+    assert store.rows().count() == 400
