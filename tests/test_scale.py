@@ -3,11 +3,13 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from pagewell.sources.store import KeyedStore
-from pagewell.operators import analysis, constants, index, search
+from pagewell.config import SearchConfig
+from pagewell.operators import analysis, constants, index, search, weighted
 
 
 def plan(df):
@@ -105,3 +107,49 @@ def test_store_files_are_few_and_as_small_as_their_rows(spark, tmp_path):
     assert len(files) <= 16 and sum(f.stat().st_size for f in files) < 2_000_000
     assert sorted(r.n for r in store.rows(rows.limit(50)).collect()) == sorted(r.n for r in rows.limit(50).collect())
     assert store.rows().count() == 400
+
+
+@pytest.mark.parametrize("low", [0.1, -1.0])
+def test_best_documents_of_weighted_terms_equal_all_scores(monkeypatch, low):
+    monkeypatch.setattr(weighted, "_CELLS", 12)
+    monkeypatch.setattr(weighted, "_PRODUCTS", 7)
+    rng = np.random.default_rng(4)
+    pairs = {(int(t), int(q)): round(rng.uniform(low, 3), 2) for t, q in zip(rng.integers(0, 12, 40), rng.integers(0, 6, 40))}
+    # A document without a number, equal scores, and terms that no query asks for.
+    docs = sorted({(int(d) // 20 - 1 if d < 20 else 0, int(d), int(t)): float(rng.integers(1, 3)) for d, t in zip(rng.integers(0, 60, 300), rng.integers(0, 15, 300))}.items())
+    scores = {}
+    for (batch, doc, term), own in docs:
+        for (t, query), weight in pairs.items():
+            if t == term:
+                scores[query, batch, doc] = scores.get((query, batch, doc), 0.0) + own * weight
+    wanted = set()
+    for query in {q for _, q in pairs}:
+        found = sorted((-round(s, 6), b, d) for (q, b, d), s in scores.items() if q == query)
+        wanted |= {(query, round(-s, 6), b, d) for s, b, d in found[:4]}
+    rows = [(b, d, t, own) for (b, d, t), own in docs]
+    table = pa.table(dict(zip(["batch_id", "doc_id", "number", "own"], map(list, zip(*rows)))))
+    held = weighted.held_pairs(pa.table({"number": [t for t, _ in pairs], "query_id": [q for _, q in pairs], "weight": list(pairs.values())}))
+    monkeypatch.setattr(weighted, "_ROWS", 10)
+    (got,) = weighted.best_of_task(lambda: held, 4)(iter(table.to_batches(max_chunksize=7)))
+    assert {(r["query_id"], round(r["score"], 6), r["batch_id"], r["doc_id"]) for r in got.to_pylist()} == wanted
+
+
+def test_optional_terms_and_fuzzy_words_keep_best_documents_in_tasks(spark, monkeypatch):
+    rng = random.Random(7)
+    words = ["alpha", "alphas", "beta", "betas", "gamma", "the"]
+    docs = spark.createDataFrame([(i, f"http://d/{i}", " ".join(rng.choices(words, k=rng.randint(1, 9)))) for i in range(50)], "doc_id bigint, url string, text string")
+    opened = index.index_of_docs(index.build_docs(docs))
+    rows = [(1, 0, "term", "the", 1.0), (1, 1, "fuzzy", "alpha", 2.0), (2, 0, "term", "beta", 0.0), (3, 0, "fuzzy", "betas", 1.0), (4, 0, "term", "nowhere", 1.0)]
+    asked = spark.createDataFrame(rows, "query_id int, clause_id int, kind string, term string, boost double")
+    ready = search.prepare(asked)
+    every = search.matching_docs(opened, ready, search.leaves_of(opened, ready))
+    wanted = sorted((r.query_id, r.rank, r.score, r.doc_id) for r in search.top_k_hits(every, 5).collect())
+    assert {r[0] for r in wanted} == {1, 2, 3}
+    for held in (1_000_000, 2):
+        monkeypatch.setattr(search, "_HELD_PAIRS", held)
+        hits = search.search(opened, asked, SearchConfig(top_k=5)).hits
+        # A row a match would be there before the ranking.
+        assert "MapInArrow" in plan(hits)
+        got = sorted((r.query_id, r.rank, r.score, r.doc_id) for r in hits.collect())
+        assert [(r[0], r[1], r[3]) for r in got] == [(r[0], r[1], r[3]) for r in wanted]
+        assert [r[2] for r in got] == pytest.approx([r[2] for r in wanted], abs=2e-6)
