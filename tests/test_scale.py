@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pagewell.sources.store import KeyedStore
 from pagewell.config import SearchConfig
-from pagewell.operators import analysis, constants, index, search, weighted
+from pagewell.operators import analysis, constants, index, phrases, search, weighted
 
 
 def plan(df):
@@ -153,3 +153,29 @@ def test_optional_terms_and_fuzzy_words_keep_best_documents_in_tasks(spark, monk
         got = sorted((r.query_id, r.rank, r.score, r.doc_id) for r in hits.collect())
         assert [(r[0], r[1], r[3]) for r in got] == [(r[0], r[1], r[3]) for r in wanted]
         assert [r[2] for r in got] == pytest.approx([r[2] for r in wanted], abs=2e-6)
+
+
+def test_phrases_are_followed_through_the_positions_of_a_document():
+    rng = random.Random(8)
+    texts = {(b, d): [rng.choice("abcdef") for _ in range(rng.randint(1, 30))] for b in (0, 1) for d in range(12)}
+    asked = [(w, s) for w in ("ab", "abc", "aa", "aba", "d", "bd", "abcd", "aaa") for s in (0, 2, 40)]
+    numbers = {w: 3 * i for i, w in enumerate("abcd")}
+    words = [(p, i, numbers[w], slop) for p, (text, slop) in enumerate(asked) for i, w in enumerate(text)]
+    held = phrases.held_phrases(pa.table(dict(zip(["phrase", "part", "number", "slop"], map(list, zip(*words))))))
+    rows = [(b, d, numbers.get(w, 99), len(t), [i for i, x in enumerate(t) if x == w]) for (b, d), t in texts.items() for w in sorted(set(t))]
+    table = pa.table({**dict(zip(["batch_id", "doc_id", "number", "dl"], map(list, zip(*[r[:4] for r in rows])))), "positions": pa.array([r[4] for r in rows], pa.list_(pa.int32()))})
+    got = {}
+    for batch in phrases.phrases_of_task(lambda: held)(iter(table.to_batches(max_chunksize=5))):
+        for r in batch.to_pylist():
+            assert (r["phrase"], r["batch_id"], r["doc_id"]) not in got and r["dl"] == len(texts[r["batch_id"], r["doc_id"]])
+            got[r["phrase"], r["batch_id"], r["doc_id"]] = r["freq"], r["parts"]
+    for p, (text, slop) in enumerate(asked):
+        for key, t in texts.items():
+            found = got.get((p, *key))
+            if slop == 0 or len(text) == 1:
+                times = sum(t[i : i + len(text)] == list(text) for i in range(len(t)))
+                assert (found or (0, None))[0] == times
+                continue
+            starts = [[i - n for i, x in enumerate(t) if x == w] for n, w in enumerate(text)]
+            if all(starts) and slow_frequency(starts, slop) > 0:
+                assert [[x - n["part"] for x in n["positions"]] for n in found[1]] == starts and found[0] is None
