@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagewell.sources.store import KeyedStore
+from pagewell.sources.tables import scan_documents, scan_files
 from pagewell.config import SearchConfig
 from pagewell.operators import analysis, constants, index, phrases, search, weighted
 
@@ -179,3 +180,17 @@ def test_phrases_are_followed_through_the_positions_of_a_document():
             starts = [[i - n for i, x in enumerate(t) if x == w] for n, w in enumerate(text)]
             if all(starts) and slow_frequency(starts, slop) > 0:
                 assert [[x - n["part"] for x in n["positions"]] for n in found[1]] == starts and found[0] is None
+
+
+def test_small_files_are_read_by_few_tasks(spark, tmp_path):
+    for n in range(200):
+        (tmp_path / f"key{n}.a.txt").write_text(f"text {n}\nline", encoding="utf-8")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1")
+    try:
+        for files, column in ((scan_documents(spark, str(tmp_path)), "text"), (scan_files(spark, str(tmp_path)), "body")):
+            # A file is a task here, as a few are at the usual setting.
+            assert files.rdd.getNumPartitions() <= 8 * spark.sparkContext.defaultParallelism < 200
+            rows = {(r.url_md5, r[column] if column == "text" else bytes(r[column]).decode()) for r in files.collect()}
+            assert rows == {(f"key{n}", f"text {n}\nline") for n in range(200)}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
