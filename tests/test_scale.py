@@ -194,3 +194,39 @@ def test_small_files_are_read_by_few_tasks(spark, tmp_path):
             assert rows == {(f"key{n}", f"text {n}\nline") for n in range(200)}
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def random_index(spark, rng, words, n):
+    rows = [(i if i % 10 else None, f"http://d/{i}", " ".join(rng.choices(words, k=rng.randint(1, 12)))) for i in range(n)]
+    return index.index_of_docs(index.build_docs(spark.createDataFrame(rows, "doc_id bigint, url string, text string")))
+
+
+def same_as_every_match(asked, opened, k=5):
+    """Hits kept in tasks, and the same of all matches ranked afterwards."""
+    ready = search.prepare(asked)
+    every = search.matching_docs(opened, ready, search.leaves_of(opened, ready))
+    wanted = sorted((r.query_id, r.rank, r.score, r.batch_id, r.doc_id or -1) for r in search.top_k_hits(every, k).collect())
+    hits = search.search(opened, asked, SearchConfig(top_k=k)).hits
+    # A row a match would be there before the ranking.
+    assert "MapInArrow run(" in plan(hits) and "MapInArrow run(" not in plan(every)
+    got = sorted((r.query_id, r.rank, r.score, r.batch_id, r.doc_id or -1) for r in hits.collect())
+    assert [(r[0], r[1], *r[3:]) for r in got] == [(r[0], r[1], *r[3:]) for r in wanted]
+    assert [r[2] for r in got] == pytest.approx([r[2] for r in wanted], abs=2e-6)
+    return {r[0] for r in got}
+
+
+def test_required_and_refused_terms_keep_best_documents_in_tasks(spark, monkeypatch):
+    monkeypatch.setattr(weighted, "_CELLS", 40)
+    monkeypatch.setattr(weighted, "_PRODUCTS", 9)
+    monkeypatch.setattr(weighted, "_ROWS", 20)
+    rng = random.Random(11)
+    words = ["alpha", "beta", "gamma", "delta", "the", "of"]
+    opened = random_index(spark, rng, words, 60)
+    occurs = ("must", "should", "must_not")
+    rows = [(q, i, rng.choice(occurs), rng.choice([*words, "nowhere"]), rng.choice([0.0, 0.5, 1.0])) for q in range(30) for i in range(rng.randint(1, 4))]
+    # Twice the same word, a required word that no document has, only refused words, one word required and refused.
+    rows += [(30, 0, "must", "the", 1.0), (30, 1, "must", "the", 1.0), (31, 0, "must", "nowhere", 1.0), (31, 1, "should", "the", 1.0)]
+    rows += [(32, 0, "must_not", "the", 1.0), (33, 0, "must", "of", 1.0), (33, 1, "must_not", "of", 1.0), (34, 0, "must", "of", 1.0)]
+    asked = spark.createDataFrame(rows, "query_id int, clause_id int, occur string, term string, boost double").withColumn("kind", F.lit("term"))
+    found = same_as_every_match(asked, opened)
+    assert {30, 34} <= found and not {31, 32, 33} & found
