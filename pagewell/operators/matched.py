@@ -1,4 +1,4 @@
-"""Best documents of queries whose clauses may be required or refused, kept task by task.
+"""Best documents of queries of terms and synonyms that may be required or refused, kept task by task.
 
 Rows of query, clause and document would be as many as a frequent word has documents, for every query that asks for it. Here
 the terms of a task's documents meet the clauses in arrays, the clauses of a query are put together where the document
@@ -23,21 +23,27 @@ def _by_key(key: np.ndarray, n: int, *columns: np.ndarray) -> tuple[np.ndarray,
     return np.append(0, np.cumsum(np.bincount(key, minlength=n))), *[c[order] for c in columns]
 
 
-def held_clauses(leaves: pa.Table, gain: float) -> dict:
-    """What a task needs of rows ``number, query_id, occur, n_must, weight``, a term of a clause each.
+def held_clauses(leaves: pa.Table, n_terms: int, gain: float) -> dict:
+    """What a task needs of rows ``number, query_id, clause_id, grouped, occur, n_must, weight``, a term of a clause each.
 
-    A term found ``tf`` times gives ``weight * gain * tf / (tf + norm)``.
+    Terms have the numbers below ``n_terms``. Found ``tf`` times, one gives ``weight * gain * tf / (tf + norm)``; the terms of
+    a clause that are ``grouped`` count as one.
     """
-    columns = {c: leaves.column(c).to_numpy() for c in leaves.column_names}
+    columns = {c: leaves.column(c).to_numpy(zero_copy_only=False) for c in leaves.column_names}
     queries, query = np.unique(columns["query_id"], return_inverse=True)
-    terms, term = np.unique(columns["number"], return_inverse=True)
+    term, occur, grouped, weight = (columns[c] for c in ("number", "occur", "grouped", "weight"))
     n_must = np.zeros(len(queries), np.int64)
     n_must[query] = columns["n_must"]
     alone = []
-    for occur in (SHOULD, MUST, MUST_NOT):
-        mine = columns["occur"] == occur
-        alone.append(_by_key(term[mine], len(terms), query[mine], columns["weight"][mine]))
-    return {"queries": queries, "n_must": n_must, "terms": terms, "alone": alone, "gain": gain}
+    for what in (SHOULD, MUST, MUST_NOT):
+        mine = (occur == what) & ~grouped
+        alone.append(_by_key(term[mine], n_terms, query[mine], weight[mine]))
+    clauses, clause = np.unique(columns["clause_id"], return_inverse=True)
+    _, at, group = np.unique(((query * len(clauses) + clause) * 3 + occur)[grouped], return_index=True, return_inverse=True)
+    most = np.zeros(len(at))
+    np.maximum.at(most, group, weight[grouped])
+    groups = {"query": query[grouped][at], "occur": occur[grouped][at], "weight": most, "terms": _by_key(term[grouped], n_terms, group)}
+    return {"queries": queries, "n_must": n_must, "alone": alone, "groups": groups, "gain": gain}
 
 
 def _met(first: np.ndarray, term: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -87,22 +93,38 @@ def _scored(held: dict, doc: np.ndarray, term: np.ndarray, tf: np.ndarray, norm:
         if len(query):
             for row, pair in _met(first, term):
                 cells.add(occur, doc[row] * n + query[pair], None if occur == MUST_NOT else own[row] * weight[pair])
+    groups = held["groups"]
+    if len(groups["query"]):
+        at, own = _of_groups(held, doc, term, tf, norm, n_docs)
+        cell = (np.arange(n_docs)[:, None] * n + groups["query"]).ravel()[at]
+        group = np.broadcast_to(np.arange(len(groups["query"])), (n_docs, len(groups["query"]))).ravel()[at]
+        score = own * groups["weight"][group]
+        for occur in np.unique(groups["occur"]):
+            mine = slice(None) if (groups["occur"] == occur).all() else groups["occur"][group] == occur
+            cells.add(int(occur), cell[mine], None if occur == MUST_NOT else score[mine])
     return cells
 
 
+def _of_groups(held: dict, doc: np.ndarray, term: np.ndarray, tf: np.ndarray, norm: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a document and a group that meet, numbered document by document, and their shares of the score."""
+    n = len(held["groups"]["query"])
+    times, norms = np.zeros(n_docs * n), np.zeros(n_docs * n)
+    first, group = held["groups"]["terms"]
+    for row, pair in _met(first, term):
+        cell = doc[row] * n + group[pair]
+        times += np.bincount(cell, tf[row], n_docs * n)
+        np.maximum.at(norms, cell, norm[row])
+    at = np.flatnonzero(times)
+    return at, held["gain"] * times[at] / (times[at] + norms[at])
+
+
 def _add_documents(held: dict, best: weighted.Best, rows: pa.Table) -> None:
     """Add documents, each as the rows of its terms."""
-    number = rows.column("number").to_numpy()
-    term = np.minimum(np.searchsorted(held["terms"], number), len(held["terms"]) - 1)
-    asked = np.flatnonzero(held["terms"][term] == number)
-    if not len(asked):
-        return
-    batch_id, doc_id, tf, norm = (rows.column(c).to_numpy()[asked] for c in ("batch_id", "doc_id", "tf", "norm"))
-    term = term[asked]
+    batch_id, doc_id, term, tf, norm = (rows.column(c).to_numpy() for c in ("batch_id", "doc_id", "number", "tf", "norm"))
     first = np.flatnonzero(np.append(True, (batch_id[1:] != batch_id[:-1]) | (doc_id[1:] != doc_id[:-1])))
     ends = np.append(first[1:], len(term))
     doc = np.repeat(np.arange(len(first)), ends - first)
-    most = max(1, weighted._CELLS // len(held["queries"]))
+    most = max(1, weighted._CELLS // max(len(held["queries"]), len(held["groups"]["query"])))
     for start in range(0, len(first), most):
         end = min(start + most, len(first))
         mine = slice(first[start], ends[end - 1])

@@ -230,3 +230,21 @@ def test_required_and_refused_terms_keep_best_documents_in_tasks(spark, monkeypa
     asked = spark.createDataFrame(rows, "query_id int, clause_id int, occur string, term string, boost double").withColumn("kind", F.lit("term"))
     found = same_as_every_match(asked, opened)
     assert {30, 34} <= found and not {31, 32, 33} & found
+
+
+def test_synonyms_keep_best_documents_in_tasks(spark, monkeypatch):
+    monkeypatch.setattr(weighted, "_CELLS", 40)
+    monkeypatch.setattr(weighted, "_PRODUCTS", 9)
+    rng = random.Random(12)
+    words = ["alpha", "beta", "gamma", "delta", "the", "of"]
+    opened = random_index(spark, rng, words, 60)
+    rows = [
+        (q, i, rng.choice(("should", "should", "must", "must_not")), rng.choice(("synonyms", "term")), rng.choice(words), rng.choices([*words, "nowhere"], k=rng.randint(1, 3)), rng.choice([0.0, 1.0]))
+        for q in range(25) for i in range(rng.randint(1, 3))
+    ]
+    rows += [(30, 0, "should", "synonyms", None, ["the", "of"], 1.0), (31, 0, "should", "synonyms", None, ["nowhere"], 1.0)]
+    asked = spark.createDataFrame(rows, "query_id int, clause_id int, occur string, kind string, term string, terms array<string>, boost double")
+    found = same_as_every_match(asked, opened)
+    assert 30 in found and 31 not in found
+    # All of them optional, as a search for words of one meaning is.
+    same_as_every_match(asked.filter("kind = 'synonyms'").withColumn("occur", F.lit("should")), opened)
