@@ -1,4 +1,4 @@
-"""Best documents of queries of terms and synonyms that may be required or refused, kept task by task.
+"""Best documents of queries of terms, synonyms and phrases that may be required or refused, kept task by task.
 
 Rows of query, clause and document would be as many as a frequent word has documents, for every query that asks for it. Here
 the terms of a task's documents meet the clauses in arrays, the clauses of a query are put together where the document
@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 from pagewell.operators import weighted
+from pagewell.operators.phrases import frequencies
 
 SHOULD, MUST, MUST_NOT = range(3)
 
@@ -23,17 +24,21 @@ def _by_key(key: np.ndarray, n: int, *columns: np.ndarray) -> tuple[np.ndarray,
     return np.append(0, np.cumsum(np.bincount(key, minlength=n))), *[c[order] for c in columns]
 
 
-def held_clauses(leaves: pa.Table, n_terms: int, gain: float) -> dict:
+def held_clauses(leaves: pa.Table, n_terms: int, gain: float, phrases: tuple[dict, pa.Table] | None = None) -> dict:
     """What a task needs of rows ``number, query_id, clause_id, grouped, occur, n_must, weight``, a term of a clause each.
 
     Terms have the numbers below ``n_terms``. Found ``tf`` times, one gives ``weight * gain * tf / (tf + norm)``; the terms of
-    a clause that are ``grouped`` count as one.
+    a clause that are ``grouped`` count as one. ``phrases`` are those held for :func:`phrases.frequencies` and the clauses
+    ``phrase, query_id, occur, n_must, weight`` that ask for them, which count as terms do.
     """
     columns = {c: leaves.column(c).to_numpy(zero_copy_only=False) for c in leaves.column_names}
-    queries, query = np.unique(columns["query_id"], return_inverse=True)
-    term, occur, grouped, weight = (columns[c] for c in ("number", "occur", "grouped", "weight"))
+    asked = {} if phrases is None else {c: phrases[1].column(c).to_numpy() for c in phrases[1].column_names}
+    every = {c: np.append(columns[c], asked.get(c, columns[c][:0])) for c in ("query_id", "n_must")}
+    queries, query = np.unique(every["query_id"], return_inverse=True)
     n_must = np.zeros(len(queries), np.int64)
-    n_must[query] = columns["n_must"]
+    n_must[query] = every["n_must"]
+    query, of_phrase = np.split(query, [len(columns["query_id"])])
+    term, occur, grouped, weight = (columns[c] for c in ("number", "occur", "grouped", "weight"))
     alone = []
     for what in (SHOULD, MUST, MUST_NOT):
         mine = (occur == what) & ~grouped
@@ -43,7 +48,12 @@ def held_clauses(leaves: pa.Table, n_terms: int, gain: float) -> dict:
     most = np.zeros(len(at))
     np.maximum.at(most, group, weight[grouped])
     groups = {"query": query[grouped][at], "occur": occur[grouped][at], "weight": most, "terms": _by_key(term[grouped], n_terms, group)}
-    return {"queries": queries, "n_must": n_must, "alone": alone, "groups": groups, "gain": gain}
+    held = {"queries": queries, "n_must": n_must, "alone": alone, "groups": groups, "gain": gain, "phrases": None}
+    if phrases is not None:
+        place = np.searchsorted(phrases[0]["phrases"], asked["phrase"])
+        held["phrases"] = phrases[0]
+        held["asked"] = _by_key(place, len(phrases[0]["phrases"]), of_phrase, asked["occur"], asked["weight"])
+    return held
 
 
 def _met(first: np.ndarray, term: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -118,22 +128,46 @@ def _of_groups(held: dict, doc: np.ndarray, term: np.ndarray, tf: np.ndarray, no
     return at, held["gain"] * times[at] / (times[at] + norms[at])
 
 
+def _phrases(held: dict, rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of the first words of the phrases found, the phrases and their shares of the score, in the order of rows."""
+    # A document without a number has no phrases.
+    numbered = np.flatnonzero((rows.column("batch_id").to_numpy() != weighted._NONE) & (rows.column("doc_id").to_numpy() != weighted._NONE))
+    row, phrase, times = frequencies(held["phrases"], rows if len(numbered) == len(rows) else rows.take(pa.array(numbered)))
+    row = numbered[row]
+    order = np.argsort(row, kind="stable")
+    row, phrase, times = row[order], phrase[order], times[order]
+    return row, phrase, held["gain"] * times / (times + rows.column("norm").to_numpy()[row])
+
+
+def _add_phrases(held: dict, cells: _Cells, doc: np.ndarray, phrase: np.ndarray, own: np.ndarray) -> None:
+    first, query, occur, weight = held["asked"]
+    for row, pair in _met(first, phrase):
+        cell, score = doc[row] * len(held["queries"]) + query[pair], own[row] * weight[pair]
+        for what in np.unique(occur[pair]):
+            mine = occur[pair] == what
+            cells.add(int(what), cell[mine], None if what == MUST_NOT else score[mine])
+
+
 def _add_documents(held: dict, best: weighted.Best, rows: pa.Table) -> None:
     """Add documents, each as the rows of its terms."""
     batch_id, doc_id, term, tf, norm = (rows.column(c).to_numpy() for c in ("batch_id", "doc_id", "number", "tf", "norm"))
     first = np.flatnonzero(np.append(True, (batch_id[1:] != batch_id[:-1]) | (doc_id[1:] != doc_id[:-1])))
     ends = np.append(first[1:], len(term))
     doc = np.repeat(np.arange(len(first)), ends - first)
+    found = None if held["phrases"] is None else _phrases(held, rows)
     most = max(1, weighted._CELLS // max(len(held["queries"]), len(held["groups"]["query"])))
     for start in range(0, len(first), most):
         end = min(start + most, len(first))
         mine = slice(first[start], ends[end - 1])
         cells = _scored(held, doc[mine] - start, term[mine], tf[mine], norm[mine], end - start)
+        if found is not None:
+            here = slice(*np.searchsorted(found[0], [mine.start, mine.stop]))
+            _add_phrases(held, cells, doc[found[0][here]] - start, found[1][here], found[2][here])
         best.add(cells.scores.reshape(cells.shape), cells.found(), batch_id[first[start:end]], doc_id[first[start:end]])
 
 
 def best_of_task(held: Callable[[], dict], k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Task over rows ``batch_id, doc_id, number, tf, norm`` in the order of documents."""
+    """Task over rows ``batch_id, doc_id, number, tf, norm`` in the order of documents, with ``positions`` where phrases are held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = held()

@@ -248,3 +248,50 @@ def test_synonyms_keep_best_documents_in_tasks(spark, monkeypatch):
     assert 30 in found and 31 not in found
     # All of them optional, as a search for words of one meaning is.
     same_as_every_match(asked.filter("kind = 'synonyms'").withColumn("occur", F.lit("should")), opened)
+
+
+def test_near_pairs_of_words_are_counted_with_the_documents():
+    rng = random.Random(9)
+    texts = [[rng.choice("abc") for _ in range(rng.randint(1, 25))] for _ in range(40)]
+    asked = [(w, s) for w in ("ab", "ba", "aa", "bc") for s in (0, 1, 2, 5)]
+    words = [(p, i, ord(w), slop) for p, (text, slop) in enumerate(asked) for i, w in enumerate(text)]
+    held = phrases.held_phrases(pa.table(dict(zip(["phrase", "part", "number", "slop"], map(list, zip(*words))))), count_near=True)
+    # A place that is named twice counts twice.
+    places = {d: {w: sorted([i for i, x in enumerate(t) if x == w] + [i for i, x in enumerate(t) if x == w and i % 7 == 3]) for w in set(t)} for d, t in enumerate(texts)}
+    rows = [(0, d, ord(w), at) for d, found in places.items() for w, at in sorted(found.items())]
+    table = pa.table({**dict(zip(["batch_id", "doc_id", "number"], map(list, zip(*[r[:3] for r in rows])))), "positions": pa.array([r[3] for r in rows], pa.list_(pa.int32()))})
+    at, phrase, times = phrases.frequencies(held, table)
+    got = {(int(p), rows[r][1]): t for r, p, t in zip(at, phrase, times)}
+    assert len(got) == len(times) and all(rows[r][2] == ord(asked[p][0][0]) for r, p in zip(at, phrase))
+    for p, (text, slop) in enumerate(asked):
+        for d, found in places.items():
+            starts = [[i - n for i in found.get(w, [])] for n, w in enumerate(text)]
+            want = slow_frequency(starts, slop) if slop else len(set(starts[0]) & set(starts[1]))
+            assert got.get((p, d), 0.0) == pytest.approx(want)
+
+
+def test_phrases_keep_best_documents_in_tasks(spark, monkeypatch):
+    monkeypatch.setattr(weighted, "_CELLS", 40)
+    monkeypatch.setattr(weighted, "_ROWS", 20)
+    rng = random.Random(13)
+    words = ["alpha", "beta", "gamma", "the", "of"]
+    opened = random_index(spark, rng, words, 60)
+    rows = [
+        (q, i, rng.choice(("should", "should", "must", "must_not")), rng.choice(("phrase", "phrase", "synonyms")), rng.choice(("content", "title")), rng.choices(words, k=rng.randint(1, 2)), rng.choice([0, 2, 3]))
+        for q in range(25) for i in range(rng.randint(1, 3))
+    ]
+    rows += [(30, 0, "should", "phrase", "content", ["the", "of"], 2), (31, 0, "should", "phrase", "content", ["the", "nowhere"], 2)]
+    rows += [(32, 0, "must", "phrase", "content", ["of", "the", "of"], 0), (33, 0, "must", "phrase", "content", ["nowhere"], 0), (33, 1, "should", "phrase", "content", ["the"], 0)]
+    asked = spark.createDataFrame(rows, "query_id int, clause_id int, occur string, kind string, field string, terms array<string>, slop int")
+    # Matches as rows go by the positions in the JVM.
+    monkeypatch.setattr(search, "held_phrases", lambda words, count_near=False: phrases.held_phrases(words))
+    ready = search.prepare(asked)
+    every = search.matching_docs(opened, ready, search.leaves_of(opened, ready))
+    wanted = sorted((r.query_id, r.rank, r.score, r.doc_id or -1) for r in search.top_k_hits(every, 5).collect())
+    monkeypatch.setattr(search, "held_phrases", phrases.held_phrases)
+    hits = search.search(opened, asked, SearchConfig(top_k=5)).hits
+    assert "positions" not in plan(hits).split("MapInArrow run(")[0]
+    got = sorted((r.query_id, r.rank, r.score, r.doc_id or -1) for r in hits.collect())
+    assert [(r[0], r[1], r[3]) for r in got] == [(r[0], r[1], r[3]) for r in wanted]
+    assert [r[2] for r in got] == pytest.approx([r[2] for r in wanted], abs=2e-6)
+    assert 30 in {r[0] for r in got} and not {31, 33} & {r[0] for r in got}
