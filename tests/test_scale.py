@@ -295,3 +295,33 @@ def test_phrases_keep_best_documents_in_tasks(spark, monkeypatch):
     assert [(r[0], r[1], r[3]) for r in got] == [(r[0], r[1], r[3]) for r in wanted]
     assert [r[2] for r in got] == pytest.approx([r[2] for r in wanted], abs=2e-6)
     assert 30 in {r[0] for r in got} and not {31, 33} & {r[0] for r in got}
+
+
+def test_tokens_are_counted_before_others_are_added(spark):
+    rng = random.Random(14)
+    words = ["a", "b", "c", "d", "e"]
+    # Two rows of one document are one text; a document without a number has no postings.
+    texts = [(i // 2 if i < 12 else i if i % 5 else None, " ".join(rng.choices(words, k=rng.randint(0, 15)))) for i in range(40)]
+    table = spark.createDataFrame([(0, d, "content", t) for d, t in texts], "batch_id bigint, doc_id bigint, field string, text string")
+    synonyms = [("a", "b"), ("a", "x"), ("b", "a"), ("c", "c"), ("c", "b"), ("c", "b"), (None, "a")]
+    readings = [("x", "y"), ("a", "a2"), ("d", "e")]
+    keys = [*index.DOC, "field"]
+    cut = analysis.tokenize(table, "text", keys)
+    expanded = analysis.expand_synonyms(cut, spark.createDataFrame(synonyms, "term string, syn string"), keys)
+    both = analysis.expand_readings(expanded, spark.createDataFrame(readings, "term string, reading string"), keys)
+    for df, steps in ((cut.withColumn("is_overlap", F.lit(False)), []), (expanded, [synonyms]), (both, [synonyms, readings]), (both.filter("term <> 'a'"), [synonyms, readings])):
+        wanted, lengths = {}, {}
+        for doc, text in texts:
+            for pos, word in enumerate(text.split()) if doc is not None else ():
+                found = [(word, 1)]
+                for step in steps:
+                    found = [f for w, n in found for f in [(w, n), *[(s, 0) for t, s in step if t == w]]]
+                for w, own in found:
+                    if df is both or df is expanded or not steps or w != "a":
+                        wanted.setdefault((doc, w), []).append(pos)
+                        lengths[doc] = lengths.get(doc, 0) + own
+        rows = index.postings_of_tokens(df).collect()
+        assert {(r.doc_id, r.term): (r.tf, r.dl, r.positions) for r in rows} == {k: (len(p), lengths[k[0]], sorted(p)) for k, p in wanted.items()}
+        assert len(rows) == len(wanted)
+    # The window over the lengths lies below the rows that tokens multiply to.
+    assert "Window" in plan(index.postings_of_tokens(expanded)).split("explode(CASE WHEN isnull(_added")[1]
