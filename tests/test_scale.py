@@ -325,3 +325,15 @@ def test_tokens_are_counted_before_others_are_added(spark):
         assert len(rows) == len(wanted)
     # The window over the lengths lies below the rows that tokens multiply to.
     assert "Window" in plan(index.postings_of_tokens(expanded)).split("explode(CASE WHEN isnull(_added")[1]
+
+
+def test_postings_of_expanded_tokens_are_dealt_out_by_the_bytes_of_documents(spark, tmp_path, monkeypatch):
+    from pagewell.catalog import indexing
+
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.concat(F.lit("alpha beta "), F.col("id")).alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(9).cast("long").alias("n_chars"))
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "alpha omega")], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    monkeypatch.setattr(indexing, "EXPANDED_TASK_BYTES", 100)
+    found = indexing._build_postings_expanded(spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() > 16
+    assert {(r.field, r.term, r.tf, r.dl) for r in found.filter("doc_id = 7").collect()} == {(f, t, 1, 3) for f in ("content", "title") for t in ("alpha", "beta", "omega", "7")}
